@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from bidlens.llm.common import table
+from bidlens.llm.decontamination import contamination
 from bidlens.llm.exact_dedup import exact_duplicates
 from bidlens.llm.packing import pack_documents
 
@@ -17,6 +18,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -26,8 +31,30 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op7_exact_dedup)}
-
+    return {f.__name__: f for f in (op2_decontamination, op3_best_fit_packing, op7_exact_dedup)}
+
+
+_OP2 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w, row_number() OVER () AS rid FROM documents),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, l, array_to_string(w[s:s + l - 1], ' ') AS win
+  FROM (SELECT item_id, w, least(len(w), 10) AS l, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s FROM b WHERE len(w) > 0)),
+dp AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+dw AS (
+  SELECT rid, p, l, array_to_string(w[p:p + l - 1], ' ') AS win
+  FROM dp CROSS JOIN (SELECT DISTINCT l FROM bw) WHERE p + l - 1 <= len(w)),
+hit AS (SELECT rid, p, item_id, dw.l FROM dw JOIN bw ON dw.l = bw.l AND dw.win = bw.win),
+n AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + l)) AS q FROM hit) GROUP BY rid),
+i AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hit) GROUP BY rid)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN i USING (rid)
+"""
 
 _OP7 = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -38,4 +65,4 @@ FROM d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": _OP7}
+    return {"op2_decontamination": _OP2, "op7_exact_dedup": _OP7}

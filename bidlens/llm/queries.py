@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from bidlens.llm.common import table
 from bidlens.llm.decontamination import contamination
 from bidlens.llm.exact_dedup import exact_duplicates
+from bidlens.llm.near_dedup import near_duplicates
 from bidlens.llm.packing import pack_documents
 
 
@@ -26,12 +27,16 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op3_best_fit_packing, op7_exact_dedup)}
+    return {f.__name__: f for f in (op2_decontamination, op3_best_fit_packing, op6_minhash_near_dedup, op7_exact_dedup)}
 
 
 _OP2 = r"""

@@ -131,7 +131,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, id_co
     """The rows without any benchmark window, with all their columns; rows without id are judged by their text."""
     named = docs.filter(F.col(id_col).isNotNull())
     bad = materialize(contamination(named, items, window, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
-    clean = named.join(bad, id_col, "left_anti")
+    clean = named.join(broadcast_if_small(bad, VOCABULARY_ROWS), id_col, "left_anti")
     nameless = docs.filter(F.col(id_col).isNull())
     if nameless.isEmpty():
         return clean

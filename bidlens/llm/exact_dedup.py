@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlens.llm.common import materialize, shared_path, small_enough
+from bidlens.llm.common import broadcast_if_small, materialize, shared_path, small_enough
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -122,7 +122,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     verdict = exact_duplicates(docs, id_col, text_col)
     gone = materialize(verdict.filter("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)), "dedup-gone")
     nameless = docs.filter(F.col(id_col).isNull())
-    named = docs.filter(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti")
+    named = docs.filter(F.col(id_col).isNotNull()).join(broadcast_if_small(gone, 1_000_000), id_col, "left_anti")
     if nameless.isEmpty():
         return named
     held = verdict.filter("doc_id is null and kept").select("text_sha256").distinct()

@@ -14,6 +14,7 @@ from bidlens.llm.exact_dedup import exact_duplicates
 from bidlens.llm.language_id import identify
 from bidlens.llm.near_dedup import near_duplicates
 from bidlens.llm.packing import pack_documents
+from bidlens.llm.pii import find_personal_data
 from bidlens.llm.secrets import find_secrets
 from bidlens.llm.tokens import token_counts
 from bidlens.llm.toxicity import assess
@@ -69,6 +70,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_token_counts,
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_exact_dedup,
         op8_language_id,
         op9_toxicity,
+        op10_pii,
     )
     return {f.__name__: f for f in every}
 

@@ -46,8 +46,11 @@ def _offsets(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], dtype=wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and where each text's words begin and end (length + 1 numbers)."""
+def word_hashes(column: pa.Array, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and where each text's words begin and end (length + 1 numbers).
+
+    With `prefix`, only so many first bytes of a word count, and how long it is doesn't.
+    """
     offsets = _offsets(column)
     if len(offsets) < 2 or offsets[-1] == offsets[0]:
         return np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64)
@@ -67,6 +70,9 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.diff(np.append(begin, len(at)))
     place = np.arange(len(at)) - np.repeat(begin, lengths)
     powers = _powers(int(lengths.max()))
+    if prefix:
+        powers[prefix:] = 0
+        lengths = np.minimum(lengths, prefix)
     hashes = np.add.reduceat(_VALUE[data[at]] * powers[place], begin)
     return mix(hashes + lengths.astype(np.uint64)), bounds
 

@@ -9,14 +9,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidlens.llm.language_id import fold
-from bidlens.llm.shingles import shingle_counts, slices, word_hashes
+from bidlens.llm.shingles import mix, shingle_counts, slices, word_hashes
 
 BUCKETS = 1 << 18
+#: 0 stands for whole words; inflected and compound forms share their beginnings.
+PREFIXES = (0, 5, 7)
 #: Identity terms by kind; within a kind any term can stand for any other.
 IDENTITY_TERMS = {
     "religion": ["atheist", "buddhist", "catholic", "christian", "hindu", "jewish", "muslim", "protestant", "sikh"],
@@ -31,13 +34,16 @@ _MODEL = tuple[np.ndarray, float]
 
 
 def features(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Text numbers (ascending) and buckets of the distinct words."""
-    text, word, _ = shingle_counts(*word_hashes(part), 1)
-    return text, (word >> np.uint64(46)).astype(np.int64)
+    """Text numbers (ascending) and buckets of the distinct words and word beginnings (in bytes)."""
+    found = [shingle_counts(*word_hashes(part, prefix), 1)[:2] for prefix in PREFIXES]
+    text = np.concatenate([t for t, _ in found])
+    key = np.concatenate([mix(w + np.uint64(prefix)) >> np.uint64(46) for (_, w), prefix in zip(found, PREFIXES, strict=True)])
+    order = np.argsort(text, kind="stable")
+    return text[order], key[order].astype(np.int64)
 
 
 def _identity_buckets() -> list[list[int]]:
-    return [[int(features(pa.array([term]))[1][0]) for term in terms] for terms in IDENTITY_TERMS.values()]
+    return [[int(bucket) for term in terms for bucket in features(pa.array([term]))[1][:1]] for terms in IDENTITY_TERMS.values()]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, id_col: str, text_col: str, label_col: str, label_id_col: str) -> pa.Table:
@@ -58,7 +64,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, id_col: st
     return texts.mapInArrow(extract, "label int, buckets array<int>").toArrow()
 
 
-def fit(rows: pa.Table, ridge: float = 0.03, fairness: float = 1.0, least_texts: int = 4, rounds: int = 300) -> _MODEL:
+def fit(rows: pa.Table, ridge: float = 0.01, fairness: float = 1.0, least_texts: int = 4, rounds: int = 200) -> _MODEL:
     """Weights by bucket and an intercept, by accelerated gradient descent on the mean loss.
 
     `ridge` is the penalty on squared weights per 1000 texts; `fairness` that on squared changes of the
@@ -114,6 +120,16 @@ def fit(rows: pa.Table, ridge: float = 0.03, fairness: float = 1.0, least_texts:
     return weights.astype(np.float32), float(w[-1])
 
 
+def _logits(part: pa.Array, model: _MODEL) -> np.ndarray:
+    weights, bias = model
+    text, bucket = features(part)
+    return np.bincount(text, weights=weights[bucket], minlength=len(part)) + bias
+
+
+def _probability(logits: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
+
+
 def score(docs: DataFrame, model: _MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc_id, score. Only the text is looked at."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -121,13 +137,10 @@ def score(docs: DataFrame, model: _MODEL, id_col: str = "doc_id", text_col: str
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = sent.value
         for batch in batches:
             at = 0
             for part in slices(batch.column(1)):
-                text, bucket = features(part)
-                logit = np.bincount(text, weights=weights[bucket], minlength=len(part)) + bias
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(1 / (1 + np.exp(-np.clip(logit, -500, 500))))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(_probability(_logits(part, sent.value)))], ["doc_id", "score"])
                 at += len(part)
 
     return base.mapInArrow(rate, f"doc_id {kind}, score double")
@@ -156,19 +169,18 @@ def assess(
     return out.select("doc_id", F.coalesce(fold("doc_id", folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
-    """The rows whose own text scores below the threshold, with all their columns; ids play no part in it."""
-    folds, held = options.pop("folds", 5), options.pop("held", 0)
-    rows = training_rows(docs, labels.filter(fold("doc_id", folds) != held), options.pop("most_rows", 20_000), id_col, text_col, "toxic", "doc_id")
-    weights = fit(rows, **options)
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
+def drop_toxic(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, threshold: float = 0.5, folds: int = 5, held: int = 0, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose text scores below the threshold, with all their columns; no row's id plays a part in its score.
 
-    @F.pandas_udf("double")
-    def text_score(texts):
-        weights, bias = sent.value
-        logits = [np.bincount(text, weights=weights[bucket], minlength=len(part)) + bias for part in slices(pa.array(texts, pa.string())) for text, bucket in [features(part)]]
-        import pandas as pd
+    Null and empty texts score as in assess(). `learn_from` holds the labelled texts (default: docs).
+    """
+    known = labels.filter(fold("doc_id", folds) != held)
+    rows = training_rows(docs if learn_from is None else learn_from, known, most_rows, id_col, text_col, "toxic", "doc_id")
+    sent = docs.sparkSession.sparkContext.broadcast(fit(rows))
 
-        return pd.Series(1 / (1 + np.exp(-np.clip(np.concatenate(logits), -500, 500)))) if logits else pd.Series([], dtype=float)
+    @F.pandas_udf("double")
+    def text_score(texts: pd.Series) -> pd.Series:
+        found = [_logits(part, sent.value) for part in slices(pa.array(texts, pa.string()))]
+        return pd.Series(_probability(np.concatenate(found)) if found else np.zeros(0))
 
     return docs.filter(text_score(F.col(text_col)) < threshold)

@@ -64,12 +64,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, id_col: st
     return texts.mapInArrow(extract, "label int, buckets array<int>").toArrow()
 
 
-def fit(rows: pa.Table, ridge: float = 0.01, fairness: float = 1.0, least_texts: int = 4, rounds: int = 200) -> _MODEL:
+def fit(rows: pa.Table, ridge: float = 0.01, fairness: float = 1.0, least_texts: int = 4, least_chi_square: float = 3.0, rounds: int = 200) -> _MODEL:
     """Weights by bucket and an intercept, by accelerated gradient descent on the mean loss.
 
     `ridge` is the penalty on squared weights per 1000 texts; `fairness` that on squared changes of the
-    score under a swap, averaged over the swaps of each text. Words in fewer than `least_texts` texts
-    get no weight. Without rows, or with one label only, the intercept alone is fitted.
+    score under a swap, averaged over the swaps of each text. Words in fewer than `least_texts` texts,
+    or whose chi-square against the label is below `least_chi_square`, get no weight. Without rows, or with one label only, the intercept alone is fitted.
     """
     label = rows["label"].to_numpy().astype(float)
     weights = np.zeros(BUCKETS)
@@ -78,18 +78,24 @@ def fit(rows: pa.Table, ridge: float = 0.01, fairness: float = 1.0, least_texts:
     if not len(label) or label.min() == label.max():
         return weights.astype(np.float32), bias
     lists = rows["buckets"].combine_chunks()
-    bucket = lists.flatten().to_numpy().astype(np.int64)
-    text = np.repeat(np.arange(len(label)), lists.value_lengths().to_numpy())
-    spread = np.bincount(bucket, minlength=BUCKETS)
-    kept = spread[bucket] >= least_texts
-    names, column = np.unique(bucket[kept], return_inverse=True)
-    row = text[kept]
+    bucket = lists.flatten().to_numpy()
+    row = np.repeat(np.arange(len(label), dtype=np.int32), lists.value_lengths().to_numpy())
     # A word's value in a text is its correlation with the label, so the ridge spares the words that tell most.
-    spread = np.bincount(column, minlength=len(names)) / len(label)
-    joint = np.bincount(column, weights=label[row], minlength=len(names)) / len(label)
+    spread = np.bincount(bucket, minlength=BUCKETS) / len(label)
+    joint = np.bincount(bucket[label[row] == 1], minlength=BUCKETS) / len(label)
     rate = label.mean()
     value = np.abs(joint - spread * rate) / np.sqrt(np.maximum(spread * (1 - spread), 1e-9) * rate * (1 - rate))
-    cell = value[column]
+    telling = (value**2 * len(label) >= least_chi_square) & (spread * len(label) >= least_texts)
+    for group in _identity_buckets():
+        telling[group] |= spread[group] > 0
+    names = np.flatnonzero(telling)
+    number = np.zeros(BUCKETS, np.int32)
+    number[names] = np.arange(len(names))
+    kept = telling[bucket]
+    row, column = row[kept], number[bucket[kept]]
+    del bucket, kept, lists
+    spread, value = spread[names], value[names]
+    cell = value[column].astype(np.float32)
     # Swaps: for a text that holds term a, each other term b of the kind changes the score by that of b less that of a.
     place = {int(name): k for k, name in enumerate(names)}
     swaps = []
@@ -151,7 +157,7 @@ def assess(
     labels: DataFrame,
     folds: int = 5,
     held: int = 0,
-    most_rows: int = 20_000,
+    most_rows: int = 10_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
@@ -169,7 +175,7 @@ def assess(
     return out.select("doc_id", F.coalesce(fold("doc_id", folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, threshold: float = 0.5, folds: int = 5, held: int = 0, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, threshold: float = 0.5, folds: int = 5, held: int = 0, most_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose text scores below the threshold, with all their columns; no row's id plays a part in its score.
 
     Null and empty texts score as in assess(). `learn_from` holds the labelled texts (default: docs).

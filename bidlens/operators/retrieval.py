@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bidlens.functions.text import any_of, count_hits, find_all, normalize_for_search, quoted, strip
+from bidlens.functions.text import any_of, count_hits, find_all, let, normalize_for_search, quoted, strip
 from bidlens.rules import SCORED_TWICE, SECTIONS_BASIC, SECTIONS_EVIDENCE, SECTIONS_RANKED, SECTIONS_SCORED
 
 _HIT = "array<struct<start:int,end:int,nth:int,keyword:string>>"
@@ -17,8 +17,11 @@ _HIT = "array<struct<start:int,end:int,nth:int,keyword:string>>"
 
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
     """Array of (start, end, nth, keyword): all occurrences of all keywords in any case, by start, then list order."""
+    return let(F.lower(text), lambda low: _hits(text, low, keywords))
+
+
+def _hits(text: Column, low: Column, keywords: list[str]) -> Column:
     none = F.array().cast(_HIT)
-    low = F.lower(text)
 
     def of(n: int, word: str) -> Column:
         placed = F.transform(find_all(text, quoted(word)), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(n).alias("nth"), F.lit(word).alias("keyword")))
@@ -81,8 +84,10 @@ def keyword_weight(word: str) -> float:
 
 def scored_snippets(text: Column, section: str, window: int = 900, most: int = 10) -> Column:
     """Windows of the search-normalised text by score: keyword weights, and bonuses for anchors and variety."""
-    low = normalize_for_search(text)
-    words = SECTIONS_SCORED[section]
+    return let(normalize_for_search(text), lambda low: _scored(low, SECTIONS_SCORED[section], window, most))
+
+
+def _scored(low: Column, words: list[str], window: int, most: int) -> Column:
     windows = merge_windows(keyword_hits(low, words), F.length(low), window, "keyword")
     weights = {word: keyword_weight(word) * (2 if word in SCORED_TWICE else 1) for word in words}
 
@@ -90,9 +95,8 @@ def scored_snippets(text: Column, section: str, window: int = 900, most: int = 1
         total = F.lit(0.0)
         for word, weight in weights.items():
             total = total + (F.size(found) - F.size(F.array_remove(found, word))) * F.lit(weight)
-        distinct = F.array_distinct(found)
-        anchors = F.size(F.filter(distinct, lambda w: F.contains(w, F.lit(" ")) | F.contains(w, F.lit("/")) | (F.length(w) >= 10)))
-        return F.round(total + F.least(F.lit(6.0), anchors * F.lit(1.5)) + F.when(F.size(distinct) >= 3, 1.0).otherwise(0.0), 4)
+        anchors = lambda distinct: F.size(F.filter(distinct, lambda w: F.contains(w, F.lit(" ")) | F.contains(w, F.lit("/")) | (F.length(w) >= 10)))
+        return let(F.array_distinct(found), lambda d: F.round(total + F.least(F.lit(6.0), anchors(d) * F.lit(1.5)) + F.when(F.size(d) >= 3, 1.0).otherwise(0.0), 4))
 
     scored = F.transform(windows, lambda w: F.struct((-score(w["found"])).alias("rank"), w["lo"].alias("offset"), strip(F.substring(low, w["lo"] + 1, w["hi"] - w["lo"])).alias("snippet"), F.array_sort(F.array_distinct(w["found"])).alias("keywords")))
     best = F.slice(F.array_sort(F.filter(scored, lambda s: s["snippet"] != "")), 1, most)
@@ -101,27 +105,31 @@ def scored_snippets(text: Column, section: str, window: int = 900, most: int = 1
 
 def context(text: Column, sections: tuple[str, ...] = ("price", "payment", "liability", "execution"), cap: int = 20_000) -> Column:
     """Headers and numbered snippets of all sections while they fit; the first that doesn't is cut to the room left, and ends it."""
-    state = F.struct(F.lit("").alias("text"), F.lit(False).alias("full"))
-    total = state
-    for section in sections:
-        snippets = scored_snippets(text, section)
-        header = f"### SECTION: {section.upper()}\n"
-        begun = F.when(total["full"] | (F.size(snippets) == 0), total).otherwise(
-            F.when(F.length(total["text"]) + len(header) > cap, F.struct(total["text"].alias("text"), F.lit(True).alias("full"))).otherwise(F.struct(F.concat(total["text"], F.lit(header)).alias("text"), F.lit(False).alias("full")))
-        )
-        numbered = F.transform(snippets, lambda s, i: F.struct((i + 1).alias("n"), s["snippet"].alias("snippet"), s["score"].alias("score"), s["offset"].alias("offset")))
-
-        def add(acc: Column, s: Column) -> Column:
-            block = F.format_string("[SNIPPET %d | score=%.2f | offset=%d]\n%s\n\n", s["n"], s["score"], s["offset"], s["snippet"])
-            room = cap - F.length(acc["text"])
-            prefix = F.format_string("[SNIPPET %d]\n", s["n"])
-            part = F.concat(prefix, F.regexp_replace(F.left(s["snippet"], room - F.length(prefix) - 1), r"(?U)\s+$", ""), F.lit("\n"))
-            cut = F.when(room <= F.length(prefix), acc["text"]).otherwise(F.concat(acc["text"], part))
-            return (
-                F.when(acc["full"], acc)
-                .when(F.length(block) <= room, F.struct(F.concat(acc["text"], block).alias("text"), F.lit(False).alias("full")))
-                .otherwise(F.struct(cut.alias("text"), F.lit(True).alias("full")))
-            )
-
-        total = F.aggregate(numbered, begun, add)
+    state = lambda text, full: F.struct(text.alias("text"), full.alias("full"))
+    yes, no = F.lit(True), F.lit(False)
+
+    def add(acc: Column, s: Column) -> Column:
+        block = F.format_string("[SNIPPET %d | score=%.2f | offset=%d]\n%s\n\n", s["n"], s["score"], s["offset"], s["snippet"])
+        room = cap - F.length(acc["text"])
+        prefix = F.format_string("[SNIPPET %d]\n", s["n"])
+        part = F.concat(prefix, F.regexp_replace(F.left(s["snippet"], room - F.length(prefix) - 1), r"(?U)\s+$", ""), F.lit("\n"))
+        cut = F.when(room <= F.length(prefix), acc["text"]).otherwise(F.concat(acc["text"], part))
+        whole = lambda b: F.when(F.length(b) <= room, state(F.concat(acc["text"], b), no)).otherwise(state(cut, yes))
+        return F.when(acc["full"], acc).otherwise(let(block, whole))
+
+    def section(total: Column, name: str) -> Column:
+        header = f"### SECTION: {name.upper()}\n"
+
+        def fill(x: Column) -> Column:
+            t, snippets = x["t"], x["s"]
+            fits = F.length(t["text"]) + len(header) <= cap
+            begun = F.when(t["full"] | (F.size(snippets) == 0), t).when(fits, state(F.concat(t["text"], F.lit(header)), no)).otherwise(state(t["text"], yes))
+            numbered = F.transform(snippets, lambda s, i: F.struct((i + 1).alias("n"), s["snippet"].alias("snippet"), s["score"].alias("score"), s["offset"].alias("offset")))
+            return F.aggregate(numbered, begun, add)
+
+        return let(F.struct(total.alias("t"), scored_snippets(text, name).alias("s")), fill)
+
+    total = state(F.lit(""), no)
+    for name in sections:
+        total = section(total, name)
     return strip(total["text"])

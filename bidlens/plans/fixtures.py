@@ -53,4 +53,6 @@ CASE k % 3 WHEN 0 THEN CASE (k * 7) % 4 WHEN 0 THEN '0.02' WHEN 1 THEN '0.03' WH
 
 
 def tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(TENDER_SQL.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    # Keys are dealt out before texts are made of them: work a row is much, bytes a row are few.
+    keys = table(spark, sf_dir, "orders").select("o_orderkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+    return spark.sql(TENDER_SQL.replace("FROM orders", "FROM {orders}"), orders=keys)

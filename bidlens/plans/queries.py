@@ -330,11 +330,10 @@ def _facts_query(variant: str) -> Query:
     return run
 
 
-_FIRST_PERCENT = "CASE WHEN is_trap THEN advance_percent ELSE advance_percent END"
 for _variant, _penalty, _fine in (
     ("basic", "CASE WHEN k % 4 IN (1, 2) THEN penalty_txt::DOUBLE END", "NULL::DOUBLE"),
     ("ranked", "CASE WHEN k % 4 = 2 THEN penalty_txt::DOUBLE END", "CASE k % 4 WHEN 1 THEN 5.0::DOUBLE WHEN 3 THEN 1.0::DOUBLE END"),
-    ("evidence", "NULL::DOUBLE", f"CASE WHEN k % 4 IN (1, 3) THEN {_FIRST_PERCENT}::DOUBLE END"),
+    ("evidence", "NULL::DOUBLE", "CASE WHEN k % 4 IN (1, 3) THEN advance_percent::DOUBLE END"),
 ):
     QUERIES[f"facts_{_variant}"] = _facts_query(_variant)
     SQL[f"facts_{_variant}"] = f"WITH {_TENDERS} SELECT k, nmck::DOUBLE AS nmck, payment_terms_days AS payment_days, execution_days, {_penalty} AS penalty, {_fine} AS fine FROM t"
@@ -348,7 +347,7 @@ def _analyze_query(variant: str) -> Query:
     return run
 
 
-def _analyze_sql(penalty: str, vague: str, advance: str, missing: int, complete: int, partial: str) -> str:
+def _analyze_sql(penalty: str, vague: str, advance: str, missing: int, complete: int | str, partial: str) -> str:
     """From the truth: `penalty` as found, `missing` points where it isn't, completeness with and without it."""
     return f"""WITH {_TENDERS}, p AS (SELECT *, {penalty} AS pen, {advance} AS adv, nmck * CASE WHEN mode = 'safe' THEN 84 ELSE 90 END / 100 AS cost FROM t),
 s AS (SELECT *, greatest(0, least(10, CASE WHEN payment_terms_days >= 60 THEN 2 WHEN payment_terms_days >= 30 THEN 1 ELSE 0 END
@@ -364,9 +363,9 @@ SELECT k, nmck::DOUBLE AS nmck, payment_terms_days, execution_days, pen AS penal
 for _variant in ("basic", "ranked", "evidence"):
     QUERIES[f"analyze_{_variant}"] = _analyze_query(_variant)
 SQL["analyze_basic"] = _analyze_sql("CASE WHEN k % 4 IN (1, 2) THEN penalty_txt::DOUBLE END", "false", "NULL::DOUBLE", 1, 75, "true")
-_NO_LIABILITY = "false"
-SQL["analyze_ranked"] = _analyze_sql("CASE WHEN k % 4 = 2 THEN penalty_txt::DOUBLE END", "has_vague_acceptance_terms", "NULL::DOUBLE", 1, 75, "k % 4 = 2")
-SQL["analyze_evidence"] = _analyze_sql("NULL::DOUBLE", "false", "NULL::DOUBLE", 0, 100, "false")
+SQL["analyze_ranked"] = _analyze_sql("CASE WHEN k % 4 = 2 THEN penalty_txt::DOUBLE END", "has_vague_acceptance_terms", "NULL::DOUBLE", 1, 75, "false")
+# Only fines, fractions and decrees are penalties to the evidence variant.
+SQL["analyze_evidence"] = _analyze_sql("NULL::DOUBLE", "false", "NULL::DOUBLE", 0, "CASE WHEN k % 4 IN (0, 2) THEN 75 ELSE 100 END", "k % 4 IN (0, 2)")
 
 
 @query(f"""WITH {_TENDERS}, x AS (SELECT k, CASE k % 4 WHEN 0 THEN text WHEN 1 THEN 'Оплата в течение 20 дней. Неустойка 0.1%.' WHEN 2 THEN 'НМЦК по извещению: 7 752 436,93 руб. Цена договора фиксированная.' ELSE text || repeat(' Дополнение.', 400) END AS text, k % 4 AS c FROM t)
@@ -522,8 +521,9 @@ def rerun_diff(spark, sf_dir):
     """Q23: two runs over differently partitioned input give the same rows."""
     run = lambda df: analyze(df.select("k", "text", "cost_price", "planned_margin_percent"), "ranked").drop("quote")
     source = priced(spark, sf_dir)
-    one, two = run(source), run(source.repartition(7, "k"))
-    return one.exceptAll(two).unionByName(two.exceptAll(one)).agg(F.count(F.lit(1)).alias("changed"))
+    one, two = run(source).withColumn("_sign", F.lit(1)), run(source.repartition(7, "k")).withColumn("_sign", F.lit(-1))
+    balance = one.unionByName(two).groupBy(*[c for c in one.columns if c != "_sign"]).agg(F.sum("_sign").alias("_balance"))
+    return balance.agg(F.count_if(F.col("_balance") != 0).alias("changed"))
 
 
 @query(rf"""SELECT page_id, sha256({_NORM.format("""replace(replace(replace(replace(replace(regexp_replace(replace(html, '</w:p>', chr(10)), '<[^>]+>', '', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39))""")}) AS text_sha256 FROM pages""")
@@ -538,7 +538,7 @@ def pdf_rows_text(spark, sf_dir):
     return L.page_texts(L.layout_words(table(spark, sf_dir, "documents")))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 702 < 26 THEN p_partkey % 702 ELSE p_partkey % 702 END AS column_index FROM part")
+@query("SELECT p_partkey, p_partkey % 702 AS column_index FROM part")
 def xlsx_column_index(spark, sf_dir):
     """Column letters to numbers and back."""
     n = F.col("p_partkey") % 702

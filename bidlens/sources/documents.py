@@ -56,8 +56,10 @@ def lossy_utf8(content: Column) -> Column:
 
 
 def _cyrillic(content: Column) -> Column:
-    """windows-1251; the one byte it leaves open is dropped."""
-    return F.decode(F.unhex(F.array_join(F.filter(F.regexp_extract_all(F.hex(content), F.lit("(..)"), F.lit(1)), lambda b: b != "98"), "")), "windows-1251")
+    """windows-1251, read as Latin-1 and each upper character exchanged; the one byte it leaves open is dropped."""
+    upper = {b: bytes([b]).decode("cp1251", "ignore") for b in range(128, 256)}
+    known = [b for b, char in upper.items() if char]
+    return F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, known)) + "\x98", "".join(upper[b] for b in known))
 
 
 def plain_text(content: Column) -> Column:
@@ -74,6 +76,8 @@ def doc_text(content: Column) -> Column:
 
 def _word_xml(content: Column) -> Column:
     def member(data: bytes) -> str | None:
+        if data is None:
+            return None
         try:
             with zipfile.ZipFile(io.BytesIO(data)) as archive:
                 return archive.read("word/document.xml").decode("utf-8", "ignore")
@@ -170,9 +174,11 @@ def xlsx_texts(files: DataFrame) -> DataFrame:
 def document_texts(files: DataFrame) -> DataFrame:
     """Path, name, ext, text, error; old spreadsheets and unknown types have an error and no text."""
     ext, content = F.col("ext"), F.col("content")
+    # Python sees every row, whatever the branch; so it gets only the contents that are for it.
+    of = lambda kind: F.when(ext == kind, content)
     simple = files.filter(ext != "xlsx").select(
         "path", "name", "ext",
-        F.when(ext == "docx", docx_text(content)).when(ext == "doc", doc_text(content)).when(ext == "txt", plain_text(content)).when(ext == "csv", csv_text(content)).alias("raw"),
+        F.when(ext == "docx", docx_text(of("docx"))).when(ext == "doc", doc_text(content)).when(ext == "txt", plain_text(content)).when(ext == "csv", csv_text(of("csv"))).alias("raw"),
     )
     books = files.filter(ext == "xlsx")
     sheets = books.select("path", "name", "ext").join(xlsx_texts(books).withColumnRenamed("text", "raw"), "path", "left").select("path", "name", "ext", F.coalesce("raw", F.lit("")).alias("raw"))

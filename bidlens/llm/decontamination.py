@@ -16,7 +16,7 @@ from bidlens.llm.common import NON_WORD, broadcast_if_small, lower_ascii, materi
 
 #: A vocabulary (8 bytes a term) and its alignments are broadcast up to so many rows, shuffled beyond.
 VOCABULARY_ROWS = 1_000_000
-_DOC_END = F.lit(-1).cast("long")
+_DOC_END = -1
 
 
 def words(text: Column) -> Column:
@@ -47,8 +47,8 @@ def positional_index(docs: DataFrame, vocabulary: DataFrame, arity: int = 2, id_
     `row` numbers the input rows, so repeated or null ids stay apart.
     """
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    every = base.select("row", "doc_id", F.size("w").alias("n_words"), F.posexplode(F.concat(_terms(F.col("w"), arity), F.array(_DOC_END))).alias("pos", "term"))
-    known = vocabulary.select("term").distinct().union(docs.sparkSession.range(1).select(_DOC_END.alias("term")))
+    every = base.select("row", "doc_id", F.size("w").alias("n_words"), F.posexplode(F.concat(_terms(F.col("w"), arity), F.array(F.lit(_DOC_END).cast("long")))).alias("pos", "term"))
+    known = vocabulary.select("term").distinct().union(docs.sparkSession.range(1).select(F.lit(_DOC_END).cast("long").alias("term")))
     return materialize(every.join(broadcast_if_small(known, VOCABULARY_ROWS), "term", "left_semi"), "postings")
 
 

@@ -26,7 +26,7 @@ from bidlens.llm.common import materialize
 _LATIN = "a-zªµºß-öø-ɏ"
 _PRETOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LATIN}]+|[0-9²³¹¼-¾]|[^\s0-9²³¹¼-¾{_LATIN}]+")
 _ALPHABET = re.compile("[\t\n\r -~\xa0-ɏ‐-‧]*")
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 200_000
 
 _encoders: dict[str, WordEncoder] = {}
 

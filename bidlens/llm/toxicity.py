@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -184,9 +183,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None
     rows = training_rows(docs if learn_from is None else learn_from, known, most_rows, id_col, text_col, "toxic", "doc_id")
     sent = docs.sparkSession.sparkContext.broadcast(fit(rows))
 
-    @F.pandas_udf("double")
-    def text_score(texts: pd.Series) -> pd.Series:
-        found = [_logits(part, sent.value) for part in slices(pa.array(texts, pa.string()))]
-        return pd.Series(_probability(np.concatenate(found)) if found else np.zeros(0))
+    @F.arrow_udf("double")
+    def text_score(texts: pa.Array) -> pa.Array:
+        found = [_logits(part, sent.value) for part in slices(texts)]
+        return pa.array(_probability(np.concatenate(found)) if found else np.zeros(0))
 
     return docs.filter(text_score(F.col(text_col)) < threshold)

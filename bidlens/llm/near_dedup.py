@@ -1,9 +1,9 @@
 """Near-duplicate detection: ProbMinHash signatures of weighted word shingles, banding, exact verification.
 
-Candidates meet in a band's bucket. A bucket never yields all its pairs: each member is compared
-with the bucket's most central member and with its neighbour in the order of the next band, so the
-number of pairs grows with the members. As a text meets others in many bands, each time with other
-leaders and neighbours, links between different texts aren't left to one comparison.
+Candidates meet in a band's bucket, where each member is compared with the most central member and
+with its neighbour in the order of the next band. These links settle most classes with few pairs, but
+not all of them. So an exact pass follows: a prefix-filter join of all texts on their rarest shingles
+yields every pair that can reach the threshold and whose ends are not in one class yet; each is verified.
 """
 
 from __future__ import annotations
@@ -23,14 +23,54 @@ REGISTERS, BAND_ROWS = 128, 4
 MOST_WEIGHT = 2
 #: Up to so many row numbers (8 bytes each) are broadcast to find the texts to verify; beyond, texts are shuffled.
 WANTED_ROWS = 2_000_000
+#: Shingles are put in order by how often their range of hashes occurs in one row of `SAMPLED`. Any order is exact; a rarest-first one is fast.
+RANGES, SAMPLED = 1 << 20, 8
+#: Against rounding: bounds are loosened by so much, and what passes is verified.
+SLACK = 1e-6
 
 
 def _batches(columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names)
 
 
-def signatures(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored rows row, doc_id, low, high (128-bit key of the word sequence), n (distinct shingles), bands."""
+def _ranges(shingle: np.ndarray) -> np.ndarray:
+    return (shingle >> np.uint64(44)).astype(np.int64)
+
+
+def commonness(docs: DataFrame, words: int = 5, text_col: str = "text") -> np.ndarray:
+    """How often each range of shingle hashes occurs in a sample of the texts."""
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).filter(F.pmod(F.xxhash64("row"), F.lit(SAMPLED)) == 0)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(RANGES, np.int64)
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                counts += np.bincount(_ranges(shingle_counts(*word_hashes(part), words)[1]), minlength=RANGES)
+        some = np.flatnonzero(counts)
+        for at in range(0, len(some), 100_000):
+            yield _batches([pa.array(some[at : at + 100_000]), pa.array(counts[some[at : at + 100_000]])], ["range", "n"])
+
+    rows = texts.select("text").mapInArrow(tally, "range long, n long").groupBy("range").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(RANGES, np.int32)
+    out[rows["range"].to_numpy()] = np.minimum(rows["n"].to_numpy(), 2**31 - 1)
+    return out
+
+
+def rarest_shingles(text: np.ndarray, shingle: np.ndarray, texts: int, common: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text's prefix begins and ends (texts + 1 numbers), and the prefixes' shingles, rarest first.
+
+    Two sets of Jaccard similarity `threshold` have their first common shingle in both prefixes.
+    """
+    order = np.lexsort((shingle, common[_ranges(shingle)], text))
+    n = np.bincount(text, minlength=texts)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    size = np.minimum(n, n - np.ceil(threshold * n - SLACK).astype(np.int64) + 1)
+    return np.append(0, np.cumsum(size)), shingle[order][place < np.repeat(size, n)]
+
+
+def signatures(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """Stored rows row, doc_id, low, high (128-bit key of the word sequence), n (distinct shingles), bands, prefix."""
+    common = docs.sparkSession.sparkContext.broadcast(commonness(docs, words, text_col))
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
 
@@ -42,6 +82,7 @@ def signatures(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col
                 text, shingle, count = shingle_counts(hashes, bounds, words)
                 keys = band_keys(prob_minhash(text, shingle, np.minimum(count, MOST_WEIGHT).astype(float), len(part), REGISTERS), BAND_ROWS)
                 bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
+                ends, rarest = rarest_shingles(text, shingle, len(part), common.value, threshold)
                 yield _batches(
                     [
                         batch.column(0).slice(at, len(part)),
@@ -50,12 +91,13 @@ def signatures(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col
                         pa.array(sequence_hash(hashes, bounds, 2).view(np.int64)),
                         pa.array(np.bincount(text, minlength=len(part)).astype(np.int64)),
                         bands,
+                        pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(rarest.view(np.int64))),
                     ],
-                    ["row", "doc_id", "low", "high", "n", "bands"],
+                    ["row", "doc_id", "low", "high", "n", "bands", "prefix"],
                 )
                 at += len(part)
 
-    return materialize(base.mapInArrow(sign, f"row long, doc_id {kind}, low long, high long, n long, bands array<long>"), "signatures")
+    return materialize(base.mapInArrow(sign, f"row long, doc_id {kind}, low long, high long, n long, bands array<long>, prefix array<long>"), "signatures")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -92,6 +134,35 @@ def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
 
 
+def _unsettled(reps: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """Rows a, b: all pairs of different classes so far that can reach the threshold.
+
+    If two sets are that similar, then after their first common shingle, at places i and j of the
+    order, enough shingles are left in both for the overlap. A list in which one class leads is not
+    paired within that class, so large classes cost no more than their members.
+    """
+    cells = reps.join(roots.withColumnRenamed("node", "row"), "row", "left").select("row", "n", F.coalesce("root", "row").alias("root"), F.posexplode("prefix").alias("place", "shingle"))
+    split = materialize(cells.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("shingle"), "split")
+    cells = materialize(cells.join(broadcast_if_small(split, WANTED_ROWS), "shingle"), "lists")
+    shares = cells.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("members"))
+    lead = shares.groupBy("shingle").agg(F.max_by("root", F.struct("members", "root")).alias("lead"))
+    left = cells.join(lead, "shingle").filter("root != lead").select("shingle", "lead", *[F.col(c).alias(f"a_{c}") for c in ("row", "n", "root", "place")])
+    both = left.join(cells, "shingle").filter("a_root != root and (root = lead or a_row < row)")
+    need = F.lit(threshold) * (F.col("n") + F.col("a_n")) - SLACK
+    both = both.filter((F.least("n", "a_n") >= threshold * F.greatest("n", "a_n") - SLACK) & (F.least(F.col("n") - F.col("place"), F.col("a_n") - F.col("a_place")) * (1 + threshold) >= need))
+    return both.select(F.least("row", "a_row").alias("a"), F.greatest("row", "a_row").alias("b")).distinct()
+
+
+def _links(docs: DataFrame, pairs: DataFrame, words: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """Stored rows a, b: the pairs of at least that similarity."""
+    wanted = materialize(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "wanted")
+    sets = _shingle_sets(docs, wanted, words, id_col, text_col)
+    left, right = sets.select(F.col("row").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("row").alias("b"), F.col("shingles").alias("sb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    found = pairs.join(right, "b").join(left, "a").withColumn("common", common)
+    return materialize(found.filter(F.col("common") >= threshold * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"), "links")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows node, root: the smallest node of each connected component of edges a, b.
 
@@ -120,17 +191,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_
     null. Repeated rows are one class and all have its smallest id, so all are kept. An empty table
     gives no rows; columns other than the two named are not read.
     """
-    signed = signatures(docs, words, id_col, text_col)
+    signed = signatures(docs, words, id_col, text_col, threshold)
     copies = signed.filter("n > 0").groupBy("low", "high").agg(F.min("row").alias("rep"))
     copies = materialize(copies, "copies")
     reps = signed.filter("n > 0").join(copies.select(F.col("rep").alias("row")), "row", "left_semi")
     pairs = materialize(_candidates(reps, threshold), "pairs")
-    wanted = materialize(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "wanted")
-    sets = _shingle_sets(docs, wanted, words, id_col, text_col)
-    left, right = sets.select(F.col("row").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("row").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    edges = pairs.join(right, "b").join(left, "a").withColumn("common", common).filter(F.col("common") >= threshold * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+    edges = _links(docs, pairs, words, threshold, id_col, text_col)
     roots = components(edges)
+    rest = materialize(_unsettled(reps, roots, threshold), "rest")
+    if not rest.isEmpty():
+        more = _links(docs, rest, words, threshold, id_col, text_col)
+        if not more.isEmpty():
+            roots = components(edges.union(more))
     rep_of = copies.join(roots, copies["rep"] == roots["node"], "left").select("low", "high", F.coalesce("root", "rep").alias("root"))
     placed = materialize(
         signed.filter("n > 0").join(rep_of, ["low", "high"]).select("row", "doc_id", "root").unionByName(signed.filter("n = 0").select("row", "doc_id", F.col("row").alias("root"))),

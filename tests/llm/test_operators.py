@@ -230,6 +230,20 @@ def test_near_dedup(spark):
     assert kept.columns == docs(spark, rows).columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+def test_near_dedup_loses_no_link_of_dissimilar_repetitions(spark):
+    """Which half is repeated changes weights, thus bands, but hardly the set of shingles."""
+    rows = []
+    for base in range(150):
+        text = prose(1000 + base, 200).split()
+        ends = ["x%dy%d" % (base, k) for k in range(16)]
+        rows.append((2 * base, " ".join(text[:100] * 2 + text[100:] + ends)))
+        rows.append((2 * base + 1, " ".join(text[:100] + text[100:] * 2 + ends[8:])))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words(t) for _, t in rows)]
+    assert all(len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1]) for k in range(0, 300, 2))
+    assert [got[i] for i, _ in rows] == [i - i % 2 for i, _ in rows]
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     from bidlens.llm.shingles import prob_minhash
 

@@ -2,7 +2,7 @@
 
 A text is scanned as it stands; then layers under it are unwrapped (percent escapes, Unicode escapes,
 base64, gzip and zlib), each scanned in turn and searched for further layers until nothing new comes up.
-A layer whose text was seen before is not taken again, so cycles end. Every finding is mapped back to
+A layer whose text was seen before at the same place is not taken again, so cycles end. Every finding is mapped back to
 code points of the outermost text: exactly through escapes, to the whole encoded run through base64.
 """
 
@@ -63,6 +63,10 @@ class Layer:
     def __init__(self, text: str, begin: np.ndarray, end: np.ndarray, path: str):
         self.text, self.begin, self.end, self.path = text, begin, end, path
 
+    def key(self) -> tuple[str, bytes, bytes]:
+        """Equal texts at different places are different layers."""
+        return self.text, self.begin.tobytes(), self.end.tobytes()
+
     def outer(self, start: int, end: int) -> tuple[int, int]:
         whole = len(self.begin) == 1
         return int(self.begin[0 if whole else start]), int(self.end[0 if whole else end - 1])
@@ -141,8 +145,8 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
     if "%" not in text and "\\" not in text and not _BASE64.search(text):
         return base, []
     known, added = set(base), set()
-    seen = {text}
     work = [Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1), "")]
+    seen = {work[0].key()}
     while work:
         layer = work.pop()
         if layer.path:
@@ -157,8 +161,9 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
         if "\\" in layer.text:
             below += _rewritten(layer, _UNICODE, _unicode_units, "unicode")
         for under in below:
-            if under.text not in seen:
-                seen.add(under.text)
+            key = under.key()
+            if key not in seen:
+                seen.add(key)
                 work.append(under)
     return base, sorted(added, key=lambda s: (s[1], KINDS.index(s[0].split("@")[0]), s[0], s[2]))
 

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version or an exact round trip, on small tables with awkward rows."""
 
+import base64
 import hashlib
 import random
 import re
@@ -191,6 +192,13 @@ def test_secrets():
     assert secrets.scan("%25252525" * 50)[0] == []
 
 
+def test_secrets_finds_each_place_of_a_repeated_blob():
+    blob = base64.b64encode(b"password = hunter22hunter").decode()
+    text = f"first {blob} then {blob} end"
+    spans = [("assign@base64", at, at + len(blob)) for at in (6, 12 + len(blob))]
+    assert secrets.scan(text) == ([], spans)
+
+
 def test_secrets_table(spark):
     got = secrets.find_secrets(docs(spark, AWKWARD + [(50, "token=abcdef")])).collect()
     assert len(got) == len(AWKWARD) + 1

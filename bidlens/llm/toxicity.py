@@ -41,8 +41,9 @@ def features(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text[order], key[order].astype(np.int64)
 
 
-def _identity_buckets() -> list[list[int]]:
-    return [[int(bucket) for term in terms for bucket in features(pa.array([term]))[1][:1]] for terms in IDENTITY_TERMS.values()]
+def _identity_buckets() -> list[list[list[int]]]:
+    """By kind and term all buckets a term brings into a text, that of the whole word first."""
+    return [[[int(bucket) for bucket in features(pa.array([term]))[1]] for term in terms] for terms in IDENTITY_TERMS.values()]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, id_col: str, text_col: str, label_col: str, label_id_col: str) -> pa.Table:
@@ -85,8 +86,10 @@ def fit(rows: pa.Table, ridge: float = 0.01, fairness: float = 1.0, least_texts:
     rate = label.mean()
     value = np.abs(joint - spread * rate) / np.sqrt(np.maximum(spread * (1 - spread), 1e-9) * rate * (1 - rate))
     telling = (value**2 * len(label) >= least_chi_square) & (spread * len(label) >= least_texts)
-    for group in _identity_buckets():
-        telling[group] |= spread[group] > 0
+    kinds = _identity_buckets()
+    for group in kinds:
+        every = [bucket for term in group for bucket in term]
+        telling[every] |= spread[every] > 0
     names = np.flatnonzero(telling)
     number = np.zeros(BUCKETS, np.int32)
     number[names] = np.arange(len(names))
@@ -95,28 +98,34 @@ def fit(rows: pa.Table, ridge: float = 0.01, fairness: float = 1.0, least_texts:
     del bucket, kept, lists
     spread, value = spread[names], value[names]
     cell = value[column].astype(np.float32)
-    # Swaps: for a text that holds term a, each other term b of the kind changes the score by that of b less that of a.
+    # Swaps: for a text that holds term a, each other term b of the kind changes the score by all buckets of b less all those of a.
     place = {int(name): k for k, name in enumerate(names)}
-    swaps = []
-    for group in _identity_buckets():
+    often, swap, part, sign = [], [], [], []
+    for group in kinds:
         for a in group:
-            if a in place:
-                swaps += [(place[a], place.get(b, -1), spread[place[a]] / max(1, len(group) - 1)) for b in group if b != a]
-    first, second, often = (np.array(x) for x in zip(*swaps, strict=True)) if swaps else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    known = second >= 0
+            for b in group:
+                if a is b or a[0] not in place:
+                    continue
+                for side, buckets in ((-1.0, set(a) - set(b)), (1.0, set(b) - set(a))):
+                    for k in sorted(place[bucket] for bucket in buckets if bucket in place):
+                        swap.append(len(often))
+                        part.append(k)
+                        sign.append(side)
+                often.append(spread[place[a[0]]] / (len(group) - 1))
+    often, swap, part = np.array(often), np.array(swap, int), np.array(part, int)
+    shift = np.array(sign) * value[part]
     w, ahead, momentum = np.zeros(len(names) + 1), np.zeros(len(names) + 1), 1.0
     w[-1] = ahead[-1] = bias
     size = np.sqrt((np.bincount(row, weights=cell**2, minlength=len(label)) + 1).mean())
-    step = 1 / (0.25 * size + ridge / 1000 + 4 * fairness * float((often * value[first]).sum()))
+    step = 1 / (0.25 * size + ridge / 1000 + 2 * fairness * float((often[swap] * shift**2).sum()))
     for _ in range(rounds):
         logit = np.bincount(row, weights=cell * ahead[column], minlength=len(label)) + ahead[-1]
         error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label) / len(label)
         slope = np.append(value * np.bincount(column, weights=error[row], minlength=len(names)), error.sum())
         slope[:-1] += ridge / 1000 * ahead[:-1]
         if len(often):
-            change = 2 * fairness * often * (np.where(known, value[second] * ahead[second], 0) - value[first] * ahead[first])
-            np.subtract.at(slope, first, change * value[first])
-            np.add.at(slope, second[known], (change * value[second])[known])
+            change = 2 * fairness * often * np.bincount(swap, weights=shift * ahead[part], minlength=len(often))
+            np.add.at(slope, part, change[swap] * shift)
         after = ahead - step * slope
         faster = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         ahead = after + (momentum - 1) / faster * (after - w)

@@ -323,6 +323,22 @@ def test_counterfactual_penalty_evens_out_identity_terms():
     assert gap[1] < 0.5 * gap[0]
 
 
+def test_counterfactual_penalty_covers_all_features_of_a_term():
+    import pyarrow as pa
+
+    for one, other in (("muslim", "christian"), ("gay", "lesbian")):
+        texts = [f"{one} vile"] * 40 + [f"{other} fine"] * 60 + [f"{one} fine"] * 8 + [f"{other} vile"] * 4
+        label = [int("vile" in t) for t in texts]
+        text, bucket = toxicity.features(pa.array(texts))
+        ends = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
+        rows = pa.table({"label": pa.array(label, pa.int32()), "buckets": pa.ListArray.from_arrays(ends, pa.array(bucket.astype(np.int32)))})
+        gap = []
+        for fairness in (0.0, 50.0):
+            logits = toxicity._logits(pa.array([f"the {one} neighbours", f"the {other} neighbours"]), toxicity.fit(rows, fairness=fairness, rounds=2000))
+            gap.append(abs(logits[0] - logits[1]))
+        assert gap[1] < 0.1 * gap[0], gap
+
+
 def test_pii(spark):
     card = "4539 1488 0343 6467"
     rows = AWKWARD + [

@@ -110,24 +110,32 @@ def complete_bin(room: int, lengths: list[int], left: dict[int, int], nodes: int
     best: list[int] = []
     best_waste = room
     below = list(accumulate(size * left[size] for size in lengths))
-
-    def grow(room: int, upto: int, chosen: list[int], used: dict[int, int]) -> bool:
-        nonlocal best, best_waste, nodes
-        if room < best_waste:
-            best, best_waste = chosen[:], room
-        i = bisect_right(lengths, room, 0, upto) - 1
-        while room and i >= 0 and room - below[i] < best_waste:
+    # A stack of its own, as a filling may hold more pieces than Python allows calls.
+    chosen: list[int] = []
+    used: dict[int, int] = {}
+    rooms, at = [room], [bisect_right(lengths, room) - 1]
+    while at:
+        room, i = rooms[-1], at[-1]
+        if not room or i < 0 or room - below[i] >= best_waste:
+            if best_waste == 0 or nodes <= 0:
+                break
+            rooms.pop()
+            at.pop()
+            if at:
+                used[chosen.pop()] -= 1
+                at[-1] -= 1
+        elif left[lengths[i]] > used.get(lengths[i], 0):
             size = lengths[i]
-            if left[size] > used.get(size, 0):
-                nodes -= 1
-                used[size] = used.get(size, 0) + 1
-                if grow(room - size, i + 1, [*chosen, size], used) or nodes <= 0:
-                    return True
-                used[size] -= 1
-            i -= 1
-        return best_waste == 0
-
-    grow(room, len(lengths), [], {})
+            nodes -= 1
+            used[size] = used.get(size, 0) + 1
+            chosen.append(size)
+            room -= size
+            rooms.append(room)
+            at.append(bisect_right(lengths, room, 0, i + 1) - 1)
+            if room < best_waste:
+                best, best_waste = chosen[:], room
+        else:
+            at[-1] -= 1
     return best
 
 

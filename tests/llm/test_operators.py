@@ -152,6 +152,14 @@ def test_bin_completion_finds_what_fits():
     assert packing.plan_bins({}, 10) == []
 
 
+def test_packing_of_many_empty_texts(spark):
+    rows = [(i, None if i % 2 else "") for i in range(5000)]
+    got = packing.pack_documents(docs(spark, rows), TOKENIZER).collect()
+    assert sorted(r.doc_id for r in got) == list(range(5000))
+    assert len({(r.sequence_id, r.offset) for r in got}) == 5000 and {r.length for r in got} == {1}
+    assert max(r.offset for r in got) < 2048 and len({r.sequence_id for r in got}) == 3
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "hi \\ <|im_end|>\\|"), (1, 1, "assistant", "<|im_start|>assistant\n<"), (1, 2, "assistant", None), (2, 0, None, "x"), (None, 0, "a\nb\\n", "é😀"), (3, 1, "assistant", "b"), (3, 0, "user", "a" * 100_000), (3, 1, "assistant", "b")]
     table = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, loss_start int")

@@ -1,8 +1,9 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
 Only the histogram of piece lengths matters for a packing, and it has at most `capacity` entries
-however many documents there are. Bin completion runs on that histogram and returns patterns with
-a multiplicity; documents then find their place by their rank among the pieces of their length.
+however many documents there are. Bin completion, a branch-and-bound search, runs on that histogram and
+returns patterns with a multiplicity; documents then find their place by their rank among the pieces of
+their length.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ import re
 import struct
 import unicodedata
 import zlib
-from bisect import bisect_right
+from bisect import bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
@@ -58,11 +61,14 @@ class WordEncoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        """Ids of the whole text. Alphabets whose pretokens aren't known here, and control strings, take the tokenizer's own path."""
-        plain = unicodedata.normalize("NFC", text)
-        if "<|" in text or "İ" in plain or not _ALPHABET.fullmatch(plain):
+        """Ids of the whole text. Alphabets whose pretokens aren't known here, and control strings, take the tokenizer's own path.
+
+        What is looked at is the lower-case text, as some capitals of the alphabet have their lower case beyond it.
+        """
+        low = unicodedata.normalize("NFC", text).lower()
+        if "<|" in text or not _ALPHABET.fullmatch(low):
             return _pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.__getitem__, plain.lower().split()))
+        return b"".join(map(self.__getitem__, low.split()))
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -98,71 +104,194 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col
     return base.mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def complete_bin(room: int, lengths: list[int], left: dict[int, int], nodes: int = 4000) -> list[int]:
-    """The filling of `room` that wastes least, from ascending `lengths` of which `left` has so many each.
+@dataclass
+class Limit:
+    """What a search may still do: fillings of more waste than `most_waste` are cut off, and so is all after `visits` steps."""
+
+    most_waste: int
+    visits: int
+
 
-    Depth first from the largest length that fits, so the best-fit filling is the first incumbent.
-    Fillings that give up a larger length for smaller ones of no greater sum are dominated and come
-    later, so they replace the incumbent only where they waste less. A branch is cut where all that
-    is left of its lengths together can't beat the incumbent. A filling without waste ends the
-    search, as do `nodes` visits, after which the incumbent stands.
+def dominated(filling: list[tuple[int, int]], waste: int, spare: int) -> bool:
+    """Whether a spare length (a bit of `spare` each) could take the place of some of the filling's pieces.
+
+    Then the filling with it is no worse here, and leaves smaller pieces for the other sequences. Sums
+    of pieces are sets of bits, so all subsets are looked at together.
+    """
+    if spare & ((2 << waste) - 2):
+        return True
+    one = more = 0
+    for size, count in filling:
+        for _ in range(count):
+            more |= (more | one) << size
+            one |= 1 << size
+    # A sum s gives way to lengths s..s+waste; a lone piece only to longer ones.
+    for start, reach in ((more, waste), (one << 1, waste - 1)):
+        if reach >= 0:
+            smeared, width = start, 1
+            while width <= reach:
+                step = min(width, reach + 1 - width)
+                smeared |= smeared << step
+                width += step
+            if smeared & spare:
+                return True
+    return False
+
+
+def fillings(room: int, lengths: list[int], left: dict[int, int], limit: Limit) -> Iterator[tuple[list[tuple[int, int]], int]]:
+    """Fillings of `room` as (length, count) pairs, with their waste, depth first from the largest length that fits.
+
+    `lengths` ascends, `left` has so many pieces of each. A branch is cut where all that is left of its
+    lengths together leaves more than the allowed waste; the limit may be tightened between two fillings.
     """
-    best: list[int] = []
-    best_waste = room
     below = list(accumulate(size * left[size] for size in lengths))
-    # A stack of its own, as a filling may hold more pieces than Python allows calls.
-    chosen: list[int] = []
-    used: dict[int, int] = {}
-    rooms, at = [room], [bisect_right(lengths, room) - 1]
-    while at:
-        room, i = rooms[-1], at[-1]
-        if not room or i < 0 or room - below[i] >= best_waste:
-            if best_waste == 0 or nodes <= 0:
+    taken: list[list[int]] = []
+    i = bisect_right(lengths, room) - 1
+    while True:
+        while i >= 0 and room - below[i] <= limit.most_waste:
+            count = min(left[lengths[i]], room // lengths[i])
+            if count:
+                taken.append([i, count])
+                room -= lengths[i] * count
+            i = bisect_right(lengths, room, 0, i) - 1
+        if room <= limit.most_waste:
+            yield [(lengths[at], count) for at, count in taken], room
+        limit.visits -= 1
+        if not taken or limit.visits <= 0:
+            return
+        i = taken[-1][0]
+        room += lengths[i]
+        taken[-1][1] -= 1
+        if not taken[-1][1]:
+            taken.pop()
+        i = bisect_right(lengths, room, 0, i) - 1
+
+
+def complete_bin(room: int, lengths: list[int], left: dict[int, int], visits: int = 4000) -> list[int]:
+    """The filling of least waste: the best-fit one is the first incumbent, and only better ones are looked for after it."""
+    best: list[tuple[int, int]] = []
+    limit = Limit(room, visits)
+    for filling, waste in fillings(room, lengths, left, limit):
+        best, limit.most_waste = filling, waste - 1
+        if not waste:
+            break
+    return [size for size, count in best for _ in range(count)]
+
+
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """A number of sequences that no packing can undercut.
+
+    For every length a: pieces over capacity - a stand alone, each other one over half the capacity
+    has a sequence of its own too, and what is left beside these must take the pieces from a to the half.
+    """
+    n = np.zeros(capacity + 2, np.int64)
+    for size, count in histogram.items():
+        n[size] += max(0, count)
+    counts, volumes = np.cumsum(n), np.cumsum(n * np.arange(len(n)))
+    half = capacity // 2
+    a = np.arange(1, half + 2)
+    large = counts[capacity] - counts[half]
+    beside = (counts[capacity - a] - counts[half]) * capacity - (volumes[capacity - a] - volumes[half])
+    rest = volumes[half] - volumes[np.minimum(a - 1, half)]
+    return int(max(-(-volumes[capacity] // capacity), (large + np.maximum(0, -((beside - rest) // capacity))).max()))
+
+
+class _Pieces:
+    """How many pieces of each length are left, and the ascending lengths of which there are any."""
+
+    def __init__(self, histogram: dict[int, int]):
+        self.left = {size: n for size, n in histogram.items() if n > 0}
+        self.lengths = sorted(self.left)
+        self.volume = sum(size * n for size, n in self.left.items())
+
+    def take(self, pattern: tuple[int, ...], times: int) -> None:
+        for size, n in Counter(pattern).items():
+            self.left[size] -= n * times
+            if not self.left[size]:
+                del self.left[size]
+                self.lengths.remove(size)
+        self.volume -= sum(pattern) * times
+
+    def put_back(self, pattern: tuple[int, ...], times: int) -> None:
+        for size, n in Counter(pattern).items():
+            if size not in self.left:
+                insort(self.lengths, size)
+            self.left[size] = self.left.get(size, 0) + n * times
+        self.volume += sum(pattern) * times
+
+    def most_times(self, pattern: tuple[int, ...]) -> int:
+        return min(self.left[size] // n for size, n in Counter(pattern).items())
+
+    def beside_largest(self) -> tuple[int, dict[int, int]]:
+        """The largest length, and what is left beside one piece of it."""
+        top = self.lengths[-1]
+        return top, self.left | {top: self.left[top] - 1}
+
+
+def _completions(pieces: _Pieces, capacity: int, limit: Limit) -> Iterator[tuple[tuple[int, ...], int]]:
+    """What to close next: the largest piece with its best filling as often as it goes, once, and then with every other undominated filling."""
+    top, left = pieces.beside_largest()
+    best = (top, *complete_bin(capacity - top, pieces.lengths, left))
+    most = pieces.most_times(best)
+    yield best, most
+    if most > 1:
+        yield best, 1
+    own = Limit(limit.most_waste, limit.visits)
+    for filling, waste in fillings(capacity - top, pieces.lengths, left, own):
+        pattern = (top, *(size for size, count in filling for _ in range(count)))
+        used = Counter(pattern[1:])
+        spare = sum(1 << size for size in pieces.lengths if left[size] > used[size])
+        if pattern != best and not dominated(filling, waste, spare):
+            yield pattern, 1
+
+
+def plan_bins(histogram: dict[int, int], capacity: int, branchings: int = 2000) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of lengths with how many sequences take each; every piece of the histogram is placed.
+
+    Bin completion: the sequence of the largest piece left is closed with an undominated filling, the
+    best-fit one first, and so on; the first plan found is the incumbent. If it needs more sequences than
+    the lower bound, closed ones are opened again, the last first, and other fillings tried. A branch
+    ends where its waste so far leaves no plan with fewer sequences than the incumbent. At the bound, or
+    after `branchings` sequences closed anew, the incumbent stands.
+    """
+    pieces = _Pieces(histogram)
+    if not pieces.lengths:
+        return []
+    total, bound = pieces.volume, lower_bound(histogram, capacity)
+    plan: list[tuple[tuple[int, ...], int]] = []
+    best: list[tuple[tuple[int, ...], int]] = []
+    least = closed = 0
+    limit = Limit(capacity, branchings)
+    open_choices = [_completions(pieces, capacity, limit)]
+    while open_choices:
+        # A plan with fewer sequences than the incumbent has at most this waste in all.
+        room = (least - 1) * capacity - total if best else total * capacity
+        limit.most_waste = min(capacity, room - (closed * capacity - (total - pieces.volume)))
+        choice = next(open_choices[-1], None) if limit.most_waste >= 0 else None
+        if choice is None or (best and limit.visits <= 0):
+            open_choices.pop()
+            if plan:
+                pattern, times = plan.pop()
+                pieces.put_back(pattern, times)
+                closed -= times
+            continue
+        pieces.take(*choice)
+        plan.append(choice)
+        closed += choice[1]
+        limit.visits -= bool(best)
+        if pieces.lengths:
+            open_choices.append(_completions(pieces, capacity, limit))
+            continue
+        if not best or closed < least:
+            best, least = plan[:], closed
+            if least <= bound:
                 break
-            rooms.pop()
-            at.pop()
-            if at:
-                used[chosen.pop()] -= 1
-                at[-1] -= 1
-        elif left[lengths[i]] > used.get(lengths[i], 0):
-            size = lengths[i]
-            nodes -= 1
-            used[size] = used.get(size, 0) + 1
-            chosen.append(size)
-            room -= size
-            rooms.append(room)
-            at.append(bisect_right(lengths, room, 0, i + 1) - 1)
-            if room < best_waste:
-                best, best_waste = chosen[:], room
-        else:
-            at[-1] -= 1
+        pattern, times = plan.pop()
+        pieces.put_back(pattern, times)
+        closed -= times
     return best
 
 
-def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths with how many sequences take each; every piece of the histogram is placed."""
-    left = {size: n for size, n in histogram.items() if n > 0}
-    lengths = sorted(left)
-    plan = []
-    while lengths:
-        top = lengths[-1]
-        left[top] -= 1
-        filling = complete_bin(capacity - top, lengths, left)
-        left[top] += 1
-        pattern = (top, *filling)
-        need: dict[int, int] = {}
-        for size in pattern:
-            need[size] = need.get(size, 0) + 1
-        times = min(left[size] // n for size, n in need.items())
-        for size, n in need.items():
-            left[size] -= n * times
-            if not left[size]:
-                del left[size]
-                lengths.remove(size)
-        plan.append((pattern, times))
-    return plan
-
-
 def _slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per length: ascending first ranks, the sequence of that rank, and the offset in it."""
     found: dict[int, list[tuple[int, int, int]]] = {}

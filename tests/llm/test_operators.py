@@ -152,6 +152,68 @@ def test_bin_completion_finds_what_fits():
     assert packing.plan_bins({}, 10) == []
 
 
+def fewest_bins(items, capacity):
+    """Brute force: every item into every open bin that has room, or into a new one."""
+    items, best = sorted(items, reverse=True), len(items)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(items):
+            best = len(bins)
+            return
+        for room in set(bins):
+            if room >= items[k]:
+                at = bins.index(room)
+                place(k + 1, [*bins[:at], room - items[k], *bins[at + 1 :]])
+        place(k + 1, [*bins, capacity - items[k]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_plans_are_the_best_possible():
+    rng = random.Random(7)
+    for _ in range(300):
+        capacity = rng.randint(8, 40)
+        items = [rng.randint(1, capacity) for _ in range(rng.randint(1, 11))]
+        histogram = {size: items.count(size) for size in items}
+        plan = packing.plan_bins(histogram, capacity)
+        assert sorted(size for pattern, times in plan for size in pattern * times) == sorted(items)
+        assert all(sum(pattern) <= capacity for pattern, _ in plan)
+        sequences = sum(times for _, times in plan)
+        assert packing.lower_bound(histogram, capacity) <= sequences == fewest_bins(items, capacity)
+
+
+def test_packing_plans_of_many_pieces_meet_the_lower_bound():
+    rng = random.Random(8)
+    mixed = {}
+    for _ in range(50_000):
+        size = min(2048, int(rng.lognormvariate(5.5, 1.3)) + 1)
+        mixed[size] = mixed.get(size, 0) + 1
+    for histogram in ({1: 3000}, {2: 2000}, {1: 1100, 2048: 3}, {1025: 9, 1024: 9, 3: 4}, mixed):
+        assert sum(times for _, times in packing.plan_bins(histogram, 2048)) == packing.lower_bound(histogram, 2048)
+
+
+def test_dominated_fillings():
+    # Of 10: 7 + 2 leaves room for the spare 3 in place of the 2; 4 + 3 + 3 is full, but 3 + 3 could be a spare 6.
+    assert packing.dominated([(7, 1), (2, 1)], 1, 1 << 3)
+    assert packing.dominated([(4, 1), (3, 2)], 0, 1 << 6)
+    assert not packing.dominated([(4, 1), (3, 2)], 0, 1 << 4 | 1 << 3)
+    assert packing.dominated([(7, 1)], 3, 1 << 2)
+
+
+def test_packing_ids_are_the_tokenizers():
+    rng = random.Random(3)
+    letters = [chr(c) for c in [*range(0x20, 0x7F), 9, 10, 13, *range(0xA0, 0x250), *range(0x2010, 0x2028)]]
+    capitals = [c for c in letters if c != c.lower()]
+    encoder = packing.WordEncoder(TOKENIZER)
+    for _ in range(100_000):
+        text = "".join(rng.choice(letters if rng.random() < 0.7 else capitals) for _ in range(rng.randint(1, 12)))
+        assert encoder.encode(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_packing_of_many_empty_texts(spark):
     rows = [(i, None if i % 2 else "") for i in range(5000)]
     got = packing.pack_documents(docs(spark, rows), TOKENIZER).collect()

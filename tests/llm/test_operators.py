@@ -269,6 +269,45 @@ def test_secrets_finds_each_place_of_a_repeated_blob():
     assert secrets.scan(text) == ([], spans)
 
 
+def decoded_naively(text):
+    """Brute force: the leftmost escape, again and again."""
+    while m := re.search(r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}", text):
+        text = text[: m.start()] + chr(int(m[0].lstrip("%\\ux"), 16)) + text[m.end() :]
+    return text
+
+
+def test_secrets_decodes_escapes_to_their_fixpoint():
+    rng = random.Random(11)
+    for _ in range(20_000):
+        text = "".join(rng.choice(["%", "25", "2", "5", "4", "1", "\\", "x", "u00", "%25", "\\x", "\\u0025", "\\u00", "z", "%41"]) for _ in range(rng.randint(1, 12)))
+        plain = secrets.unescaped(text)
+        assert (plain[0] if plain else text) == decoded_naively(text), text
+        if plain:
+            spans = [plain[2](k, k + 1) for k in range(len(plain[0]))]
+            assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    assert secrets.unescaped("\\ud83d\\ude00!")[0] == "😀!"
+    key = "AKIA" + "Q" * 16
+    deep = "%" + "25" * 50_000 + "41" + key[1:]
+    assert ("access@url", 0, len(deep)) in secrets.scan(deep)[1]
+
+
+def test_secrets_in_all_kinds_of_blobs():
+    import gzip
+
+    key = "AKIA" + "Q" * 16
+    whole = lambda blob, text: [(s, e) for kind, s, e in secrets.scan(text)[1] if kind.startswith("access@")] == [(text.index(blob), text.index(blob) + len(blob))]
+    coded = lambda data: base64.b64encode(data).decode().rstrip("=")
+    far = b"lorem ipsum, " * 5_500_000 + key.encode()
+    for data in (b"\x00\x01" + key.encode() + b"\x00", f"my {key} now".encode("utf-16"), f"my {key} now".encode("utf-16-be"), b"\xff\xfe\xc3 " + key.encode(), gzip.compress(far), gzip.compress(b"one") + gzip.compress(key.encode()), zlib.compress(gzip.compress(key.encode()))):
+        assert whole(coded(data), f"see {coded(data)} end"), data[:30]
+    for prefix in ("x/", "key_", "path/to/"):
+        blob = prefix + coded(gzip.compress(f"the {key}.".encode()))
+        assert whole(blob, f"see {blob} end"), prefix
+    mime = base64.encodebytes(("some words before " * 5 + key + " and after it " * 5).encode()).decode().strip()
+    assert any(kind.startswith("access@") for kind, _, _ in secrets.scan(mime)[1])
+    assert secrets.scan("A" * 200_000)[1] == []
+
+
 def test_secrets_table(spark):
     got = secrets.find_secrets(docs(spark, AWKWARD + [(50, "token=abcdef")])).collect()
     assert len(got) == len(AWKWARD) + 1

@@ -10,20 +10,33 @@ from pyspark.sql import functions as F
 
 #: Code points that make up a word once A-Z are lower-cased; everything else separates words.
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A key is hot if it holds more than this share of all rows: so there are at most as many as its inverse.
+HOT_SHARE = 1 / 1000
+#: Rows of a hot key are dealt out over so many parts.
+SALTS = 32
+
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table. Its rows are dealt out anew only where they come in fewer partitions than there are cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where none is named."""
+    """A new path in the folder that driver and executors share; where none is named, a temporary one on one machine only."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="bidlens-")
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/bidlens-{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/bidlens-{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -33,6 +46,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """Paths of all intermediate data written so far and not discarded."""
+    return list(_written)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate data that nothing reads any more."""
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _written.remove(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
+def numbered(df: DataFrame, name: str, label: str) -> DataFrame:
+    """df with a number for each row, stored: a second scan or a retried task could number the rows otherwise."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), label)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only, as locale and other scripts must not matter."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -46,3 +84,18 @@ def small_enough(df: DataFrame, limit: int) -> bool:
 def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     """Hint a broadcast only behind a counted size; beyond it Spark shuffles both sides."""
     return F.broadcast(df) if small_enough(df, limit) else df
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], count: str, spread: str, how: str = "inner", total: int | None = None) -> DataFrame:
+    """Join big with small, which is stored, has one row a key and says in `count` how many rows of big that key has.
+
+    Rows of a hot key are dealt out by the hash of their `spread` column, and small's row of that key is
+    repeated for each part, so no task gets them all. The list of hot keys that is broadcast has at most
+    1 / HOT_SHARE rows, as each holds more than that share of `total` (default: the sum of `count`).
+    """
+    total = small.agg(F.sum(count)).first()[0] if total is None else total
+    hot = F.col(count) > (total or 0) * HOT_SHARE
+    dealt = big.join(F.broadcast(small.filter(hot).select(*keys, F.lit(SALTS).alias("_salts"))), keys, "left")
+    dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0))))
+    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidlens.llm.common import broadcast_if_small, materialize
-from bidlens.llm.shingles import band_keys, prob_minhash, sequence_hash, shingle_counts, slices, word_hashes
+from bidlens.llm.common import broadcast_if_small, free_name, materialize, numbered, salted_join
+from bidlens.llm.shingles import band_keys, prob_minhash, sequence_digests, shingle_counts, slices, word_hashes
 
 REGISTERS, BAND_ROWS = 128, 4
 #: Weights are counts up to this; more repetitions would pull probability Jaccard away from that of the sets.
@@ -25,6 +25,8 @@ MOST_WEIGHT = 2
 WANTED_ROWS = 2_000_000
 #: Shingles are put in order by how often their range of hashes occurs in one row of `SAMPLED`. Any order is exact; a rarest-first one is fast.
 RANGES, SAMPLED = 1 << 20, 8
+#: A bucket is put in order, and a shingle's list compared, in parts of about so many members.
+PART_MEMBERS = 5000
 #: Against rounding: bounds are loosened by so much, and what passes is verified.
 SLACK = 1e-6
 
@@ -37,9 +39,9 @@ def _ranges(shingle: np.ndarray) -> np.ndarray:
     return (shingle >> np.uint64(44)).astype(np.int64)
 
 
-def commonness(docs: DataFrame, words: int = 5, text_col: str = "text") -> np.ndarray:
+def commonness(rows: DataFrame, words: int = 5) -> np.ndarray:
     """How often each range of shingle hashes occurs in a sample of the texts."""
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).filter(F.pmod(F.xxhash64("row"), F.lit(SAMPLED)) == 0)
+    texts = rows.filter(F.pmod(F.xxhash64("row"), F.lit(SAMPLED)) == 0)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(RANGES, np.int64)
@@ -68,11 +70,10 @@ def rarest_shingles(text: np.ndarray, shingle: np.ndarray, texts: int, common: n
     return np.append(0, np.cumsum(size)), shingle[order][place < np.repeat(size, n)]
 
 
-def signatures(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """Stored rows row, doc_id, low, high (128-bit key of the word sequence), n (distinct shingles), bands, prefix."""
-    common = docs.sparkSession.sparkContext.broadcast(commonness(docs, words, text_col))
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = base.schema["doc_id"].dataType.simpleString()
+def signatures(rows: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """Stored rows row, doc_id, low, high (digest of the word sequence), n (distinct shingles), bands, prefix of rows row, doc_id, text."""
+    common = rows.sparkSession.sparkContext.broadcast(commonness(rows, words))
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,12 +84,13 @@ def signatures(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col
                 keys = band_keys(prob_minhash(text, shingle, np.minimum(count, MOST_WEIGHT).astype(float), len(part), REGISTERS), BAND_ROWS)
                 bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
                 ends, rarest = rarest_shingles(text, shingle, len(part), common.value, threshold)
+                digests = sequence_digests(part)
                 yield _batches(
                     [
                         batch.column(0).slice(at, len(part)),
                         batch.column(1).slice(at, len(part)),
-                        pa.array(sequence_hash(hashes, bounds, 1).view(np.int64)),
-                        pa.array(sequence_hash(hashes, bounds, 2).view(np.int64)),
+                        pa.array(np.ascontiguousarray(digests[:, 0])),
+                        pa.array(np.ascontiguousarray(digests[:, 1])),
                         pa.array(np.bincount(text, minlength=len(part)).astype(np.int64)),
                         bands,
                         pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(rarest.view(np.int64))),
@@ -97,38 +99,39 @@ def signatures(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col
                 )
                 at += len(part)
 
-    return materialize(base.mapInArrow(sign, f"row long, doc_id {kind}, low long, high long, n long, bands array<long>, prefix array<long>"), "signatures")
+    return materialize(rows.select("row", "doc_id", "text").mapInArrow(sign, f"row long, doc_id {kind}, low long, high long, n long, bands array<long>, prefix array<long>"), "signatures")
 
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Stored rows row, shingles (distinct, hashed to 32 bits) of the wanted rows."""
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).join(broadcast_if_small(wanted, WANTED_ROWS), "row", "left_semi")
+def _shingle_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """Stored rows row, shingles (distinct, as 64-bit hashes), pairs of the wanted rows row, pairs."""
+    base = rows.join(broadcast_if_small(wanted, WANTED_ROWS), "row").select("row", "pairs", "text")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(2)):
                 text, shingle, _ = shingle_counts(*word_hashes(part), words)
                 ends = np.searchsorted(text, np.arange(len(part) + 1)).astype(np.int32)
-                yield _batches([batch.column(0).slice(at, len(part)), pa.ListArray.from_arrays(ends, pa.array((shingle >> np.uint64(32)).astype(np.uint32).view(np.int32)))], ["row", "shingles"])
+                yield _batches([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.ListArray.from_arrays(ends, pa.array(shingle.view(np.int64)))], ["row", "pairs", "shingles"])
                 at += len(part)
 
-    return materialize(base.select("row", "text").mapInArrow(collect, "row long, shingles array<int>"), "shingles")
+    return materialize(base.mapInArrow(collect, "row long, pairs long, shingles array<long>"), "shingles")
 
 
 def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
     """Rows a, b: pairs to verify, from the buckets of all bands."""
     cells = reps.select("row", "n", F.posexplode("bands").alias("band", "key"), "bands").select("row", "n", "key", F.element_at("bands", F.pmod(F.col("band") + 1, F.lit(REGISTERS // BAND_ROWS)) + 1).alias("next"))
-    shared = cells.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    cells = materialize(cells.join(shared, "key"), "cells")
+    shared = materialize(cells.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "buckets")
+    cells = materialize(salted_join(cells, shared, ["key"], "members", "row"), "cells")
     # The more company a text has over all its bands, the more central it is.
     central = cells.groupBy("row").agg(F.sum("members").alias("company"))
     ranked = cells.join(central, "row")
-    leaders = ranked.groupBy("key").agg(F.max_by(F.struct("row", "n"), F.struct("company", "row")).alias("leader"))
-    to_leader = ranked.join(leaders, "key").select("row", "n", F.col("leader.row").alias("other"), F.col("leader.n").alias("other_n"))
-    # Only this order is needed within a bucket; a bucket is sorted on disk if need be, and holds narrow rows.
-    neighbour = F.lag(F.struct("row", "n")).over(Window.partitionBy("key").orderBy("next", "row"))
-    to_neighbour = cells.withColumn("left", neighbour).filter("left is not null").select("row", "n", F.col("left.row").alias("other"), F.col("left.n").alias("other_n"))
+    leaders = materialize(ranked.groupBy("key").agg(F.max_by(F.struct("row", "n"), F.struct("company", "row")).alias("leader"), F.first("members").alias("size")), "leaders")
+    to_leader = salted_join(cells, leaders, ["key"], "size", "row").select("row", "n", F.col("leader.row").alias("other"), F.col("leader.n").alias("other_n"))
+    # Neighbours in the order of the next band; a large bucket is put in order in parts.
+    part = F.pmod(F.col("next"), F.floor(F.col("members") / PART_MEMBERS) + 1)
+    neighbour = F.lag(F.struct("row", "n")).over(Window.partitionBy("key", "part").orderBy("next", "row"))
+    to_neighbour = cells.withColumn("part", part).withColumn("left", neighbour).filter("left is not null").select("row", "n", F.col("left.row").alias("other"), F.col("left.n").alias("other_n"))
     pairs = to_leader.unionByName(to_neighbour).filter("row != other")
     pairs = pairs.filter(F.least("n", "other_n") >= threshold * F.greatest("n", "other_n"))
     return pairs.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
@@ -139,27 +142,29 @@ def _unsettled(reps: DataFrame, roots: DataFrame, threshold: float) -> DataFrame
 
     If two sets are that similar, then after their first common shingle, at places i and j of the
     order, enough shingles are left in both for the overlap. A list in which one class leads is not
-    paired within that class, so large classes cost no more than their members.
+    paired within that class, so large classes cost no more than their members. The members of a long
+    list are dealt out in parts, and each member outside the leading class is sent to all of them.
     """
     cells = reps.join(roots.withColumnRenamed("node", "row"), "row", "left").select("row", "n", F.coalesce("root", "row").alias("root"), F.posexplode("prefix").alias("place", "shingle"))
-    split = materialize(cells.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("shingle"), "split")
-    cells = materialize(cells.join(broadcast_if_small(split, WANTED_ROWS), "shingle"), "lists")
-    shares = cells.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("members"))
-    lead = shares.groupBy("shingle").agg(F.max_by("root", F.struct("members", "root")).alias("lead"))
-    left = cells.join(lead, "shingle").filter("root != lead").select("shingle", "lead", *[F.col(c).alias(f"a_{c}") for c in ("row", "n", "root", "place")])
-    both = left.join(cells, "shingle").filter("a_root != root and (root = lead or a_row < row)")
+    split = cells.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("members"))
+    split = materialize(split.filter("least != most").select("shingle", "members"), "split")
+    cells = materialize(salted_join(cells, split, ["shingle"], "members", "row"), "lists")
+    shares = cells.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("share"))
+    lead = materialize(shares.groupBy("shingle").agg(F.max_by("root", F.struct("share", "root")).alias("lead"), F.sum("share").alias("size")), "leads")
+    parts = F.floor(F.col("members") / PART_MEMBERS).cast("int")
+    left = salted_join(cells, lead, ["shingle"], "size", "row").filter("root != lead").select("shingle", "lead", F.explode(F.sequence(F.lit(0), parts)).alias("part"), *[F.col(c).alias(f"a_{c}") for c in ("row", "n", "root", "place")])
+    both = left.join(cells.withColumn("part", F.pmod(F.xxhash64("row"), parts + 1).cast("int")), ["shingle", "part"]).filter("a_root != root and (root = lead or a_row < row)")
     need = F.lit(threshold) * (F.col("n") + F.col("a_n")) - SLACK
     both = both.filter((F.least("n", "a_n") >= threshold * F.greatest("n", "a_n") - SLACK) & (F.least(F.col("n") - F.col("place"), F.col("a_n") - F.col("a_place")) * (1 + threshold) >= need))
     return both.select(F.least("row", "a_row").alias("a"), F.greatest("row", "a_row").alias("b")).distinct()
 
 
-def _links(docs: DataFrame, pairs: DataFrame, words: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """Stored rows a, b: the pairs of at least that similarity."""
-    wanted = materialize(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "wanted")
-    sets = _shingle_sets(docs, wanted, words, id_col, text_col)
-    left, right = sets.select(F.col("row").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("row").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    found = pairs.join(right, "b").join(left, "a").withColumn("common", common)
+def _links(rows: DataFrame, pairs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Stored rows a, b: the pairs, stored, of at least that similarity."""
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("pairs")), "wanted")
+    sets = _shingle_sets(rows, wanted, words)
+    side = lambda end: sets.select(F.col("row").alias(end), F.col("shingles").alias(f"s{end}"), F.col("pairs").alias(f"pairs_{end}"))
+    found = salted_join(salted_join(pairs, side("b"), ["b"], "pairs_b", "a"), side("a"), ["a"], "pairs_a", "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return materialize(found.filter(F.col("common") >= threshold * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"), "links")
 
 
@@ -170,15 +175,45 @@ def components(edges: DataFrame) -> DataFrame:
     number of rounds grows with the logarithm of a component's width. Each round is stored.
     """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    count = both.count()
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"), F.count(F.lit(1)).alias("degree")), "labels")
     while True:
-        spread = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        nearer = labels.join(spread, "node").select("node", "root", F.least("root", "near").alias("near"))
-        jump = labels.select(F.col("node").alias("near"), F.col("root").alias("far"))
-        after = materialize(nearer.join(jump, "near", "left").select("node", F.col("root").alias("was"), F.least("near", "far").alias("root")), "labels")
+        ends = labels.select(F.col("node").alias("b"), "root", "degree")
+        spread = salted_join(both, ends, ["b"], "degree", "a", total=count).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        nearer = materialize(labels.join(spread, "node").select("node", "degree", F.col("root").alias("was"), F.least("root", "near").alias("near")), "near")
+        # The label of the label: one row for each label, however many nodes bear it.
+        jump = nearer.groupBy("near").agg(F.count(F.lit(1)).alias("bearers")).join(labels.select(F.col("node").alias("near"), F.col("root").alias("far")), "near")
+        after = materialize(salted_join(nearer, materialize(jump, "jumps"), ["near"], "bearers", "node").select("node", "degree", "was", F.least("near", "far").alias("root")), "labels")
         if after.filter("was != root").isEmpty():
             return after.select("node", "root")
-        labels = after.select("node", "root")
+        labels = after.select("node", "root", "degree")
+
+
+def classes(rows: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """Rows row, doc_id, class_id, class_size, stays of stored rows row, doc_id, text.
+
+    `stays` marks one row of each class: that of the smallest doc_id (nulls last), the first of several.
+    """
+    signed = signatures(rows, words, threshold)
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    worded = signed.filter("n > 0")
+    # Equal word sequences: one row stands for all of them.
+    copies = materialize(worded.groupBy("low", "high").agg(F.min("row").alias("rep"), F.min(first).alias("first"), F.count(F.lit(1)).alias("copies")), "copies")
+    reps = signed.join(copies.select(F.col("rep").alias("row")), "row", "left_semi")
+    pairs = materialize(_candidates(reps, threshold), "pairs")
+    edges = _links(rows, pairs, words, threshold)
+    roots = components(edges)
+    rest = materialize(_unsettled(reps, roots, threshold), "rest")
+    if not rest.isEmpty():
+        more = _links(rows, rest, words, threshold)
+        if not more.isEmpty():
+            roots = components(edges.union(more))
+    placed = materialize(copies.join(roots, copies["rep"] == roots["node"], "left").select("low", "high", "first", "copies", F.coalesce("root", "rep").alias("root")), "placed")
+    sizes = materialize(placed.groupBy("root").agg(F.min("first").alias("best"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts")), "classes")
+    known = materialize(salted_join(placed.drop("first"), sizes, ["root"], "texts", "low").select("low", "high", "copies", "best", "class_size"), "known")
+    found = salted_join(worded, known, ["low", "high"], "copies", "row").select("row", "doc_id", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("stays"))
+    alone = signed.filter("n = 0").select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("stays"))
+    return found.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,29 +226,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_
     null. Repeated rows are one class and all have its smallest id, so all are kept. An empty table
     gives no rows; columns other than the two named are not read.
     """
-    signed = signatures(docs, words, id_col, text_col, threshold)
-    copies = signed.filter("n > 0").groupBy("low", "high").agg(F.min("row").alias("rep"))
-    copies = materialize(copies, "copies")
-    reps = signed.filter("n > 0").join(copies.select(F.col("rep").alias("row")), "row", "left_semi")
-    pairs = materialize(_candidates(reps, threshold), "pairs")
-    edges = _links(docs, pairs, words, threshold, id_col, text_col)
-    roots = components(edges)
-    rest = materialize(_unsettled(reps, roots, threshold), "rest")
-    if not rest.isEmpty():
-        more = _links(docs, rest, words, threshold, id_col, text_col)
-        if not more.isEmpty():
-            roots = components(edges.union(more))
-    rep_of = copies.join(roots, copies["rep"] == roots["node"], "left").select("low", "high", F.coalesce("root", "rep").alias("root"))
-    placed = materialize(
-        signed.filter("n > 0").join(rep_of, ["low", "high"]).select("row", "doc_id", "root").unionByName(signed.filter("n = 0").select("row", "doc_id", F.col("row").alias("root"))),
-        "placed",
-    )
-    classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return placed.join(classes, "root").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "row", "numbered")
+    return classes(rows, words, threshold).select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, with all its columns: the one with the smallest id. Rows without id stay."""
-    verdict = near_duplicates(docs.filter(F.col(id_col).isNotNull()), words, threshold, id_col, text_col)
-    gone = materialize(verdict.filter("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "near-gone")
-    return docs.join(broadcast_if_small(gone, 1_000_000), id_col, "left_anti")
+    """One row of each class, with all its columns: that of the smallest id (nulls last), the first of several.
+
+    Rows are judged one by one: another row of the same id, or one without id, goes or stays by its own text.
+    """
+    number = free_name(docs, "row")
+    every = numbered(docs, number, "numbered")
+    rows = every.select(F.col(number).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    gone = materialize(classes(rows, words, threshold).filter("not stays").select(F.col("row").alias(number)), "near-gone")
+    return every.join(broadcast_if_small(gone, WANTED_ROWS), number, "left_anti").drop(number)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.arange(256, dtype=np.uint8)
@@ -20,6 +22,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of a text that are hashed at once.
+PART = 1 << 20
+
 _VALUE = mix((_LOWER + np.uint64(1)) * _MULTIPLIER)
 
 
@@ -56,15 +61,29 @@ def word_hashes(column: pa.Array, prefix: int = 0) -> tuple[np.ndarray, np.ndarr
         return np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64)
     data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        # A very long text is read in parts that end between two words, for the arrays below are many times its bytes.
+        end = min(len(data), at + PART)
+        while end < len(data) and _IS_WORD[data[end - 1]] and _IS_WORD[data[end]]:
+            between = np.flatnonzero(~_IS_WORD[data[end : end + PART]])
+            end = end + int(between[0]) if len(between) else min(len(data), end + PART)
+        found, heads = _part_hashes(data[at:end], offsets[(offsets >= at) & (offsets < end)] - at, prefix)
+        hashes.append(found)
+        starts.append(heads + at)
+        at = end
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+
+
+def _part_hashes(data: np.ndarray, cuts: np.ndarray, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in these bytes, where a text may begin at each of `cuts`, and where the words start."""
     inside = _IS_WORD[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
-    heads = offsets[:-1][offsets[:-1] < len(data)]
-    first[heads] |= inside[heads]
+    first[cuts] |= inside[cuts]
     starts = np.flatnonzero(first)
-    bounds = np.searchsorted(starts, offsets)
     if not len(starts):
-        return np.zeros(0, np.uint64), bounds
+        return np.zeros(0, np.uint64), starts
     at = np.flatnonzero(inside)
     begin = np.flatnonzero(first[at])
     lengths = np.diff(np.append(begin, len(at)))
@@ -73,20 +92,14 @@ def word_hashes(column: pa.Array, prefix: int = 0) -> tuple[np.ndarray, np.ndarr
     if prefix:
         powers[prefix:] = 0
         lengths = np.minimum(lengths, prefix)
-    hashes = np.add.reduceat(_VALUE[data[at]] * powers[place], begin)
-    return mix(hashes + lengths.astype(np.uint64)), bounds
+    return mix(np.add.reduceat(_VALUE[data[at]] * powers[place], begin) + lengths.astype(np.uint64)), starts
 
 
-def sequence_hash(words: np.ndarray, bounds: np.ndarray, seed: int) -> np.ndarray:
-    """One hash for each text's whole sequence of words; 0 for a text without words."""
-    counts = np.diff(bounds)
-    place = np.arange(len(words)) - np.repeat(bounds[:-1], counts)
-    parts = mix(words + np.uint64(seed)) * _powers(int(counts.max()) if len(counts) else 0)[place] if len(words) else words
-    out = np.zeros(len(counts), np.uint64)
-    some = np.flatnonzero(counts)
-    if len(some):
-        out[some] = mix(np.add.reduceat(parts, bounds[:-1][some]) + counts[some].astype(np.uint64))
-    return out
+def sequence_digests(column: pa.Array) -> np.ndarray:
+    """A 128-bit cryptographic digest of each text's whole sequence of words, as two numbers: equal for equal sequences only."""
+    plain = pc.utf8_trim(pc.replace_substring_regex(pc.ascii_lower(column), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), " ")
+    digests = b"".join(hashlib.blake2b(text.encode(), digest_size=16).digest() for text in plain.to_pylist())
+    return np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
 def shingle_counts(words: np.ndarray, bounds: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

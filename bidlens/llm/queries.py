@@ -106,10 +106,22 @@ dw AS (
   FROM dp CROSS JOIN (SELECT DISTINCT l FROM bw) WHERE p + l - 1 <= len(w)),
 hit AS (SELECT rid, p, item_id, dw.l FROM dw JOIN bw ON dw.l = bw.l AND dw.win = bw.win),
 n AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + l)) AS q FROM hit) GROUP BY rid),
-i AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hit) GROUP BY rid)
+i AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hit) GROUP BY rid),
+bt AS (
+  SELECT iid, item_id, greatest(len(w) - 1, 1) AS terms, j, CASE WHEN len(w) > 1 THEN w[j] || ' ' || w[j + 1] ELSE w[1] END AS t
+  FROM (SELECT *, unnest(range(1, greatest(len(w), 2))) AS j FROM (SELECT *, row_number() OVER () AS iid FROM b WHERE len(w) > 0))),
+dt AS (
+  SELECT rid, p, w[p] || ' ' || w[p + 1] AS t FROM dp WHERE p < len(w)
+  UNION ALL SELECT rid, p, w[p] FROM dp),
+m AS (SELECT rid, iid, item_id, terms, j, p - j AS g FROM dt JOIN bt USING (t)),
+near AS (
+  SELECT DISTINCT x.rid, x.item_id::VARCHAR AS item FROM m x JOIN m y ON x.rid = y.rid AND x.iid = y.iid AND y.g BETWEEN x.g AND x.g + 4
+  GROUP BY x.rid, x.iid, x.item_id, x.terms, x.g HAVING count(DISTINCT y.j) >= ceil(x.terms * 0.7 - 1e-9)),
+c AS (SELECT rid, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS items FROM near GROUP BY rid)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN n USING (rid) LEFT JOIN i USING (rid)
+       sha256(coalesce(i.items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_near, 0) AS n_near, sha256(coalesce(c.items, '')) AS near_sha256
+FROM d LEFT JOIN n USING (rid) LEFT JOIN i USING (rid) LEFT JOIN c USING (rid)
 """
 
 _OP4 = r"""

@@ -101,10 +101,20 @@ def brute_contamination(rows, items, window=10):
                 if ids := wins.get(tuple(w[s : s + n])):
                     hit |= set(range(s, s + n))
                     found |= {str(x) for x in ids}
-        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+        near = {str(item) for item, text in items if item is not None and is_near(w, words(text))}
+        digest = lambda ids: hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+        out.append((i, len(w), len(hit), len(found), digest(found), bool(hit), len(near), digest(near)))
     return out
 
 
+def is_near(doc, item, share=0.7, slop=2):
+    """Brute force: every band of differences between positions in the document and in the item."""
+    terms = lambda w: [tuple(w[k : k + 2]) for k in range(len(w) - 1)]
+    d, t = (terms(doc), terms(item)) if len(item) > 1 else ([(x,) for x in doc], [(x,) for x in item])
+    places = [(p - j, j) for j, term in enumerate(t) for p, other in enumerate(d) if term == other]
+    return bool(t) and any(len({j for g, j in places if low <= g <= low + 2 * slop}) >= share * len(t) - 1e-9 for low, _ in places)
+
+
 def test_decontamination(spark):
     items = [(1, prose(50, 30)), (2, prose(51, 12)), (10, "Zebra Quagga okapi"), (11, "hapax"), (12, ""), (13, None), (14, prose(50, 30)), (15, "la la la la la la la la la la la la")]
     a, b = words(items[0][1]), words(items[1][1])
@@ -117,21 +127,17 @@ def test_decontamination(spark):
         (25, "la " * 40),
         (26, " ".join(a[:9] + ["z"] + a[10:])),
         (20, " ".join(a)),
+        (27, " ".join(b[:6] + ["z"] + b[7:])),
+        (28, " ".join(a[:12] + ["new", "words"] + a[12:20] + a[21:])),
+        (29, "zebra some quagga okapi"),
+        (30, " ".join(a[:29])),
     ]
     bench = spark.createDataFrame([(i, t, 3, "q") for i, t in items], "item_id long, text string, n int, term string")
     got = [tuple(r) for r in decontamination.contamination(docs(spark, rows), bench).collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute_contamination(rows, items)))
-    clean = decontamination.drop_contaminated(docs(spark, rows), bench)
-    assert {r.doc_id for r in clean.collect() if r.doc_id and r.doc_id >= 20} == {21}
-
-
-def test_proximity(spark):
-    item = prose(60, 20)
-    w = words(item)
-    terms = decontamination.benchmark_terms(spark.createDataFrame([(1, item)], "item_id long, text string"))
-    index = decontamination.positional_index(docs(spark, [(1, " ".join(w[:12] + ["new"] + w[12:])), (2, prose(61, 40))]), terms)
-    found = decontamination.proximity_matches(index, terms, slop=2).join(index.select("row", "doc_id").distinct(), "row").collect()
-    assert [r.doc_id for r in found if r.n_near >= 15] == [1]
+    assert [r[6] for r in got if r[0] in (27, 28)] == [1, 2] and not any(r[5] for r in got if r[0] == 27)
+    clean = decontamination.drop_contaminated(docs(spark, [*rows, (20, "a clean text of the same id"), (None, "nothing"), (None, "hapax")]), bench)
+    assert sorted(str(r.doc_id) for r in clean.collect() if r.doc_id is None or r.doc_id >= 20) == ["20", "21", "27", "29", *["None"] * 3]
 
 
 @pytest.mark.parametrize("capacity", [16, 2048])

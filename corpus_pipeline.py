@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bidlens.llm.common import materialize, table
+from bidlens.llm.common import discard, materialize, table, written
 from bidlens.llm.decontamination import drop_contaminated
 from bidlens.llm.exact_dedup import drop_exact_duplicates
 from bidlens.llm.near_dedup import drop_near_duplicates
@@ -44,7 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, kept = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
+        before = written()
         docs = materialize(stage(spark, docs, sf_dir), name)
+        # Once a stage's result is stored, nothing reads what led to it any more.
+        *used, result = [path for path in written() if path not in before]
+        discard(spark, used + kept)
+        kept = [result]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -86,15 +86,17 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, limit) else df
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], count: str, spread: str, how: str = "inner", total: int | None = None) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], count: str, spread: str, how: str = "inner", most_rows: int = 1_000_000) -> DataFrame:
     """Join big with small, which is stored, has one row a key and says in `count` how many rows of big that key has.
 
-    Rows of a hot key are dealt out by the hash of their `spread` column, and small's row of that key is
-    repeated for each part, so no task gets them all. The list of hot keys that is broadcast has at most
-    1 / HOT_SHARE rows, as each holds more than that share of `total` (default: the sum of `count`).
+    Up to `most_rows` rows, counted, small is broadcast. Beyond, both are shuffled, and rows of a hot key
+    dealt out by the hash of their `spread` column, with small's row of that key repeated for each part, so
+    no task gets them all. The list of hot keys that is then broadcast has at most 1 / HOT_SHARE rows, as
+    each holds more than that share of the sum of `count`.
     """
-    total = small.agg(F.sum(count)).first()[0] if total is None else total
-    hot = F.col(count) > (total or 0) * HOT_SHARE
+    if small_enough(small, most_rows):
+        return big.join(F.broadcast(small), keys, how)
+    hot = F.col(count) > small.agg(F.sum(count)).first()[0] * HOT_SHARE
     dealt = big.join(F.broadcast(small.filter(hot).select(*keys, F.lit(SALTS).alias("_salts"))), keys, "left")
     dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0))))

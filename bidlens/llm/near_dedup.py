@@ -21,7 +21,7 @@ from bidlens.llm.shingles import band_keys, prob_minhash, sequence_digests, shin
 REGISTERS, BAND_ROWS = 128, 4
 #: Weights are counts up to this; more repetitions would pull probability Jaccard away from that of the sets.
 MOST_WEIGHT = 2
-#: Up to so many row numbers (8 bytes each) are broadcast to find the texts to verify; beyond, texts are shuffled.
+#: Up to so many rows of one or two numbers are broadcast; beyond, both sides are shuffled.
 WANTED_ROWS = 2_000_000
 #: Shingles are put in order by how often their range of hashes occurs in one row of `SAMPLED`. Any order is exact; a rarest-first one is fast.
 RANGES, SAMPLED = 1 << 20, 8
@@ -148,7 +148,7 @@ def _unsettled(reps: DataFrame, roots: DataFrame, threshold: float) -> DataFrame
     cells = reps.join(roots.withColumnRenamed("node", "row"), "row", "left").select("row", "n", F.coalesce("root", "row").alias("root"), F.posexplode("prefix").alias("place", "shingle"))
     split = cells.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("members"))
     split = materialize(split.filter("least != most").select("shingle", "members"), "split")
-    cells = materialize(salted_join(cells, split, ["shingle"], "members", "row"), "lists")
+    cells = materialize(salted_join(cells, split, ["shingle"], "members", "row", most_rows=WANTED_ROWS), "lists")
     shares = cells.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("share"))
     lead = materialize(shares.groupBy("shingle").agg(F.max_by("root", F.struct("share", "root")).alias("lead"), F.sum("share").alias("size")), "leads")
     parts = F.floor(F.col("members") / PART_MEMBERS).cast("int")
@@ -164,7 +164,7 @@ def _links(rows: DataFrame, pairs: DataFrame, words: int, threshold: float) -> D
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("pairs")), "wanted")
     sets = _shingle_sets(rows, wanted, words)
     side = lambda end: sets.select(F.col("row").alias(end), F.col("shingles").alias(f"s{end}"), F.col("pairs").alias(f"pairs_{end}"))
-    found = salted_join(salted_join(pairs, side("b"), ["b"], "pairs_b", "a"), side("a"), ["a"], "pairs_a", "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    found = salted_join(salted_join(pairs, side("b"), ["b"], "pairs_b", "a", most_rows=0), side("a"), ["a"], "pairs_a", "b", most_rows=0).withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return materialize(found.filter(F.col("common") >= threshold * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"), "links")
 
 
@@ -175,11 +175,10 @@ def components(edges: DataFrame) -> DataFrame:
     number of rounds grows with the logarithm of a component's width. Each round is stored.
     """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    count = both.count()
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"), F.count(F.lit(1)).alias("degree")), "labels")
     while True:
         ends = labels.select(F.col("node").alias("b"), "root", "degree")
-        spread = salted_join(both, ends, ["b"], "degree", "a", total=count).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        spread = salted_join(both, ends, ["b"], "degree", "a").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         nearer = materialize(labels.join(spread, "node").select("node", "degree", F.col("root").alias("was"), F.least("root", "near").alias("near")), "near")
         # The label of the label: one row for each label, however many nodes bear it.
         jump = nearer.groupBy("near").agg(F.count(F.lit(1)).alias("bearers")).join(labels.select(F.col("node").alias("near"), F.col("root").alias("far")), "near")

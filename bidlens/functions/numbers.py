@@ -15,8 +15,9 @@ _DAYS = r"(?iuU)(\d{1,4})\s*(рабоч\w*|календарн\w*)?\s*(?:дн\w*|
 MONTHS = ["января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря"]
 
 
-def _some(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
+def some(text: Column) -> Column:
+    """The text, null if it is empty; worked out once."""
+    return let(text, lambda t: F.when(t != "", t))
 
 
 def _plain_number(text: Column) -> Column:
@@ -39,7 +40,7 @@ def parse_money(text: Column) -> Column:
     """The first amount, after taking out currency and VAT words."""
     text = F.regexp_replace(F.replace(F.regexp_replace(normalize_text(text), _RUB, ""), F.lit("₽"), F.lit("")), _VAT, "")
     found = F.regexp_extract(text, r"[-+]?\d[\d\s\u00A0\u202F.,]*", 0)
-    return let(_some(F.regexp_replace(F.regexp_replace(found, r"(?U)\s+", ""), r"^[.,]+|[.,]+$", "")), _plain_number)
+    return let(some(F.regexp_replace(F.regexp_replace(found, r"(?U)\s+", ""), r"^[.,]+|[.,]+$", "")), _plain_number)
 
 
 def parse_money_scaled(text: Column) -> Column:
@@ -52,28 +53,38 @@ def parse_money_scaled(text: Column) -> Column:
 
 def parse_money_grouped(text: Column) -> Column:
     """The first amount with well-formed groups of thousands, exact; a lone comma is decimal."""
-    raw = F.regexp_replace(_some(F.regexp_extract(text, AMOUNT_EVIDENCE, 0)), r"[\s\u00A0\u202F]+", "")
+    raw = F.regexp_replace(some(F.regexp_extract(text, AMOUNT_EVIDENCE, 0)), r"[\s\u00A0\u202F]+", "")
     return F.replace(raw, F.lit(","), F.lit(".")).try_cast("decimal(20,2)")
 
 
 def parse_percent(text: Column) -> Column:
     """A number before % or, failing that, before the word."""
-    text = normalize_text(text)
-    sign = _some(F.regexp_extract(text, r"(-?\d+(?:[.,]\d+)?)\s*%", 1))
-    word = _some(F.regexp_extract(text, r"(?iuU)(-?\d+(?:[.,]\d+)?)\s*процент\w*", 1))
-    return F.replace(F.coalesce(sign, word), F.lit(","), F.lit(".")).try_cast("double")
+
+    def read(t: Column) -> Column:
+        sign = some(F.regexp_extract(t, r"(-?\d+(?:[.,]\d+)?)\s*%", 1))
+        word = some(F.regexp_extract(t, r"(?iuU)(-?\d+(?:[.,]\d+)?)\s*процент\w*", 1))
+        return F.replace(F.coalesce(sign, word), F.lit(","), F.lit(".")).try_cast("double")
+
+    return F.when(text.isNotNull(), let(normalize_text(text), read))
 
 
 def parse_days(text: Column) -> Column:
     """(days, type) of the first term in days; type is working, calendar or null."""
-    text = normalize_text(text)
-    return day_pair(F.regexp_extract(text, _DAYS, 1), F.regexp_extract(text, _DAYS, 2))
+    return first_days(normalize_text(text), _DAYS)
+
+
+def first_days(text: Column, pattern: str) -> Column:
+    """(days, type) of the pattern's first match; its groups are looked for in the match alone. Null without a match."""
+    return let(F.regexp_extract(text, pattern, 0), lambda m: F.when(m != "", days_of_match(m, pattern)))
+
+
+def days_of_match(match: Column, pattern: str) -> Column:
+    return day_pair(F.regexp_extract(match, pattern, 1), F.regexp_extract(match, pattern, 2))
 
 
 def day_pair(days: Column, unit: Column) -> Column:
-    unit = F.lower(unit)
-    kind = F.when(F.contains(unit, F.lit("рабоч")), "working").when(F.contains(unit, F.lit("календар")), "calendar")
-    return F.struct(_some(days).try_cast("int").alias("days"), kind.alias("type"))
+    kind = lambda u: F.when(F.contains(u, F.lit("рабоч")), "working").when(F.contains(u, F.lit("календар")), "calendar")
+    return F.struct(some(days).try_cast("int").alias("days"), let(F.lower(unit), kind).alias("type"))
 
 
 def to_calendar(days: Column) -> Column:
@@ -105,8 +116,8 @@ def parse_date_range(text: Column) -> Column:
 
 def key_rate_fraction(text: Column, pattern: str) -> Column:
     """(numerator, denominator) of a fraction of the key rate."""
-    lower = _some(F.regexp_extract(text, pattern, 2)).try_cast("int")
-    return F.when(lower > 0, F.struct(_some(F.regexp_extract(text, pattern, 1)).try_cast("int").alias("numerator"), lower.alias("denominator")))
+    lower = some(F.regexp_extract(text, pattern, 2)).try_cast("int")
+    return F.when(lower > 0, F.struct(some(F.regexp_extract(text, pattern, 1)).try_cast("int").alias("numerator"), lower.alias("denominator")))
 
 
 def number_tokens(text: Column) -> Column:
@@ -116,7 +127,7 @@ def number_tokens(text: Column) -> Column:
 
 def safe_number(text: Column) -> Column:
     """P5: what is left of digits, dots and minus signs, as a double."""
-    return _some(F.regexp_replace(F.replace(text, F.lit(","), F.lit(".")), r"[^0-9.\-]", "")).try_cast("double")
+    return some(F.regexp_replace(F.replace(text, F.lit(","), F.lit(".")), r"[^0-9.\-]", "")).try_cast("double")
 
 
 def safe_bool(text: Column) -> Column:
@@ -127,7 +138,7 @@ def safe_bool(text: Column) -> Column:
 
 def json_in_text(text: Column, schema: str) -> Column:
     """The object between the first and the last brace."""
-    return F.from_json(_some(F.regexp_extract(text, r"(?s)\{.*\}", 0)), schema)
+    return F.from_json(some(F.regexp_extract(text, r"(?s)\{.*\}", 0)), schema)
 
 
 def format_rub(amount: Column) -> Column:

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as the reference texts see it: Unicode's, and the four information separators.
-_SPACE = r"[\s\x1c-\x1f]"
+#: White space: Unicode's, and the four information separators.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANKS = _SPACES.replace("\n", "").replace("\r", "").replace(" ", "")
 #: Carriage return, no-break space, narrow no-break space, tab, en and em dash, and what stands for them.
 _ODD, _PLAIN = "\r\u00a0\u202f\t\u2013\u2014", "\n   --"
 
@@ -20,15 +21,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at either end (T-strip)."""
-    return F.regexp_replace(F.regexp_replace(text, rf"(?U)^{_SPACE}+", ""), rf"(?U){_SPACE}+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def normalize_text(text: Column) -> Column:
     """No NULs; one kind of line feed, space and dash; runs of blanks and of line feeds collapsed; stripped."""
     text = F.replace(F.replace(text, F.lit("\x00"), F.lit("")), F.lit("\r\n"), F.lit("\n"))
-    text = F.translate(text, _ODD, _PLAIN)
-    text = F.regexp_replace(text, r"(?U)[\s\x1c-\x1f&&[^\n]]+", " ")
-    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    # All blanks become spaces first, so that the patterns after it are plain ones.
+    text = F.translate(text, _BLANKS + "\r\u2013\u2014", " " * len(_BLANKS) + "\n--")
+    return strip(F.regexp_replace(F.regexp_replace(text, " {2,}", " "), "\n{3,}", "\n\n"))
 
 
 def normalize_light(text: Column) -> Column:
@@ -39,7 +40,8 @@ def normalize_light(text: Column) -> Column:
 
 def normalize_for_search(text: Column) -> Column:
     """Lower case, ё as е, every run of white space one blank, stripped."""
-    return strip(F.regexp_replace(F.translate(F.lower(text), "ё", "е"), rf"(?U){_SPACE}+", " "))
+    plain = F.translate(F.lower(text), "ё" + _SPACES.replace(" ", ""), "е" + " " * (len(_SPACES) - 1))
+    return strip(F.regexp_replace(plain, " {2,}", " "))
 
 
 def cap_text(text: Column, most: int = 120_000) -> Column:
@@ -52,20 +54,36 @@ def quoted(word: str) -> str:
     return "(?iuU)" + "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in word)
 
 
+#: Put around matches to part a text at them: a noncharacter, which no text holds. Splitting at one plain character needs no pattern.
+_MARK = "\uffff"
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """Positional search: array of (start, end, match), offsets from 0 in code points, end exclusive.
 
-    Splitting at the pattern gives the gaps between matches; a running sum over gaps and matches gives
-    the offsets. Meant for texts with few matches; for long ones explode the matches and sum in a window.
+    One pass of the pattern marks the matches; parted at the marks, the text gives gaps and matches in
+    turn, whose lengths add up to the offsets.
     """
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    here = lambda acc, x: F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end"), x.alias("match"))
     step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + F.length(x["match"])).alias("at"),
-        F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["match"])).alias("end"), x["match"].alias("match"))).alias("out"),
+        (acc["at"] + F.length(x)).alias("at"), (~acc["gap"]).alias("gap"), F.when(acc["gap"], acc["out"]).otherwise(F.array_append(acc["out"], here(acc, x))).alias("out")
     )
-    both = lambda t: F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("matches"), F.split(t, pattern, -1).alias("gaps"))
-    pieces = lambda x: F.zip_with(F.slice(x["gaps"], 1, F.size(x["matches"])), x["matches"], lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match")))
-    return let(text, lambda t: let(both(t), lambda x: F.aggregate(pieces(x), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])))
+    pieces = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.lit(True).alias("gap"), empty.alias("out")), step, lambda acc: acc["out"])
+
+
+def find_word(low: Column, word: str) -> Column:
+    """Where a word stands in a lower-case text: array of offsets, without overlaps."""
+    gaps = lambda pieces: F.transform(F.slice(pieces, 1, F.size(pieces) - 1), F.length)
+    step = lambda acc, gap: F.struct((acc["at"] + gap + len(word)).alias("at"), F.array_append(acc["out"], acc["at"] + gap).alias("out"))
+    pieces = F.split(F.replace(low, F.lit(word), F.lit(_MARK)), _MARK, -1)
+    return F.aggregate(let(pieces, gaps), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+
+def starts_of(text: Column, pattern: str) -> Column:
+    """How much of the text stands before the first match; all of it if there is none."""
+    return F.length(F.substring_index(F.regexp_replace(text, pattern, _MARK), _MARK, 1))
 
 
 def count_hits(text: Column, words: list[str]) -> Column:

@@ -11,8 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bidlens import rules as R
-from bidlens.functions.numbers import calendar_days, day_pair, key_rate_fraction, parse_date, parse_date_range, parse_money, parse_money_grouped, parse_percent, to_calendar
-from bidlens.functions.text import any_of, clip, find_all, let
+from bidlens.functions.numbers import calendar_days, days_of_match, first_days, key_rate_fraction, parse_date, parse_date_range, parse_money, parse_money_grouped, parse_percent, some, to_calendar
+from bidlens.functions.text import any_of, clip, find_all, let, starts_of
 
 _CALENDAR = "календар"
 
@@ -26,22 +26,13 @@ def _bonus(condition: Column, value: float) -> Column:
     return F.when(condition, F.lit(value)).otherwise(F.lit(0.0))
 
 
-def _some(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
-
-
-def _first_days(text: Column, pattern: str) -> Column:
-    return day_pair(F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2))
-
-
 def _all_days(text: Column, pattern: str) -> Column:
     """Calendar days of every match."""
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), day_pair)
-    return F.transform(pairs, calendar_days)
+    return F.transform(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: days_of_match(m, pattern)), calendar_days)
 
 
 def _percent_at(text: Column, pattern: str) -> Column:
-    return parse_percent(_some(F.regexp_extract(text, pattern, 0)))
+    return parse_percent(some(F.regexp_extract(text, pattern, 0)))
 
 
 def _count(*signals: Column) -> Column:
@@ -156,13 +147,13 @@ def payment_basic(snippets: Column) -> Column:
     """One candidate a snippet, with the longest term of all found."""
 
     def mine(s: Column) -> Column:
-        text, low = s["snippet"], F.lower(s["snippet"])
+        text = s["snippet"]
         return let(
             F.struct(
-                _percent_at(text, R.ADVANCE_PERCENT).alias("advance"), _percent_at(text, R.FINAL_PERCENT).alias("final"), let(_first_days(text, R.ADVANCE_DAYS), calendar_days).alias("advance_days"),
-                _first_days(text, R.FINAL_DAYS).alias("end"), text.rlike(R.PAY_AFTER_FULL).alias("after_full"), F.concat(_all_days(text, R.PAY_DAYS), _all_days(text, R.PAY_DAYS_ALT)).alias("terms"),
+                F.lower(text).alias("low"), _percent_at(text, R.ADVANCE_PERCENT).alias("advance"), _percent_at(text, R.FINAL_PERCENT).alias("final"), let(first_days(text, R.ADVANCE_DAYS), calendar_days).alias("advance_days"),
+                first_days(text, R.FINAL_DAYS).alias("end"), text.rlike(R.PAY_AFTER_FULL).alias("after_full"), F.concat(_all_days(text, R.PAY_DAYS), _all_days(text, R.PAY_DAYS_ALT)).alias("terms"),
             ),
-            lambda x: judge(s, low, x),
+            lambda x: judge(s, x["low"], x),
         )
 
     def judge(s: Column, low: Column, x: Column) -> Column:
@@ -187,13 +178,13 @@ def payment_ranked(snippets: Column) -> Column:
     """C7."""
 
     def mine(s: Column, nth: Column) -> Column:
-        text, low = s["snippet"], F.lower(s["snippet"])
+        text = s["snippet"]
         return let(
             F.struct(
-                _percent_at(text, R.ADVANCE_PERCENT_RANKED).alias("advance"), _percent_at(text, R.FINAL_PERCENT_RANKED).alias("final"), let(_first_days(text, R.ADVANCE_DAYS_RANKED), calendar_days).alias("advance_days"),
-                _first_days(text, R.FINAL_DAYS_RANKED).alias("end"), text.rlike(R.AFTER_ACCEPTANCE).alias("accepted"), _all_days(text, R.CONTEXT_DAYS_RANKED).alias("terms"),
+                F.lower(text).alias("low"), _percent_at(text, R.ADVANCE_PERCENT_RANKED).alias("advance"), _percent_at(text, R.FINAL_PERCENT_RANKED).alias("final"), let(first_days(text, R.ADVANCE_DAYS_RANKED), calendar_days).alias("advance_days"),
+                first_days(text, R.FINAL_DAYS_RANKED).alias("end"), text.rlike(R.AFTER_ACCEPTANCE).alias("accepted"), _all_days(text, R.CONTEXT_DAYS_RANKED).alias("terms"),
             ),
-            lambda x: judge(s, nth, low, x),
+            lambda x: judge(s, nth, x["low"], x),
         )
 
     def judge(s: Column, nth: Column, low: Column, x: Column) -> Column:
@@ -214,15 +205,15 @@ def payment_evidence(snippets: Column) -> Column:
     def mine(s: Column) -> Column:
         text, low = s["snippet"], F.lower(s["snippet"])
         denied = low.rlike(R.NO_ADVANCE)
-        percent = F.replace(_some(F.regexp_extract(text, r"(?iuU)(\d{1,3}(?:[.,]\d+)?)\s*(?:%|процент\w*)", 1)), F.lit(","), F.lit(".")).try_cast("double")
+        percent = F.replace(some(F.regexp_extract(text, r"(?iuU)(\d{1,3}(?:[.,]\d+)?)\s*(?:%|процент\w*)", 1)), F.lit(","), F.lit(".")).try_cast("double")
         given = low.rlike(r"(?iuU)\bаванс\w*\b") & ~low.rlike(r"(?iuU)не\s+предусмотрен")
-        explicit = _first_days(text, R.PAY_DAYS_EVIDENCE)
-        loose = _first_days(text, r"(?iuU)(\d{1,4})\s*(рабоч\w*|календар\w*)?\s*дн(?:я|ей|ь)?")
+        explicit = first_days(text, R.PAY_DAYS_EVIDENCE)
+        loose = first_days(text, r"(?iuU)(\d{1,4})\s*(рабоч\w*|календар\w*)?\s*дн(?:я|ей|ь)?")
         strict = explicit["days"].isNotNull()
         pair = F.when(strict, explicit).when(any_of(low, ["оплат", "расчет", "платеж"]), loose)
         trigger = F.coalesce(*[F.when(any_of(low, words), name) for name, words in R.PAY_TRIGGERS.items()], F.lit("after_acceptance"))
         shape = "struct<rank:double,offset:int,allowed:boolean,advance_percent:double,days:int,type:string,trigger:string,quote:string>"
-        start = F.length(F.element_at(F.split(text, R.PAY_DAYS_EVIDENCE, 2), 1))
+        start = starts_of(text, R.PAY_DAYS_EVIDENCE)
         one = lambda rank, offset, allowed, advance, days, kind, why, quote: F.struct(F.lit(rank) if isinstance(rank, float) else rank, offset, allowed, advance, days, kind, why, quote).cast(shape)
         none = F.lit(None)
         return F.array_compact(
@@ -238,11 +229,11 @@ def payment_evidence(snippets: Column) -> Column:
 
 
 def _days_found(snippet: Column, offset: Column, pattern: str, plain: float, calendar: float = 0.0) -> Column:
-    numbers, units = (F.regexp_extract_all(snippet, F.lit(pattern), F.lit(k)) for k in (1, 2))
-    scored = F.zip_with(
-        numbers, units, lambda n, u: F.struct(calendar_days(day_pair(n, u)).alias("days"), (F.lit(plain) + _bonus(F.contains(F.lower(u), F.lit(_CALENDAR)), calendar)).alias("score"))
-    )
-    return F.zip_with(find_all(snippet, pattern), scored, lambda m, d: F.struct((offset + m["start"]).alias("start"), (offset + m["end"]).alias("end"), d["days"].alias("days"), d["score"].alias("score")))
+    def read(m: Column) -> Column:
+        bonus = _bonus(F.contains(F.lower(F.regexp_extract(m["match"], pattern, 2)), F.lit(_CALENDAR)), calendar) if calendar else F.lit(0.0)
+        return F.struct((offset + m["start"]).alias("start"), (offset + m["end"]).alias("end"), let(days_of_match(m["match"], pattern), calendar_days).alias("days"), (F.lit(plain) + bonus).alias("score"))
+
+    return F.transform(find_all(snippet, pattern), read)
 
 
 def _ranges_found(snippet: Column, offset: Column, plain: float) -> Column:
@@ -283,13 +274,13 @@ def execution_evidence(snippets: Column) -> Column:
 
     def mine(s: Column) -> Column:
         text, low = s["snippet"], F.lower(s["snippet"])
-        explicit = _first_days(text, R.EXEC_DAYS_EVIDENCE)
-        loose = _first_days(text, r"(?iuU)(\d{1,4})\s*(рабоч\w*|календар\w*)?\s*дн(?:я|ей|ь)?")
+        explicit = first_days(text, R.EXEC_DAYS_EVIDENCE)
+        loose = first_days(text, r"(?iuU)(\d{1,4})\s*(рабоч\w*|календар\w*)?\s*дн(?:я|ей|ь)?")
         strict = explicit["days"].isNotNull()
         pair = F.when(strict, explicit).when(any_of(low, ["срок", "поставк", "исполн", "оказани"]), loose)
         dates = F.transform(F.regexp_extract_all(text, F.lit(r"(?U)\b(\d{2}\.\d{2}\.\d{4})\b"), F.lit(1)), parse_date)
         span = F.datediff(F.array_max(dates), F.array_min(dates))
-        start = F.length(F.element_at(F.split(text, R.EXEC_DAYS_EVIDENCE, 2), 1))
+        start = starts_of(text, R.EXEC_DAYS_EVIDENCE)
         shape = "struct<rank:double,offset:int,days:int,type:string,quote:string>"
         return F.array_compact(
             F.array(
@@ -335,8 +326,8 @@ def penalty_ranked(snippets: Column) -> Column:
         text = s["snippet"]
         per_day, cap = _percent_at(text, R.PENALTY_PER_DAY_RANKED), _percent_at(text, R.CAP_RANKED)
         said = F.regexp_extract(text, R.FINE_PERCENT_RANKED, 0)
-        fine = F.when(~any_of(F.lower(said), ["в день", "ежеднев", "сутк"]), parse_percent(_some(said)))
-        fixed = parse_money(_some(F.regexp_extract(text, R.FINE_AMOUNT_RANKED, 1)))
+        fine = F.when(~any_of(F.lower(said), ["в день", "ежеднев", "сутк"]), parse_percent(some(said)))
+        fixed = parse_money(some(F.regexp_extract(text, R.FINE_AMOUNT_RANKED, 1)))
         found = F.struct(per_day.alias("per_day"), cap.alias("cap"), fine.alias("fine"), fixed.alias("fixed"))
         return let(found, lambda x: judge(s, nth, text, x))
 
@@ -357,8 +348,8 @@ def penalty_evidence(snippets: Column) -> Column:
         text = s["snippet"]
         fraction = key_rate_fraction(text, R.KEY_RATE_FRACTION)
         named = text.rlike("(?iuU)штраф")
-        percent = F.when(named, F.replace(_some(F.regexp_extract(text, r"(?iuU)(\d{1,3}(?:[.,]\d+)?)\s*(?:%|процент\w*)", 1)), F.lit(","), F.lit(".")).try_cast("double"))
-        bound = lambda words: F.when(named, parse_money_grouped(_some(F.regexp_extract(text, rf"(?iuU)не\s+{words}\s+([0-9\s  .,]+)", 1))).cast("double"))
+        percent = F.when(named, F.replace(some(F.regexp_extract(text, r"(?iuU)(\d{1,3}(?:[.,]\d+)?)\s*(?:%|процент\w*)", 1)), F.lit(","), F.lit(".")).try_cast("double"))
+        bound = lambda words: F.when(named, parse_money_grouped(some(F.regexp_extract(text, rf"(?iuU)не\s+{words}\s+([0-9\s  .,]+)", 1))).cast("double"))
         least, most = bound("менее"), bound("более")
         decree = F.contains(text, F.lit("1042"))
         fined = F.coalesce(percent, least, most).isNotNull()

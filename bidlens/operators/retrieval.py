@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bidlens.functions.text import any_of, count_hits, find_all, let, normalize_for_search, quoted, strip
+from bidlens.functions.text import count_hits, find_all, find_word, let, normalize_for_search, quoted, strip
 from bidlens.rules import SCORED_TWICE, SECTIONS_BASIC, SECTIONS_EVIDENCE, SECTIONS_RANKED, SECTIONS_SCORED
 
 _HIT = "array<struct<start:int,end:int,nth:int,keyword:string>>"
@@ -24,11 +24,12 @@ def _hits(text: Column, low: Column, keywords: list[str]) -> Column:
     none = F.array().cast(_HIT)
 
     def of(n: int, word: str) -> Column:
-        placed = F.transform(find_all(text, quoted(word)), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(n).alias("nth"), F.lit(word).alias("keyword")))
+        # A letter whose lower case is longer would shift what follows; then the text itself is searched.
+        starts = F.when(F.length(low) == F.length(text), find_word(low, word)).otherwise(F.transform(find_all(text, quoted(word)), lambda m: m["start"]))
+        placed = F.transform(starts, lambda at: F.struct(at.alias("start"), (at + len(word)).alias("end"), F.lit(n).alias("nth"), F.lit(word).alias("keyword")))
         return F.when(F.contains(low, F.lit(word)), placed).otherwise(none)
 
-    found = [of(n, word) for n, word in enumerate(keywords)]
-    return F.when(any_of(low, keywords), F.array_sort(F.concat(*found))).otherwise(none)
+    return F.array_sort(F.concat(*[of(n, word) for n, word in enumerate(keywords)]))
 
 
 def merge_windows(hits: Column, size: Column, window: int, order: str = "nth") -> Column:

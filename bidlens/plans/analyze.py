@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bidlens import rules as R
 from bidlens.functions.numbers import parse_money, safe_number, to_calendar
-from bidlens.functions.text import clip, count_hits, find_all, normalize_text
+from bidlens.functions.text import any_of, clip, count_hits, find_all, let, normalize_text
 from bidlens.operators import mining as M
 from bidlens.operators.retrieval import basic_snippets, evidence_snippets, ranked_snippets
 from bidlens.operators.risk import danger_phrases, financials, risk, safe_cost, verdict
@@ -30,10 +30,9 @@ def _core_price(text: Column) -> Column:
     pattern = r"(?iuU)(?:нмцк|начальн\w*\s*\(максимальн\w*\)\s*цена)[^\d]{0,60}(\d[\d\s  .,]*\d)"
 
     def score(m: Column) -> Column:
-        quote = F.lower(clip(text, m["start"], m["end"], 180, 400, ""))
         value = F.bround(parse_money(F.regexp_extract(m["match"], pattern, 1)), 0)
-        points = F.when(F.contains(quote, F.lit("нмцк")), 5).otherwise(0) + F.when(F.contains(quote, F.lit("цена")), 2).otherwise(0) + F.when(F.contains(quote, F.lit("руб")), 1).otherwise(0)
-        return F.struct(points.alias("points"), value.alias("value"))
+        points = lambda quote: F.when(F.contains(quote, F.lit("нмцк")), 5).otherwise(0) + F.when(F.contains(quote, F.lit("цена")), 2).otherwise(0) + F.when(F.contains(quote, F.lit("руб")), 1).otherwise(0)
+        return F.struct(let(F.lower(clip(text, m["start"], m["end"], 180, 400, "")), points).alias("points"), value.alias("value"))
 
     return F.array_max(F.filter(F.transform(find_all(text, pattern), score), lambda c: c["value"].isNotNull()))["value"]
 
@@ -43,10 +42,7 @@ def _core_fine(text: Column) -> Column:
     pattern = r"(?iuU)штраф\w*[^\d%]{0,80}(\d+(?:[.,]\d+)?)\s*%"
 
     def read(m: Column) -> Column:
-        quote = F.lower(clip(text, m["start"], m["end"], 180, 400, ""))
-        said = F.lit(False)
-        for word in ("день", "дн", "сутк", "ежедневн"):
-            said = said | F.contains(quote, F.lit(word))
+        said = any_of(F.lower(clip(text, m["start"], m["end"], 180, 400, "")), ["день", "дн", "сутк", "ежедневн"])
         return F.when(~said, safe_number(F.regexp_extract(m["match"], pattern, 1)))
 
     return F.array_max(F.transform(find_all(text, pattern), read))

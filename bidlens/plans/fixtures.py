@@ -52,7 +52,11 @@ CASE k % 3 WHEN 0 THEN CASE (k * 7) % 4 WHEN 0 THEN '0.02' WHEN 1 THEN '0.03' WH
 """
 
 
-def tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tenders(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """A tender for each order; with `only`, which has a column k, for those orders alone."""
     # Keys are dealt out before texts are made of them: work a row is much, bytes a row are few.
-    keys = table(spark, sf_dir, "orders").select("o_orderkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+    keys = table(spark, sf_dir, "orders").select("o_orderkey")
+    if only is not None:
+        keys = keys.join(only, keys["o_orderkey"] == only["k"], "left_semi")
+    keys = keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     return spark.sql(TENDER_SQL.replace("FROM orders", "FROM {orders}"), orders=keys)

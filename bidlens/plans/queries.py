@@ -19,7 +19,7 @@ from bidlens.operators.risk import danger_phrases, financials, level, risk, safe
 from bidlens.plans.analyze import analyze, facts, gate, section_hits, traps
 from bidlens.plans.fixtures import TENDER_SQL, tenders
 from bidlens.sources.documents import strip_markup
-from bidlens.sources.tables import table
+from bidlens.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,17 +46,17 @@ def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clause_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the tender text of their number before them, so that offsets are known and texts long."""
-    clause = tenders(spark, sf_dir).select(F.col("k").alias("doc_id"), F.col("text").alias("clause"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
-    return docs.join(clause, "doc_id").select("doc_id", T.normalize_text(F.concat("clause", F.lit("\n"), "body")).alias("text"))
+    """Documents with the tender text of their number, if there is one, before them, so that offsets are known and texts long."""
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    clause = tenders(spark, sf_dir, docs.select(F.col("doc_id").alias("k"))).select(F.col("k").alias("doc_id"), F.col("text").alias("clause"))
+    return docs.join(clause, "doc_id", "left").select("doc_id", T.normalize_text(F.concat(F.coalesce("clause", F.lit("")), F.lit("\n"), "body")).alias("text"))
 
 
 _NORM = r"""trim(regexp_replace(regexp_replace(translate(replace({0}, chr(13) || chr(10), chr(10)),
   chr(13) || chr(160) || chr(8239) || chr(9) || chr(8211) || chr(8212), chr(10) || '   --'),
   '[^\S\n]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9))"""
 _CLAUSED = f"""{_TENDERS},
-cd AS (SELECT doc_id, {_NORM.format("t.text || chr(10) || coalesce(documents.text, '')")} AS text FROM documents JOIN t ON t.k = documents.doc_id)"""
+cd AS (SELECT doc_id, {_NORM.format("coalesce(t.text, '') || chr(10) || coalesce(documents.text, '')")} AS text FROM documents LEFT JOIN t ON t.k = documents.doc_id)"""
 
 
 @query(f"WITH {_TENDERS} SELECT k, mode, nmck, execution_days, payment_terms_days, sha256(text) AS text_sha256 FROM t")
@@ -69,13 +69,13 @@ def tender_text(spark, sf_dir):
 def normalize_text(spark, sf_dir):
     """T1, T4."""
     t = T.cap_text(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("text_sha256"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", t.alias("t")).select("doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("text_sha256"))
 
 
 @query(r"SELECT doc_id, sha256(trim(regexp_replace(replace(lower(text), 'ё', 'е'), '[\s\x{00A0}]+', ' ', 'g'), ' ')) AS text_sha256 FROM documents")
 def normalize_for_search(spark, sf_dir):
     """T3."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_for_search(F.col("text")), 256).alias("text_sha256"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.sha2(T.normalize_for_search(F.col("text")), 256).alias("text_sha256"))
 
 
 def _spelled(k: Column, nmck: Column) -> Column:
@@ -254,7 +254,7 @@ _WEIGHTS = " ".join(f"WHEN '{w}' THEN {V.keyword_weight(w) * (2 if w in R.SCORED
 
 
 @query(f"""WITH {_TENDERS},
-cd AS (SELECT doc_id, trim(regexp_replace(replace(lower({_NORM.format("t.text || chr(10) || coalesce(documents.text, '')")}), 'ё', 'е'), '\\s+', ' ', 'g'), ' ') AS text FROM documents JOIN t ON t.k = documents.doc_id),
+cd AS (SELECT doc_id, trim(regexp_replace(replace(lower({_NORM.format("coalesce(t.text, '') || chr(10) || coalesce(documents.text, '')")}), 'ё', 'е'), '\\s+', ' ', 'g'), ' ') AS text FROM documents LEFT JOIN t ON t.k = documents.doc_id),
 {_sql_windows(R.SECTIONS_SCORED['payment'], 900, 1000000, 'start, stop, kw')},
 score AS (SELECT doc_id, island, sum(CASE kw {_WEIGHTS} END) + least(6.0, 1.5 * count(DISTINCT kw) FILTER (kw LIKE '% %' OR kw LIKE '%/%' OR length(kw) >= 10)) + CASE WHEN count(DISTINCT kw) >= 3 THEN 1 ELSE 0 END AS score FROM marked GROUP BY doc_id, island)
 SELECT * FROM (SELECT merged.doc_id, row_number() OVER (PARTITION BY merged.doc_id ORDER BY score.score DESC, lo) AS nth, lo::BIGINT AS start, round(score.score, 4)::DOUBLE AS score FROM merged JOIN score USING (doc_id, island)) WHERE nth <= 10""")
@@ -271,7 +271,7 @@ def context_budget(spark, sf_dir):
 
 
 def _packages(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(
         F.floor(F.col("doc_id") / 5).alias("package"), (F.col("doc_id") % 5 + 1).alias("nth"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), T.normalize_text(F.coalesce("text", F.lit(""))).alias("text")
     )
@@ -301,7 +301,7 @@ def file_asof(spark, sf_dir):
 SELECT doc_id, chunk, length(substring(text, chunk * 13500 + 1, 15000))::BIGINT AS n_chars, sha256(substring(text, chunk * 13500 + 1, 15000)) AS chunk_sha256 FROM c""")
 def chunking(spark, sf_dir):
     """T12."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.cuts(F.col("text"), 15_000, 1_500)).alias("c"))
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(T.cuts(F.col("text"), 15_000, 1_500)).alias("c"))
     return rows.select("doc_id", F.col("c.chunk").cast("long").alias("chunk"), F.length("c.text").cast("long").alias("n_chars"), F.sha2("c.text", 256).alias("chunk_sha256"))
 
 
@@ -495,7 +495,7 @@ def report_lines(spark, sf_dir):
 @query("""SELECT name, n_chars, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY name, n_chars ORDER BY doc_id DESC) AS rn FROM (SELECT doc_id, source || '.txt' AS name, n_chars % 50 AS n_chars FROM documents)) WHERE rn = 1""")
 def upload_dedupe(spark, sf_dir):
     """Q20: of uploads of one name and size the last wins."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(".txt")).alias("name"), (F.col("n_chars") % 50).alias("n_chars"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", F.concat("source", F.lit(".txt")).alias("name"), (F.col("n_chars") % 50).alias("n_chars"))
     return H.last_wins(d, ["name", "n_chars"], "doc_id")
 
 
@@ -529,13 +529,13 @@ def rerun_diff(spark, sf_dir):
 @query(rf"""SELECT page_id, sha256({_NORM.format("""replace(replace(replace(replace(replace(regexp_replace(replace(html, '</w:p>', chr(10)), '<[^>]+>', '', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39))""")}) AS text_sha256 FROM pages""")
 def html_strip(spark, sf_dir):
     """S2's way out: tags away, five entities decoded."""
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.normalize_text(strip_markup(F.col("html"))), 256).alias("text_sha256"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", F.sha2(T.normalize_text(strip_markup(F.col("html"))), 256).alias("text_sha256"))
 
 
 @query()
 def pdf_rows_text(spark, sf_dir):
     """S13-S16 on words laid out from documents: rows, tabs, tables, choice of text."""
-    return L.page_texts(L.layout_words(table(spark, sf_dir, "documents")))
+    return L.page_texts(L.layout_words(spread(table(spark, sf_dir, "documents"))))
 
 
 @query("SELECT p_partkey, p_partkey % 702 AS column_index FROM part")

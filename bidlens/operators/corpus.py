@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidlens.functions.text import any_of, count_hits, find_all, normalize_text
+from bidlens.functions.text import any_of, count_hits, find_all, normalize_text, strip
 from bidlens.rules import ROLE_ANCHORS, ROLE_FILE_NAMES
 
 MARKERS = {"batch": r"(?md)^===== FILE\s+\d+/\d+:\s*(.+?)\s*=====$", "evidence": r"(?md)^===== FILE\s+(.+?)\s*=====$"}
@@ -25,11 +25,23 @@ def assemble(files: DataFrame, package: str, style: str = "batch", name: str = "
     header = {
         "batch": lambda p, n: F.concat(F.lit("\n===== FILE "), p[nth].cast("string"), F.lit("/"), n, F.lit(": "), p[name], F.lit(" ("), extension(p[name]), F.lit(") =====\n"), p[text]),
         "ranked": lambda p, n: F.concat(F.lit("===== FILE "), p[nth].cast("string"), F.lit("/"), n, F.lit(": "), p[name], F.lit(" =====\n"), p[text], F.lit("\n\n")),
-        "evidence": lambda p, n: F.concat(F.lit("===== FILE "), p[name], F.lit(" =====\n"), p[text], F.lit("\n\n")),
+        "evidence": lambda p, n: F.concat(F.lit("===== FILE "), p[name], F.lit(" =====\n"), p[text], F.lit("\n")),
     }[style]
     grouped = files.groupBy(package).agg(total.alias("_total"), parts.alias("_parts"), F.count(F.lit(1)).alias("n_files"))
     joined = F.array_join(F.transform("_parts", lambda p: header(p, F.col("_total"))), "\n" if style == "batch" else "")
-    return grouped.select(package, "n_files", normalize_text(joined).alias("corpus"))
+    # The files' texts are normalised already; between them T6 and T7 keep their own line feeds.
+    return grouped.select(package, "n_files", (normalize_text(joined) if style == "batch" else joined).alias("corpus"))
+
+
+MANUAL_HEADERS = {"ranked": "===== MANUAL_TEXT =====\n", "evidence": "===== FILE MANUAL_TEXT =====\n"}
+
+
+def assemble_with_manual(files: DataFrame, manual: DataFrame, package: str, style: str) -> DataFrame:
+    """One row a package of `manual` (package, manual): mode, corpus; a typed text comes after the files, under a header of its own."""
+    both = manual.join(assemble(files, package, style), package, "left")
+    typed = normalize_text(F.coalesce("manual", F.lit("")))
+    block = F.when(typed != "", F.concat(F.lit(MANUAL_HEADERS[style]), typed, F.lit("\n"))).otherwise("")
+    return both.select(package, input_mode(F.coalesce("n_files", F.lit(0)), F.col("manual")).alias("mode"), strip(F.concat(F.coalesce("corpus", F.lit("")), block)).alias("corpus"))
 
 
 def markers(corpus: Column, style: str = "batch") -> Column:

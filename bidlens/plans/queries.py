@@ -15,7 +15,7 @@ from bidlens.operators import history as H
 from bidlens.operators import layout as L
 from bidlens.operators import mining as M
 from bidlens.operators import retrieval as V
-from bidlens.operators.risk import danger_phrases, financials, level, risk, safe_cost
+from bidlens.operators.risk import danger_phrases, financials, level, risk, safe_cost, verdict
 from bidlens.plans.analyze import analyze, facts, gate, section_hits, traps
 from bidlens.plans.fixtures import TENDER_SQL, tenders
 from bidlens.sources.documents import strip_markup
@@ -162,6 +162,38 @@ s AS (SELECT *, greatest(0, least(10, (n IS NULL)::INT
 r AS (SELECT *, CASE WHEN risk_score <= 3 THEN 'Низкий' WHEN risk_score <= 6 THEN 'Средний' ELSE 'Высокий' END AS risk_level FROM s)"""
 
 
+def _rub(amount: str) -> str:
+    return f"replace(format('{{:,}}', ({amount})::BIGINT), ',', ' ') || ' ₽'"
+
+
+_PART = {name: f"n * {name} / 100" for name in ("bid_security_percent", "contract_security_percent")}
+_REASONS = f"""{_RISK}, reasoned AS (SELECT *, list_filter([
+  CASE WHEN n IS NULL THEN 'Не удалось извлечь НМЦК — возможна неполнота данных/нестандартный документ.' END,
+  CASE WHEN pay >= 60 THEN 'Долгий срок оплаты: ' || pay || ' дней — высокий риск кассового разрыва.' WHEN pay >= 30 THEN 'Срок оплаты: ' || pay || ' дней — возможен кассовый разрыв.'
+    WHEN pay IS NOT NULL THEN NULL WHEN k % 2 = 0 THEN 'Раздел оплаты найден, но срок не распознан — требуется проверка.' ELSE 'Не найден срок оплаты — риск неопределенности по кэшу.' END,
+  CASE WHEN ex IS NULL OR n IS NULL THEN 'Не найден срок исполнения — риск неверной оценки нагрузки.'
+    WHEN ex <= 30 AND n >= 10000000 THEN 'Короткий срок исполнения (' || ex || ' дней) при НМЦК ≥ 10 млн — риск срыва сроков.' WHEN ex <= 20 THEN 'Очень короткий срок исполнения: ' || ex || ' дней.' END,
+  CASE WHEN pen >= 0.2 THEN 'Высокая пеня: ' || penalty_txt || '%/день — штрафной риск.' WHEN pen >= 0.1 THEN 'Пеня: ' || penalty_txt || '%/день — заметный штрафной риск.'
+    WHEN pen IS NOT NULL THEN NULL WHEN k % 2 = 1 THEN 'Раздел ответственности найден, но пеня/штраф не распознаны — требуется проверка.' ELSE 'Пеня/штрафы не извлечены — проверь вручную (экстрактор мог не распознать формулировку).' END,
+  CASE WHEN adv = 0 THEN 'Аванс отсутствует — увеличивает кассовую нагрузку.' WHEN adv >= 30 THEN 'Высокий аванс: ' || adv || '.0% — снижает кассовый риск.' END,
+  CASE WHEN contract_security_percent >= 10 THEN 'Высокое обеспечение контракта: ' || contract_security_percent || '.0%' || coalesce(' (~' || {_rub(_PART["contract_security_percent"])} || ')', '') || ' — нагрузка на финансы/гарантии.' END,
+  CASE WHEN bid_security_percent >= 5 THEN 'Высокое обеспечение заявки: ' || bid_security_percent || '.0%' || coalesce(' (~' || {_rub(_PART["bid_security_percent"])} || ')', '') || ' — финансовая нагрузка.' END,
+  CASE WHEN has_vague_acceptance_terms THEN 'Есть признаки размытых условий приемки/оснований отказа — риск конфликтов и задержек оплаты.' END,
+  CASE WHEN is_trap THEN 'Оплата только после полной поставки — риск длительного кассового разрыва и зависания оборотки.' END,
+  CASE WHEN is_trap THEN 'Поставка партиями/по заявкам заказчика — риск растягивания сроков и заморозки товара/денег.' END,
+  CASE WHEN is_trap THEN 'Требование держать товар на складе поставщика — заморозка оборотных средств и риск срыва сроков.' END,
+  CASE WHEN is_trap THEN 'Комбо-капкан: оплата после полной поставки + поставка по заявкам — высокий риск долгой заморозки оборотки.' END,
+  CASE WHEN n IS NOT NULL THEN 'Оценка заморозки оборотных средств: обеспечение заявки ~ ' || {_rub(_PART["bid_security_percent"])} || '; обеспечение контракта ~ ' || {_rub(_PART["contract_security_percent"])} || '.'
+    || CASE WHEN adv = 0 THEN ' Аванса нет — потребуется больше оборотки.' ELSE '' END || CASE WHEN is_trap THEN ' Условия оплаты/поставки могут дополнительно растянуть возврат денег.' ELSE '' END END],
+  lambda x: x IS NOT NULL) AS reasons FROM r)"""
+
+
+@query(f"WITH {_REASONS} SELECT k, unnest(reasons) AS reason, generate_subscripts(reasons, 1)::BIGINT AS nth FROM reasoned")
+def risk_reasons(spark, sf_dir):
+    """F1: what the score says, in words and in order."""
+    return _truth_risk(tenders(spark, sf_dir)).select("k", F.posexplode("reasons").alias("i", "reason")).select("k", (F.col("i") + 1).cast("long").alias("nth"), "reason")
+
+
 @query(f"WITH {_RISK} SELECT k, risk_score::BIGINT AS risk_score, risk_level FROM r")
 def risk_score(spark, sf_dir):
     """F1 over known facts, some of them missing."""
@@ -427,10 +459,11 @@ def history_topn(spark, sf_dir):
     return H.latest(H.masked(analyses(spark, sf_dir)), 20).select("id", "user_id", "nmck", F.col("risk_score").cast("long").alias("risk_score"), "roi")
 
 
-@query(f"WITH {_ANALYSES} SELECT id, user_id, risk_level FROM a WHERE user_id = 7 AND id % 2 = 1")
+@query(f"WITH {_ANALYSES} SELECT event_id, risk_level FROM (SELECT event_id, event_id AS id, user_id FROM events) e LEFT JOIN a USING (id, user_id)")
 def point_lookup(spark, sf_dir):
-    """Q3."""
-    return analyses(spark, sf_dir).filter("user_id = 7 and id % 2 = 1").select("id", "user_id", "risk_level")
+    """Q3: every request for an analysis by its number and its user; none for the analyses of others."""
+    asked = table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("id"), "user_id")
+    return asked.join(analyses(spark, sf_dir).select("id", "user_id", "risk_level"), ["id", "user_id"], "left").select("event_id", "risk_level")
 
 
 @query("""WITH keys AS (SELECT c_custkey AS user_id, sha256('key-' || c_custkey) AS key_hash, c_custkey % 5 <> 0 AS key_active, c_custkey % 7 <> 0 AS user_active FROM customer),
@@ -472,24 +505,68 @@ def dashboard_metrics(spark, sf_dir):
     return H.dashboard(analyses(spark, sf_dir))
 
 
+_UI = "CASE WHEN risk_score >= 10 THEN 'critical' WHEN risk_score >= 9 THEN 'high' WHEN risk_score >= 7 THEN 'medium' ELSE 'low' END"
+
+
 @query(f"""WITH {_ANALYSES} SELECT id, CASE WHEN risk_score >= 9 THEN 'critical' WHEN risk_score >= 7 THEN 'high' WHEN risk_score >= 4 THEN 'medium' ELSE 'low' END AS tone,
-  CASE WHEN risk_score >= 10 THEN 'critical' WHEN risk_score >= 9 THEN 'high' WHEN risk_score >= 7 THEN 'medium' ELSE 'low' END AS ui_level, coalesce(source_name, CASE source_type WHEN 'text' THEN 'Текст' ELSE upper(source_type) END) AS source_label FROM a""")
+  {_UI} AS ui_level, CASE risk_level WHEN 'Высокий' THEN 'high' WHEN 'Средний' THEN 'medium' ELSE 'low' END AS text_level,
+  coalesce(source_name, CASE source_type WHEN 'pdf' THEN 'PDF-документ' WHEN 'docx' THEN 'Документ' WHEN 'batch' THEN 'Пакет документов' ELSE 'Текстовый анализ' END) AS source_label FROM a""")
 def risk_tone(spark, sf_dir):
-    """Q12-Q14."""
+    """Q12-Q14; the level also as it is without a score."""
     a = analyses(spark, sf_dir)
-    return a.select("id", H.tone(F.col("risk_score")).alias("tone"), H.ui_level(F.col("risk_score")).alias("ui_level"), H.source_label(F.col("source_name"), F.col("source_type")).alias("source_label"))
+    return a.select("id", H.tone(F.col("risk_score")).alias("tone"), H.ui_level(F.col("risk_score")).alias("ui_level"), H.ui_level(F.lit(None).cast("int"), F.col("risk_level")).alias("text_level"), H.source_label(F.col("source_name"), F.col("source_type")).alias("source_label"))
 
 
-@query()
+def _said(column: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{word}')" for word in words) + ")"
+
+
+@query(f"""WITH {_REASONS}, f AS (SELECT k AS id, unnest(list_slice(reasons, 1, 6)) AS title, unnest(range(len(list_slice(reasons, 1, 6)))) AS nth FROM reasoned)
+SELECT id, nth, 'r-' || nth || '-' || trim(regexp_replace(lower(title), '[^a-zа-я0-9]+', '-', 'g'), '-') AS finding_id, title,
+  CASE WHEN {_said("lower(title)", R.HIGH_SIGNALS)} THEN 'high' WHEN {_said("lower(title)", R.MEDIUM_SIGNALS)} THEN 'medium' ELSE 'low' END AS severity FROM f""")
 def reason_severity(spark, sf_dir):
-    """Q15, Q16: the first six reasons as findings with severity and slug."""
+    """Q15, Q16: the first six reasons as findings with severity and id."""
     return H.findings(analyses(spark, sf_dir))
 
 
-@query()
+def _fixes(df: DataFrame) -> Column:
+    return H.fix_suggestions(F.col("advance_percent"), F.col("is_trap"), F.col("contract_security_percent"), F.col("bid_security_percent"), F.col("is_trap") & (F.col("k") % 2 == 0))
+
+
+_FIX = "[" + ", ".join("CASE WHEN {} THEN '{}' END".format(c, R.FIXES[name].replace("'", "''")) for name, c in (("advance", "advance_percent <= 0"), ("after_full", "is_trap"), ("contract_security", "contract_security_percent >= 20"), ("bid_security", "bid_security_percent >= 5"), ("by_requests", "is_trap AND k % 2 = 0"))) + "]"
+_OTHERWISE = "[" + ", ".join(f"'{x}'" for x in R.FIXES_OTHERWISE) + "]"
+_FIXED = f"CASE WHEN len(list_filter({_FIX}, lambda x: x IS NOT NULL)) > 0 THEN list_filter({_FIX}, lambda x: x IS NOT NULL) ELSE {_OTHERWISE} END"
+
+
+@query(f"WITH {_TENDERS} SELECT k, array_to_string({_FIXED}, '|') AS fixes FROM t")
+def fix_suggestions(spark, sf_dir):
+    """Q17."""
+    df = tenders(spark, sf_dir)
+    return df.select("k", F.array_join(_fixes(df), "|").alias("fixes"))
+
+
+_MONEY = "replace(format('{{:,}}', round({0})::BIGINT), ',', chr(160)) || chr(160) || '₽'"
+
+
+@query(f"""WITH {_REASONS}, v AS (SELECT reasoned.*, o_orderdate AS created_at, nmck * CASE WHEN mode = 'safe' THEN 84 ELSE 90 END / 100 AS cost, {_FIXED} AS fixes, {_UI} AS ui FROM reasoned JOIN orders ON o_orderkey = k),
+m AS (SELECT *, round(cost / execution_days * payment_terms_days, 2) AS gap, round(nmck / 1.12, 2) AS safe FROM v)
+SELECT k AS id, 'Кассовый разрыв ~ ' || replace(format('{{:,}}', round(gap)::BIGINT), ',', chr(160)) || ' ₽' AS factor,
+  CASE ui WHEN 'critical' THEN 'критический' WHEN 'high' THEN 'высокий' WHEN 'medium' THEN 'средний' ELSE 'низкий' END AS level_label,
+  'Анализ #' || k || chr(10) || 'Дата: ' || strftime(created_at, '%d.%m.%Y, %H:%M') || chr(10)
+  || 'Решение: ' || CASE ui WHEN 'critical' THEN 'Не участвовать' WHEN 'high' THEN 'Не участвовать' WHEN 'medium' THEN 'Участвовать с осторожностью' ELSE 'Можно участвовать' END || chr(10)
+  || 'Вердикт: ' || CASE WHEN risk_score >= 7 THEN 'Не рекомендуется участвовать' WHEN risk_score >= 4 THEN 'Участвовать с осторожностью' ELSE 'Можно участвовать' END || chr(10)
+  || 'Индекс риска: ' || risk_score || '/10' || chr(10) || 'Ожидаемый ROI: 12%' || chr(10)
+  || 'Кассовый разрыв: ' || {_MONEY.format("gap")} || chr(10) || 'Безопасная себестоимость: ' || {_MONEY.format("safe")} || chr(10) || chr(10)
+  || 'Ключевые риски:' || chr(10) || CASE WHEN len(reasons) = 0 THEN '1. Не выделено' ELSE array_to_string(list_transform(list_slice(reasons, 1, 6), lambda x, i: i || '. ' || x), chr(10)) END || chr(10) || chr(10)
+  || 'Рекомендации:' || chr(10) || array_to_string(list_transform(fixes, lambda x, i: i || '. ' || x), chr(10)) AS report FROM m""")
 def report_lines(spark, sf_dir):
-    """The text report of an analysis."""
-    return analyses(spark, sf_dir).select("id", H.report(F.col("nmck"), F.col("risk_score"), F.col("risk_level"), F.col("reasons"), F.col("created_at")).alias("report"))
+    """K5, Q18, Q19: the text report of every analysis, its main factor and its level."""
+    df = _truth_risk(priced(spark, sf_dir)).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("created_at")), "k")
+    roi, gap = financials(F.col("nmck"), F.col("cost_price"), F.col("planned_margin_percent"), F.col("payment_terms_days"), F.col("execution_days"))
+    df = df.withColumn("roi_percent", F.round(roi, 2)).withColumn("cash_gap", F.round(gap, 2)).withColumn("level", H.ui_level(F.col("risk_score")))
+    made = {"id": F.col("k"), "safe_cost": safe_cost(F.col("nmck"), F.col("roi_percent")), "verdict": verdict(F.col("nmck"), F.lit(True), F.lit(False), F.col("risk_score")), "fixes": _fixes(df)}
+    parts = made | {name: F.col(name) for name in ("created_at", "level", "risk_score", "roi_percent", "cash_gap", "reasons")}
+    return df.select(F.col("k").alias("id"), H.primary_factor(F.col("cash_gap"), F.col("reasons")).alias("factor"), H.level_label(F.col("level")).alias("level_label"), H.report(parts).alias("report"))
 
 
 @query("""SELECT name, n_chars, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY name, n_chars ORDER BY doc_id DESC) AS rn FROM (SELECT doc_id, source || '.txt' AS name, n_chars % 50 AS n_chars FROM documents)) WHERE rn = 1""")
@@ -546,12 +623,25 @@ def xlsx_column_index(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", L.column_index(letters).alias("column_index"))
 
 
-@query("""SELECT l_orderkey, value, n FROM (SELECT l_orderkey, value, n, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, near DESC, value DESC) AS rn FROM (
-  SELECT l_orderkey, (l_quantity % 5)::BIGINT AS value, count(*) AS n, count(*) FILTER (l_returnflag = 'N') AS near FROM lineitem WHERE l_quantity % 5 BETWEEN 1 AND 365 GROUP BY 1, 2)) WHERE rn = 1""")
+def _voted(field: str, tie: str, low: int, high: int) -> str:
+    return f"""(SELECT l_orderkey, value AS {field}, row_number() OVER (PARTITION BY l_orderkey ORDER BY least(0.6::DOUBLE, 0.2::DOUBLE * n) + CASE WHEN value BETWEEN {low} AND {high} THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN near THEN 0.2::DOUBLE ELSE 0 END DESC, {tie}) AS rn FROM c)"""
+
+
+@query(f"""WITH a AS (SELECT l_orderkey, l_linenumber * 1000000000::BIGINT + l_partkey * 10000 + l_suppkey AS nth, (l_quantity % 5 * 100)::BIGINT AS value, l_returnflag = 'N' AS near, l_partkey, l_linestatus = 'O' AS flag FROM lineitem),
+c AS (SELECT l_orderkey, value, count(*) AS n, bool_or(near) AS near, min(nth) AS first FROM a GROUP BY ALL),
+q AS (SELECT l_orderkey, currency, count(*) AS n FROM (SELECT l_orderkey, CASE l_partkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'RUB' END AS currency FROM a) WHERE currency IS NOT NULL GROUP BY ALL),
+m AS (SELECT l_orderkey, currency FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, currency) AS rn FROM q) WHERE rn = 1),
+f AS (SELECT l_orderkey, CASE WHEN bool_or(flag) AND NOT bool_or(near) THEN arg_min(flag, nth) ELSE bool_or(flag) END AS vague FROM a GROUP BY l_orderkey)
+SELECT p.l_orderkey, payment_terms_days, execution_days, advance_percent, currency, vague FROM {_voted("payment_terms_days", "value DESC", 0, 365)} p JOIN {_voted("execution_days", "value", 1, 5000)} e ON p.l_orderkey = e.l_orderkey AND e.rn = 1
+JOIN {_voted("advance_percent", "first", 0, 100)} d ON p.l_orderkey = d.l_orderkey AND d.rn = 1 LEFT JOIN m ON m.l_orderkey = p.l_orderkey JOIN f ON f.l_orderkey = p.l_orderkey WHERE p.rn = 1""")
 def merge_vote(spark, sf_dir):
-    """Of several answers in range the commonest wins, then that with more evidence, then the largest."""
-    answers = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_quantity") % 5).cast("long").alias("value"), (F.col("l_returnflag") == "N").alias("near"))
-    return H.vote(answers, "l_orderkey", 1, 365)
+    """The lines of an order as several answers: numbers by score, currency by count, a flag by its words."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber").cast("long") * 10**9 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("nth"), (F.col("l_quantity") % 5 * 100).cast("long").alias("value"), (F.col("l_returnflag") == "N").alias("near"), "l_partkey", (F.col("l_linestatus") == "O").alias("flag"))
+    currency = F.element_at(F.array(F.lit("USD"), F.lit("EUR"), F.lit("RUB"), F.lit("GBP")), (F.col("l_partkey") % 4 + 1).cast("int"))
+    out = H.vote(lines, "l_orderkey", "payment_terms_days")
+    for field in ("execution_days", "advance_percent"):
+        out = out.join(H.vote(lines, "l_orderkey", field), "l_orderkey")
+    return out.join(H.vote_currency(lines.withColumn("value", currency), "l_orderkey"), "l_orderkey", "left").join(H.vote_flag(lines.withColumn("value", F.col("flag")), "l_orderkey", "vague"), "l_orderkey")
 
 
 @query("SELECT conv_id, count(*) AS n, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, role, text)) AS joined_sha256 FROM conversations GROUP BY conv_id")
@@ -561,6 +651,67 @@ def ordered_assembly(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(pieces["text"], "\n"), 256).alias("joined_sha256"))
 
 
-@query(f"WITH {_RISK} SELECT risk_level, count(*) AS n FROM r WHERE k % 2 = 0 GROUP BY risk_level")
+@query(f"WITH {_RISK} SELECT risk_level, count(*) AS n FROM r GROUP BY risk_level")
 def level_counts(spark, sf_dir):
-    return _truth_risk(tenders(spark, sf_dir)).filter("k % 2 = 0").groupBy(level(F.col("risk_score")).alias("risk_level")).agg(F.count(F.lit(1)).alias("n"))
+    return _truth_risk(tenders(spark, sf_dir)).groupBy(level(F.col("risk_score")).alias("risk_level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""SELECT doc_id, sha256(translate(replace(text, chr(13) || chr(10), chr(10)), chr(13) || chr(160) || chr(8239) || chr(9) || chr(8211) || chr(8212), chr(10) || '   --')) AS text_sha256 FROM documents""")
+def normalize_light(spark, sf_dir):
+    """T2."""
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.sha2(T.normalize_light(F.col("text")), 256).alias("text_sha256"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents)
+SELECT doc_id, nth::BIGINT AS nth, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY nth) - length(line) - 1)::BIGINT AS start, sha256(line) AS line_sha256 FROM l""")
+def line_offsets(spark, sf_dir):
+    """T11."""
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(C.lines(F.col("text"))).alias("i", "l"))
+    return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("nth"), F.col("l.offset").cast("long").alias("start"), F.sha2("l.line", 256).alias("line_sha256"))
+
+
+@query(f"""WITH {_TENDERS} SELECT k, nmck::DOUBLE + 0.5 AS amount, -nmck::DOUBLE AS negative, k % 3 = 0 AS flag, (nmck * contract_security_percent / 100)::DOUBLE AS part,
+  replace(format('{{:,}}', nmck), ',', ' ') || ' ₽' AS shown, '—' AS missing, CASE WHEN k % 4 = 3 THEN 300 END::BIGINT AS denominator,
+  'поз. ' || k || '|' || nmck || '|шт' AS cells FROM t""")
+def small_parsers(spark, sf_dir):
+    """P5, P11, P12, P14, P15 over spelled values."""
+    nmck, k = F.col("nmck").cast("string"), F.col("k").cast("string")
+    cells = N.number_tokens(F.concat(F.lit("поз. "), k, F.lit("\t"), nmck, F.lit(" ;  шт |  ")))
+    return tenders(spark, sf_dir).select(
+        "k",
+        N.safe_number(F.concat(nmck, F.lit(",5 ₽"))).alias("amount"),
+        N.safe_number(F.concat(F.lit("RUB -"), nmck)).alias("negative"),
+        N.safe_bool(F.when(F.col("k") % 3 == 0, " Да ").otherwise("нет")).alias("flag"),
+        N.percent_amount(F.col("nmck"), F.col("contract_security_percent")).cast("double").alias("part"),
+        N.format_rub(F.col("nmck")).alias("shown"),
+        N.format_rub(F.lit(None).cast("long")).alias("missing"),
+        N.key_rate_fraction(F.col("text"), R.KEY_RATE_FRACTION)["denominator"].cast("long").alias("denominator"),
+        F.array_join(cells, "|").alias("cells"),
+    )
+
+
+def _corpus_sql(header: str, after: str, manual: str, manual_after: str) -> str:
+    """Packages under header lines, with a typed text after the files of every second one; nothing else for every seventh."""
+    return rf"""WITH p AS (SELECT doc_id // 5 AS package, doc_id % 5 + 1 AS nth, 'doc_' || doc_id || '.txt' AS name, {_NORM.format("coalesce(text, '')")} AS text, count(*) OVER (PARTITION BY doc_id // 5) AS n FROM documents),
+c AS (SELECT package, string_agg({header} || text || {after}, '' ORDER BY nth) AS files FROM p WHERE package % 7 <> 0 GROUP BY package),
+w AS (SELECT DISTINCT package, package % 2 = 0 AS typed FROM p),
+a AS (SELECT w.package, CASE WHEN files IS NOT NULL AND typed THEN 'attachments_plus_text' WHEN files IS NOT NULL THEN 'attachments' ELSE 'manual_text' END AS mode,
+  trim(coalesce(files, '') || CASE WHEN typed THEN '{manual}' || chr(10) || 'Условия: аванс ' || w.package || '%' || {manual_after} ELSE '' END, ' ' || chr(10)) AS corpus FROM w LEFT JOIN c USING (package))
+SELECT package, mode, length(corpus)::BIGINT AS n_chars, sha256(corpus) AS corpus_sha256 FROM a"""
+
+
+def _manual_corpus(style: str) -> Query:
+    def run(spark, sf_dir):
+        files = _packages(spark, sf_dir).filter("package % 7 != 0")
+        typed = F.when(F.col("package") % 2 == 0, F.concat(F.lit(" Условия:  аванс "), F.col("package").cast("string"), F.lit("% \n")))
+        manual = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 5).alias("package")).distinct().withColumn("manual", typed)
+        made = C.assemble_with_manual(files, manual, "package", style)
+        return made.select("package", "mode", F.length("corpus").cast("long").alias("n_chars"), F.sha2("corpus", 256).alias("corpus_sha256"))
+
+    return run
+
+
+QUERIES["corpus_ranked"] = _manual_corpus("ranked")
+SQL["corpus_ranked"] = _corpus_sql("'===== FILE ' || nth || '/' || n || ': ' || name || ' =====' || chr(10)", "chr(10) || chr(10)", "===== MANUAL_TEXT =====", "chr(10)")
+QUERIES["corpus_evidence"] = _manual_corpus("evidence")
+SQL["corpus_evidence"] = _corpus_sql("'===== FILE ' || name || ' =====' || chr(10)", "chr(10)", "===== FILE MANUAL_TEXT =====", "chr(10)")

@@ -135,3 +135,25 @@ ROLE_ANCHORS = {
 }
 ROLE_FILE_NAMES = {"contract": r"контракт|договор|проект", "tech": r"тех|тз|требован|описание", "price": r"нмц|обосн"}
 ROLE_THRESHOLD = 3
+
+# History and report: what makes a reason a high or a medium risk, labels of sources, decisions and levels.
+HIGH_SIGNALS = ["нет аванс", "аванса нет", "оплата после полной поставки", "после полной поставки", "штраф", "пеня", "обеспечение контракта: 20", "обеспечение контракта 20", "обеспечение контракта: 30", "обеспечение заявки", "кассов", "замороз", "по заявкам", "неопределенн", "неопределённ"]
+MEDIUM_SIGNALS = ["обеспечение контракта", "обеспечение заявки", "гаранти", "срок", "растягив", "партиями", "поэтап"]
+SOURCE_LABELS = {"batch": "Пакет документов", "doc": "Документ", "docx": "Документ", "pdf": "PDF-документ"}
+SOURCE_OTHER = "Текстовый анализ"
+LEVEL_WORDS = [("critical", "critical"), ("high", "high"), ("medium", "medium"), ("low", "low"), ("крит", "critical"), ("высок", "high"), ("средн", "medium"), ("низк", "low")]
+LEVEL_LABELS = {"critical": "критический", "high": "высокий", "medium": "средний", "low": "низкий"}
+DECISIONS = {"critical": "Не участвовать", "high": "Не участвовать", "medium": "Участвовать с осторожностью", "low": "Можно участвовать"}
+NO_FACTOR = "Условия контракта создают повышенный риск"
+FIXES = {
+    "advance": "Запросить аванс 20–30% или частичную предоплату по этапам/партиям.",
+    "after_full": "Разбить оплату по этапам/партиям вместо оплаты после полной поставки.",
+    "contract_security": "Проверить возможность снизить обеспечение контракта до <=10% или заменить формат (гарантия и т.п.).",
+    "bid_security": "Уточнить условия обеспечения заявки и заложить стоимость заморозки средств/гарантии в цену.",
+    "by_requests": "Зафиксировать объём и график поставки: убрать неопределённость 'по заявкам' или прописать лимиты/сроки.",
+}
+FIXES_OTHERWISE = ["Проверить условия оплаты/сроков и оценить потребность в оборотных средствах до участия.", "Заложить риски штрафов/гарантий/сроков в цену или запросить разъяснения у заказчика."]
+CURRENCIES = ["RUB", "USD", "EUR"]
+# Votes over several answers: the range of a field, and which of equally good values wins (none: the first).
+VOTE_RANGES = {"payment_terms_days": (0, 365), "execution_days": (1, 5000), "nmck": (1_000, 10_000_000_000), "penalty_percent_per_day": (0, 100), "fine_percent": (0, 100), "advance_percent": (0, 100)}
+VOTE_TIES = {"payment_terms_days": "largest", "execution_days": "smallest", "nmck": "largest", "penalty_percent_per_day": "largest", "fine_percent": "largest"}

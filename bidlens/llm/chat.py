@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,15 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
 
 
+def slices(batch: pa.RecordBatch, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch of about so many bytes of text, so that index arrays stay small; a larger row is a part of its own."""
+    sizes = sum(pc.binary_length(batch.column(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2))
+    before = np.cumsum(sizes) - sizes
+    cuts = np.flatnonzero((np.diff(before // most_bytes) > 0) | (sizes[1:] > most_bytes) | (sizes[:-1] > most_bytes)) + 1
+    for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+        yield batch.slice(start, end - start)
+
+
 def assemble(segments: list[pa.Array | str], rows: int) -> pa.Array:
     """Row by row the concatenation of all segments; a plain string stands for a column of it."""
     parts, lengths = [], np.zeros((len(segments), rows), np.int64)
@@ -66,6 +76,8 @@ def assemble(segments: list[pa.Array | str], rows: int) -> pa.Array:
     for k, (offsets, data) in enumerate(parts):
         if offsets is None:
             out[begins[:, k, None] + np.arange(len(data))] = data
+        elif rows == 1:
+            out[begins[0, k] : begins[0, k] + lengths[k, 0]] = data[offsets[0] : offsets[1]]
         else:
             shift = np.repeat(begins[:, k] - offsets[:-1], lengths[k])
             source = np.arange(offsets[0], offsets[-1])
@@ -87,7 +99,7 @@ def format_turns(conversations: DataFrame, id_col: str = "conv_id", turn_col: st
     base = conversations.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             role, text = escape_role(batch.column(1)), escape(batch.column(2))
             learned = pc.equal(batch.column(1), LEARNED_ROLE)
             start = pc.add(pc.utf8_length(role), len(OPEN) + len(MIDDLE))

@@ -253,6 +253,19 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_turns(table.limit(0))).count() == 0
 
 
+def test_chat_slices_cover_a_batch():
+    import pyarrow as pa
+
+    texts = ["a" * n for n in (10, 500, 3000, 0, 20, 900, 900, 900, 5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(["user"] * 9), pa.array(texts)], ["conv_id", "role", "text"])
+    parts = list(chat.slices(batch, 1000))
+    assert [t for part in parts for t in part.column(2).to_pylist()] == texts
+    assert all(part.num_rows == 1 or sum(map(len, part.column(2).to_pylist())) <= 2000 for part in parts)
+    for part in parts:
+        whole = chat.assemble(["<", part.column(1), "|", part.column(2), ">"], part.num_rows).to_pylist()
+        assert whole == [f"<user|{t}>" for t in part.column(2).to_pylist()]
+
+
 BASE = {"assign": r"(?:(?i:password|passwd|secret|token)|(?i:api)_?(?i:key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
 
 
@@ -547,6 +560,43 @@ def test_em_finds_the_reliable_labeler():
     assert abs(trust["regex"][0] - 0.95) < 0.04 and abs(trust["cue"][0] - 0.85) < 0.05
 
 
+def tokens_by_line(encoding, text):
+    """Brute force: byte by byte which line it is in; a token counts for the line of most of its bytes, the first of several."""
+    line, lines = 0, []
+    for byte in text.encode():
+        lines.append(line)
+        line += byte == 10
+    counts, at = [0] * (max(lines, default=-1) + 1), 0
+    for token in encoding.encode_ordinary(text):
+        size = len(encoding.decode_single_token_bytes(token))
+        inside = lines[at : at + size]
+        counts[max(sorted(set(inside)), key=inside.count)] += 1
+        at += size
+    return counts
+
+
+def test_language_held_out_accuracy(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_id.identify(table).join(table.select("doc_id", "lang"), "doc_id").filter("held_out and lang_pred != 'und' and lang is not null").collect()
+    assert len(got) > 100 and sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(got)
+
+
+def test_toxicity_held_out_accuracy(spark):
+    table, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    got = toxicity.assess(table, labels).join(labels, "doc_id").filter("held_out and toxic is not null").collect()
+    toxic, clean = [[r.predicted for r in got if r.toxic == flag] for flag in (1, 0)]
+    assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.02 * len(clean), (sum(toxic), len(toxic), sum(clean), len(clean))
+
+
+def test_pii_added_spans_need_evidence(spark):
+    rows = [(i, f"call me: phone {200 + i}-555-01{i:02d} or write") for i in range(40)] + [(100 + i, f"her ssn: {123 + i}-45-67{i:02d}.") for i in range(40)] + [(200, "+1 202-555-0143 x")]
+    got = {r.doc_id: r for r in pii.find_personal_data(docs(spark, rows)).collect()}
+    assert all(got[i].spans == "phone_local:15:27" and got[i].n_added == 1 for i in range(40))
+    assert all(got[100 + i].spans == "national_id:9:20" for i in range(40))
+    # A wider span that overlaps a base one says nothing new.
+    assert got[200].spans == "phone:0:15" and got[200].n_added == 0
+
+
 def test_token_counts(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = AWKWARD + [(40, "one\n\n\ntwo\n"), (41, "a\r\nb")]
@@ -555,6 +605,8 @@ def test_token_counts(spark):
     sizes = sorted(len(encoding.encode_ordinary(t or "")) for _, t in rows)
     assert sorted(r.n_tokens for r in got) == sizes
     assert all(sum(r.section_tokens) == r.n_tokens and len(r.section_tokens) == r.n_sections for r in got)
+    for r, text in ((r, dict(rows)[r.doc_id]) for r in got if r.doc_id in (3, 6, 8, 40, 41)):
+        assert r.section_tokens == tokens_by_line(encoding, text or "")
     # "\n\n\n" can be one token over three sections; each rule gives it to one of them
     ends, starts = np.array([3, 6, 9]), np.array([0, 4, 5, 6])
     assert tokens.attribute(ends, starts, 9, "first")[0].tolist() == [2, 0, 0, 1]

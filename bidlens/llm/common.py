@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,14 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         _written.remove(path)
 
 
+def last_stored(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, which is what it stored last; what it stored on its way is deleted."""
+    before = written()
+    out = make()
+    discard(spark, [path for path in written() if path not in before][:-1])
+    return out
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     while name.lower() in {c.lower() for c in df.columns}:

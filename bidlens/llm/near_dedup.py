@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidlens.llm.common import broadcast_if_small, free_name, materialize, numbered, salted_join
+from bidlens.llm.common import broadcast_if_small, free_name, last_stored, materialize, numbered, salted_join
 from bidlens.llm.shingles import band_keys, prob_minhash, sequence_digests, shingle_counts, slices, word_hashes
 
 REGISTERS, BAND_ROWS = 128, 4
@@ -27,6 +27,8 @@ WANTED_ROWS = 2_000_000
 RANGES, SAMPLED = 1 << 20, 8
 #: A bucket is put in order, and a shingle's list compared, in parts of about so many members.
 PART_MEMBERS = 5000
+#: Pairs are first looked at with 32-bit hashes, and those within this of the threshold are verified with 64-bit ones.
+ROUGHLY = 0.01
 #: Against rounding: bounds are loosened by so much, and what passes is verified.
 SLACK = 1e-6
 
@@ -102,8 +104,9 @@ def signatures(rows: DataFrame, words: int = 5, threshold: float = 0.8) -> DataF
     return materialize(rows.select("row", "doc_id", "text").mapInArrow(sign, f"row long, doc_id {kind}, low long, high long, n long, bands array<long>, prefix array<long>"), "signatures")
 
 
-def _shingle_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """Stored rows row, shingles (distinct, as 64-bit hashes), pairs of the wanted rows row, pairs."""
+def _shingle_sets(rows: DataFrame, wanted: DataFrame, words: int, bits: int) -> DataFrame:
+    """Stored rows row, pairs, shingles (distinct, as hashes of 32 or 64 bits) of the wanted rows row, pairs."""
+    whole = bits == 64
     base = rows.join(broadcast_if_small(wanted, WANTED_ROWS), "row").select("row", "pairs", "text")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,10 +115,10 @@ def _shingle_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             for part in slices(batch.column(2)):
                 text, shingle, _ = shingle_counts(*word_hashes(part), words)
                 ends = np.searchsorted(text, np.arange(len(part) + 1)).astype(np.int32)
-                yield _batches([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.ListArray.from_arrays(ends, pa.array(shingle.view(np.int64)))], ["row", "pairs", "shingles"])
+                yield _batches([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.ListArray.from_arrays(ends, pa.array(shingle.view(np.int64) if whole else (shingle >> np.uint64(32)).astype(np.uint32).view(np.int32)))], ["row", "pairs", "shingles"])
                 at += len(part)
 
-    return materialize(base.mapInArrow(collect, "row long, pairs long, shingles array<long>"), "shingles")
+    return materialize(base.mapInArrow(collect, f"row long, pairs long, shingles array<{'long' if whole else 'int'}>"), "shingles")
 
 
 def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
@@ -159,15 +162,21 @@ def _unsettled(reps: DataFrame, roots: DataFrame, threshold: float) -> DataFrame
     return both.select(F.least("row", "a_row").alias("a"), F.greatest("row", "a_row").alias("b")).distinct()
 
 
-def _links(rows: DataFrame, pairs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Stored rows a, b: the pairs, stored, of at least that similarity."""
+def _similar(rows: DataFrame, pairs: DataFrame, words: int, threshold: float, bits: int) -> DataFrame:
+    """Stored rows a, b: the pairs, stored, whose sets of hashes are of at least that similarity."""
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("pairs")), "wanted")
-    sets = _shingle_sets(rows, wanted, words)
+    sets = _shingle_sets(rows, wanted, words, bits)
     side = lambda end: sets.select(F.col("row").alias(end), F.col("shingles").alias(f"s{end}"), F.col("pairs").alias(f"pairs_{end}"))
     found = salted_join(salted_join(pairs, side("b"), ["b"], "pairs_b", "a", most_rows=0), side("a"), ["a"], "pairs_a", "b", most_rows=0).withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return materialize(found.filter(F.col("common") >= threshold * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"), "links")
 
 
+def _links(rows: DataFrame, pairs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Stored rows a, b: the pairs, stored, of at least that similarity."""
+    rough = last_stored(rows.sparkSession, lambda: _similar(rows, pairs, words, threshold - ROUGHLY, 32))
+    return last_stored(rows.sparkSession, lambda: _similar(rows, rough, words, threshold, 64))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows node, root: the smallest node of each connected component of edges a, b.
 
@@ -193,20 +202,22 @@ def classes(rows: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFram
 
     `stays` marks one row of each class: that of the smallest doc_id (nulls last), the first of several.
     """
+    spark = rows.sparkSession
     signed = signatures(rows, words, threshold)
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
     worded = signed.filter("n > 0")
     # Equal word sequences: one row stands for all of them.
     copies = materialize(worded.groupBy("low", "high").agg(F.min("row").alias("rep"), F.min(first).alias("first"), F.count(F.lit(1)).alias("copies")), "copies")
     reps = signed.join(copies.select(F.col("rep").alias("row")), "row", "left_semi")
-    pairs = materialize(_candidates(reps, threshold), "pairs")
+    # What a step stored on its way goes as soon as its result is stored, so that disks hold little at a time.
+    pairs = last_stored(spark, lambda: materialize(_candidates(reps, threshold), "pairs"))
     edges = _links(rows, pairs, words, threshold)
-    roots = components(edges)
-    rest = materialize(_unsettled(reps, roots, threshold), "rest")
+    roots = last_stored(spark, lambda: components(edges))
+    rest = last_stored(spark, lambda: materialize(_unsettled(reps, roots, threshold), "rest"))
     if not rest.isEmpty():
         more = _links(rows, rest, words, threshold)
         if not more.isEmpty():
-            roots = components(edges.union(more))
+            roots = last_stored(spark, lambda: components(edges.union(more)))
     placed = materialize(copies.join(roots, copies["rep"] == roots["node"], "left").select("low", "high", "first", "copies", F.coalesce("root", "rep").alias("root")), "placed")
     sizes = materialize(placed.groupBy("root").agg(F.min("first").alias("best"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts")), "classes")
     known = materialize(salted_join(placed.drop("first"), sizes, ["root"], "texts", "low").select("low", "high", "copies", "best", "class_size"), "known")

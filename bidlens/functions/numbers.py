@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bidlens.functions.text import let, normalize_text, strip
+from bidlens.functions.text import let, normalize_light, normalize_text, strip
 from bidlens.rules import AMOUNT_EVIDENCE
 
 _RUB = r"(?iuU)\b(?:руб(?:\.|ля|лей)?|rur|rub)\b"
@@ -130,6 +130,18 @@ def safe_number(text: Column) -> Column:
     return some(F.regexp_replace(F.replace(text, F.lit(","), F.lit(".")), r"[^0-9.\-]", "")).try_cast("double")
 
 
+def safe_int(text: Column) -> Column:
+    """P5: the number rounded half to even."""
+    return F.bround(safe_number(text), 0).try_cast("long")
+
+
+def parse_amount(text: Column) -> Column:
+    """All digits and separators of the text as one amount; currency words and other letters are left out."""
+    plain = F.replace(F.regexp_replace(normalize_light(text), _RUB, ""), F.lit("₽"), F.lit(""))
+    digits = F.regexp_replace(F.regexp_replace(plain, r"(?U)[^0-9,.\-\s]", ""), r"(?U)\s+", "")
+    return let(some(F.regexp_replace(digits, r"^[.,]+|[.,]+$", "")), _plain_number)
+
+
 def safe_bool(text: Column) -> Column:
     """P5: yes and no words."""
     low = F.lower(strip(text))

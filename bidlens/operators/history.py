@@ -31,6 +31,18 @@ def resolve_keys(requests: DataFrame, keys: DataFrame) -> DataFrame:
     return requests.join(keys.filter("key_active and user_active"), "key_hash")
 
 
+def revoke_keys(keys: DataFrame, requests: DataFrame) -> DataFrame:
+    """Q7: keys key_id, user_id, key_active after requests key_id, user_id; only an owner's request turns a key off."""
+    asked = requests.select("key_id", "user_id").distinct().withColumn("_revoked", F.lit(True))
+    return keys.join(asked, ["key_id", "user_id"], "left").withColumn("key_active", F.col("key_active") & F.col("_revoked").isNull()).drop("_revoked")
+
+
+def provider(name: Column) -> Column:
+    """The provider that a name stands for; any other is left to choice."""
+    low = F.lower(F.trim(name))
+    return F.when(low.isin("gemini", "google"), "gemini").when(low.isin("gigachat", "giga"), "gigachat").otherwise("auto")
+
+
 def exists_in(df: DataFrame, other: DataFrame, key: str, name: str) -> DataFrame:
     """Q6."""
     return df.join(other.select(key).distinct().withColumn(name, F.lit(True)), key, "left").fillna(False, [name])

@@ -7,6 +7,8 @@ keep their own patterns and weights: basic, ranked, evidence.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from bidlens.functions.numbers import calendar_days, days_of_match, first_days,
 from bidlens.functions.text import any_of, clip, find_all, let, starts_of
 
 _CALENDAR = "календар"
+#: Candidates of a field that are kept, by variant.
+MOST_BASIC, MOST_RANKED, MOST_EVIDENCE = 8, 10, 12
 
 
 def _clamped(value: Column) -> Column:
@@ -51,6 +55,21 @@ def _best(candidates: Column) -> Column:
     return F.try_element_at(F.array_sort(candidates), F.lit(1))
 
 
+def _listed(found: Column, order: Callable[[Column], list[Column]], key: Callable[[Column], Column], most: int) -> Column:
+    """The first `most` candidates in that order (then as found), of equal keys the first. No more are held at a time, so one pass does."""
+    ordered = F.array_sort(F.transform(found, lambda c, nth: F.struct(F.struct(*order(c), nth).alias("order"), c.alias("c"))))
+
+    def keep(kept: Column, x: Column) -> Column:
+        return F.when((F.size(kept) >= most) | F.exists(kept, lambda k: key(k) == key(x["c"])), kept).otherwise(F.concat(kept, F.array(x["c"])))
+
+    return let(ordered, lambda all_: F.aggregate(all_, F.transform(F.filter(all_, lambda x: F.lit(False)), lambda x: x["c"]), keep))
+
+
+def _ranked(found: Column) -> Column:
+    """By confidence, offset and id; of equal values at one offset the first; ten at most."""
+    return _listed(found, lambda c: [c["rank"], c["offset"], c["id"]], lambda c: F.struct(c["value"], c["offset"]), MOST_RANKED)
+
+
 def _json_number(value: Column) -> Column:
     """A double as JSON text that never uses an exponent for values in range; it breaks ties by its characters."""
     whole = F.concat(value.cast("long").cast("string"), F.lit(".0"))
@@ -83,7 +102,7 @@ def _quoted(amounts: Column, corpus: Column, radius: int, mark: str) -> Column:
 
 
 def price_basic(corpus: Column, snippets: Column) -> Column:
-    """C1 without its cap, in the order of G1; equal values are one by that order."""
+    """Of equal values to the kopeck the surest, eight at most; the fields are in the order of G1."""
 
     def score(a: Column) -> Column:
         quote, low, strong, value = a["quote"], a["low"], a["strong"], a["value"]
@@ -98,11 +117,12 @@ def price_basic(corpus: Column, snippets: Column) -> Column:
         )
         return F.struct((-_clamped(confidence)).alias("rank"), _json_number(value).alias("json"), a["start"].alias("offset"), value.alias("value"), a["raw"].alias("raw"), quote.alias("quote"))
 
-    return F.filter(F.transform(_quoted(_near_amounts(snippets, R.AMOUNT), corpus, 170, "…"), score), lambda c: c["value"].isNotNull())
+    found = F.filter(F.transform(_quoted(_near_amounts(snippets, R.AMOUNT), corpus, 170, "…"), score), lambda c: c["value"].isNotNull())
+    return _listed(found, lambda c: [c["rank"]], lambda c: F.round(c["value"], 2), MOST_BASIC)
 
 
 def price_ranked(corpus: Column, snippets: Column) -> Column:
-    """C6 in the order of C10."""
+    """C6, sorted, deduped and cut by C10."""
 
     def score(a: Column, nth: Column) -> Column:
         quote, low, strong, value = a["quote"], a["low"], a["strong"], a["value"]
@@ -116,11 +136,11 @@ def price_ranked(corpus: Column, snippets: Column) -> Column:
         )
         return F.struct((-_clamped(confidence)).alias("rank"), a["start"].alias("offset"), F.concat(F.lit("nmck_"), (nth + 1).cast("string")).alias("id"), value.alias("value"), a["raw"].alias("raw"), quote.alias("quote"))
 
-    return F.filter(F.transform(_quoted(_near_amounts(snippets, R.AMOUNT_RANKED), corpus, 150, ""), score), lambda c: c["value"].isNotNull())
+    return _ranked(F.filter(F.transform(_quoted(_near_amounts(snippets, R.AMOUNT_RANKED), corpus, 150, ""), score), lambda c: c["value"].isNotNull()))
 
 
 def price_evidence(snippets: Column) -> Column:
-    """C11: numbers on a line with a price keyword and on the two lines after it."""
+    """C11: numbers on a line with a price keyword and on the two lines after it; the twelve first by confidence, offset and id."""
 
     def of_snippet(s: Column) -> Column:
         rows = F.split(s["snippet"], "\n", -1)
@@ -140,7 +160,8 @@ def price_evidence(snippets: Column) -> Column:
         return F.flatten(F.transform(rows, of_line))
 
     every = F.flatten(F.transform(snippets, of_snippet))
-    return F.transform(every, lambda c, i: F.struct(c["rank"].alias("rank"), c["offset"].alias("offset"), F.concat(F.lit("nmck_"), (i + 1).cast("string")).alias("id"), c["value"].alias("value"), c["raw"].alias("raw"), c["quote"].alias("quote")))
+    named = F.transform(every, lambda c, i: F.struct(c["rank"].alias("rank"), c["offset"].alias("offset"), F.concat(F.lit("nmck_"), (i + 1).cast("string")).alias("id"), c["value"].alias("value"), c["raw"].alias("raw"), c["quote"].alias("quote")))
+    return F.slice(F.array_sort(named), 1, MOST_EVIDENCE)
 
 
 def payment_basic(snippets: Column) -> Column:
@@ -241,7 +262,7 @@ def _ranges_found(snippet: Column, offset: Column, plain: float) -> Column:
 
 
 def execution_basic(corpus: Column, snippets: Column) -> Column:
-    """C3 in the order of G1."""
+    """The eight surest, then of most keywords, then shortest; the fields are in the order of G1."""
     found = F.flatten(F.transform(snippets, lambda s: F.concat(_days_found(s["snippet"], s["offset"], R.EXEC_DAYS, 0.35, 0.1), _days_found(s["snippet"], s["offset"], R.EXEC_DAYS_ALT, 0.28), _ranges_found(s["snippet"], s["offset"], 0.3))))
 
     def score(d: Column) -> Column:
@@ -251,11 +272,14 @@ def execution_basic(corpus: Column, snippets: Column) -> Column:
         confidence = d["score"] + _bonus(any_of(low, R.EXECUTION_KEYWORDS), 0.22) + _bonus(F.contains(low, F.lit("срок")), 0.1)
         return F.struct((-_clamped(confidence)).alias("rank"), d["days"].cast("string").alias("json"), d["start"].alias("offset"), d["days"].alias("value"), quote.alias("quote"))
 
-    return F.filter(F.transform(found, score), lambda c: c["value"].between(1, 5000))
+    kept = F.filter(F.transform(found, score), lambda c: c["value"].between(1, 5000))
+    order = lambda c: F.struct(c["rank"], -_hits(F.lower(c["quote"]), R.EXECUTION_KEYWORDS), c["value"])
+    ordered = F.array_sort(F.transform(kept, lambda c, nth: F.struct(order(c).alias("order"), nth.alias("nth"), c.alias("c"))))
+    return F.transform(F.slice(ordered, 1, MOST_BASIC), lambda x: x["c"])
 
 
 def execution_ranked(corpus: Column, snippets: Column) -> Column:
-    """C8 in the order of C10."""
+    """C8, sorted, deduped and cut by C10."""
     found = F.flatten(F.transform(snippets, lambda s: F.concat(_days_found(s["snippet"], s["offset"], R.EXEC_DAYS_RANKED, 0.45), _ranges_found(s["snippet"], s["offset"], 0.38))))
     kept = F.filter(found, lambda d: d["days"].between(1, 5000))
 
@@ -266,7 +290,7 @@ def execution_ranked(corpus: Column, snippets: Column) -> Column:
         confidence = d["score"] + _bonus(any_of(F.lower(quote), R.EXECUTION_KEYWORDS_RANKED), 0.22)
         return F.struct((-_clamped(confidence)).alias("rank"), d["start"].alias("offset"), F.concat(F.lit("execution_"), (nth + 1).cast("string")).alias("id"), d["days"].alias("value"), quote.alias("quote"))
 
-    return F.transform(kept, score)
+    return _ranked(F.transform(kept, score))
 
 
 def execution_evidence(snippets: Column) -> Column:

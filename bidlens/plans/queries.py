@@ -690,6 +690,38 @@ def small_parsers(spark, sf_dir):
     )
 
 
+@query(f"""WITH {_TENDERS} SELECT k, nmck::DOUBLE AS whole, nmck::DOUBLE + 0.25 AS kopecks, (nmck * 1000)::DOUBLE AS grouped, nmck::DOUBLE + 0.5 AS comma_last,
+  NULL::DOUBLE AS nothing, CASE WHEN nmck % 2 = 0 THEN nmck ELSE nmck + 1 END::BIGINT AS rounded FROM t""")
+def parse_amount(spark, sf_dir):
+    """P4 and the whole numbers of P5 over spelled values."""
+    n = F.col("nmck").cast("string")
+    spelled = lambda *parts: N.parse_amount(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
+    return tenders(spark, sf_dir).select(
+        "k",
+        spelled("цена: ", n, " руб.").alias("whole"),
+        spelled(n, "\u00a0.25 ₽").alias("kopecks"),
+        spelled(n, ".000").alias("grouped"),
+        spelled(n, ",5 рублей").alias("comma_last"),
+        spelled("цена -", F.lit("")).alias("nothing"),
+        N.safe_int(F.concat(n, F.lit(",5"))).alias("rounded"),
+    )
+
+
+@query("""WITH keys AS (SELECT o_orderkey AS key_id, o_custkey AS user_id, o_orderkey % 9 <> 0 AS key_active FROM orders)
+SELECT key_id, user_id, key_active AND NOT EXISTS (SELECT 1 FROM events WHERE event_id = key_id AND events.user_id = keys.user_id) AS key_active FROM keys""")
+def revoke_key(spark, sf_dir):
+    """Q7: requests by events; a request for another's key changes nothing."""
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key_id"), F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") % 9 != 0).alias("key_active"))
+    return H.revoke_keys(keys, table(spark, sf_dir, "events").select(F.col("event_id").alias("key_id"), "user_id"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'gemini' WHEN 1 THEN 'gemini' WHEN 2 THEN 'gigachat' WHEN 3 THEN 'gigachat' ELSE 'auto' END AS provider FROM events""")
+def provider_alias(spark, sf_dir):
+    """U5."""
+    named = F.element_at(F.array(*[F.lit(n) for n in (" Google ", "GEMINI", "giga", "GigaChat ", "default")], F.lit(None).cast("string")), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", H.provider(named).alias("provider"))
+
+
 def _corpus_sql(header: str, after: str, manual: str, manual_after: str) -> str:
     """Packages under header lines, with a typed text after the files of every second one; nothing else for every seventh."""
     return rf"""WITH p AS (SELECT doc_id // 5 AS package, doc_id % 5 + 1 AS nth, 'doc_' || doc_id || '.txt' AS name, {_NORM.format("coalesce(text, '')")} AS text, count(*) OVER (PARTITION BY doc_id // 5) AS n FROM documents),

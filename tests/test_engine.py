@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bidlens.functions import numbers as N
 from bidlens.functions import text as T
 from bidlens.operators import layout as L
+from bidlens.operators import mining as M
 from bidlens.plans import queries as Q
 from bidlens.plans.analyze import analyze, facts, gate, traps
 from bidlens.sources import documents as D
@@ -167,3 +168,16 @@ def test_entry_without_llm():
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert os.path.exists(SF)
+
+
+def test_candidates_are_deduped_and_capped(spark):
+    """Of equal values one, the surest first, and no more than the variant keeps."""
+    amounts = [f"{n} 000 000 руб." for n in range(11, 25)]
+    text = "НМЦК: 11 000 000 руб. " + "; ".join(amounts) + ". Цена контракта " + "; ".join(amounts)
+    df = spark.createDataFrame([(text,)], "text string").withColumn("s", F.array(F.struct(F.lit(0).alias("offset"), F.col("text").alias("snippet"))))
+    basic, ranked, evidence = df.select(M.price_basic(F.col("text"), F.col("s")), M.price_ranked(F.col("text"), F.col("s")), M.price_evidence(F.col("s"))).first()
+    assert len(basic) == M.MOST_BASIC == len({c["value"] for c in basic})
+    assert len(ranked) == M.MOST_RANKED == len({(c["value"], c["offset"]) for c in ranked})
+    assert len(evidence) == M.MOST_EVIDENCE
+    assert [c["rank"] for c in basic] == sorted(c["rank"] for c in basic)
+    assert [(c["rank"], c["offset"], c["id"]) for c in ranked] == sorted((c["rank"], c["offset"], c["id"]) for c in ranked)

@@ -11,13 +11,16 @@ from bidlens.llm.chat import format_turns, read_back
 from bidlens.llm.common import table
 from bidlens.llm.decontamination import contamination
 from bidlens.llm.exact_dedup import exact_duplicates
+from bidlens.llm.fim import digests, fill_in_middle
 from bidlens.llm.language_id import identify
 from bidlens.llm.near_dedup import near_duplicates
 from bidlens.llm.packing import pack_documents
 from bidlens.llm.pii import find_personal_data
+from bidlens.llm.quality import rate_quality
 from bidlens.llm.secrets import find_secrets
 from bidlens.llm.tokens import token_counts
 from bidlens.llm.toxicity import assess
+from bidlens.llm.whitening import whiten
 
 
 def _tokenizer(name: str) -> str:
@@ -74,6 +77,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_token_counts,
@@ -86,6 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_language_id,
         op9_toxicity,
         op10_pii,
+        op11_fill_in_middle,
+        op12_quality,
+        op13_embedding_whitening,
     )
     return {f.__name__: f for f in every}
 
@@ -145,6 +163,23 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
+_OP11 = r"""
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS x,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w FROM documents),
+c AS (
+  SELECT doc_id, t, w, len(w)::BIGINT AS n, ('0x' || x[1:8])::BIGINT % (len(w) + 1) AS a, ('0x' || x[9:16])::BIGINT % (len(w) + 1) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || x[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || x[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+s AS (
+  SELECT doc_id, t, n, form, array_to_string(w[1:least(a, b)], '') AS p, array_to_string(w[least(a, b) + 1:greatest(a, b)], '') AS m,
+         array_to_string(w[greatest(a, b) + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM s
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _OP2, "op4_chat_formatting": _OP4, "op7_exact_dedup": _OP7}
+    return {"op2_decontamination": _OP2, "op4_chat_formatting": _OP4, "op7_exact_dedup": _OP7, "op11_fill_in_middle": _OP11}

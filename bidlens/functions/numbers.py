@@ -45,10 +45,10 @@ def parse_money(text: Column) -> Column:
 
 def parse_money_scaled(text: Column) -> Column:
     """P1 times the billion, million or thousand named within 20 code points after the amount."""
-    clean = normalize_text(text)
+    clean = F.regexp_replace(F.regexp_replace(F.replace(normalize_text(text), F.lit("₽"), F.lit("")), _RUB, ""), _VAT, "")
     after = F.lower(F.left(F.regexp_extract(clean, r"(?s)[-+]?\d[\d\s\u00A0\u202F.,]*(.*)", 1), F.lit(20)))
-    factor = let(after, lambda a: F.when(a.rlike("(?U)млрд|миллиард"), 1e9).when(a.rlike("(?U)млн|миллион"), 1e6).when(a.rlike("(?U)тыс"), 1e3).otherwise(1.0))
-    return parse_money(clean) * factor
+    factor = let(after, lambda a: F.when(F.contains(a, F.lit("млрд")), 1e9).when(F.contains(a, F.lit("млн")), 1e6).when(F.contains(a, F.lit("тыс")), 1e3).otherwise(1.0))
+    return let(clean, lambda c: parse_money(c) * factor)
 
 
 def parse_money_grouped(text: Column) -> Column:
@@ -73,6 +73,11 @@ def parse_days(text: Column) -> Column:
     return first_days(normalize_text(text), _DAYS)
 
 
+def parse_days_ranked(text: Column) -> Column:
+    """P7 of the ranked variant, which knows whole days by their other name as well."""
+    return first_days(normalize_text(text), _DAYS.replace("|дней)", r"|дней|сут\w*)"))
+
+
 def first_days(text: Column, pattern: str) -> Column:
     """(days, type) of the pattern's first match; its groups are looked for in the match alone. Null without a match."""
     return let(F.regexp_extract(text, pattern, 0), lambda m: F.when(m != "", days_of_match(m, pattern)))

@@ -54,47 +54,78 @@ def quoted(word: str) -> str:
     return "(?iuU)" + "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in word)
 
 
-#: Put around matches to part a text at them: a noncharacter, which no text holds. Splitting at one plain character needs no pattern.
-_MARK = "\uffff"
+#: Put around matches to part a text at them; splitting at one plain character needs no pattern.
+_MARK, _OTHER = "\uffff", "\ufffe"
 
 
-def find_all(text: Column, pattern: str) -> Column:
+def _unmarked(text: Column) -> Column:
+    """The text with another character of the same length where it holds the mark itself, so that offsets stay."""
+    return F.translate(text, _MARK, _OTHER)
+
+
+def _apply(value: Column, body: str) -> Column:
+    """A SQL lambda over one value. As text, long expressions are built in one step instead of one call for each node."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(body)), F.lit(0))
+
+
+def _scan(values: str, combine: str, zero: str) -> str:
+    """SQL of a running total of an integer array: for each value what stands before it, combined; `combine` is associative.
+
+    An accumulator that grew with the array would be copied at each value. So the array is cut into about
+    as many blocks as a block has values: within a block and over the blocks' totals the accumulators stay short.
+    """
+    before = lambda part: f"aggregate({part}, named_struct('last', {zero}, 'out', cast(array() AS array<int>)), (acc, y) -> named_struct('last', {combine.format('acc.last', 'y')}, 'out', array_append(acc.out, acc.last)))"
+    size = "cast(greatest(1, ceil(sqrt(size(v)))) AS int)"
+    blocks = f"transform(sequence(0, cast(greatest(0, floor((size(v) - 1) / {size})) AS int)), b -> {before(f'slice(v, b * {size} + 1, {size})')})"
+    joined = f"flatten(zip_with(done, {before('transform(done, d -> d.last)')}.out, (d, head) -> transform(d.out, y -> {combine.format('head', 'y')})))"
+    return f"transform(array({values}), v -> transform(array({blocks}), done -> {joined})[0])[0]"
+
+
+_SUM, _MAX = ("{} + {}", "0"), ("greatest({}, {})", "-1")
+
+
+def running_sum(values: Column) -> Column:
+    """For each number of an array of integers the sum of those before it."""
+    return _apply(values.cast("array<int>"), f"x -> {_scan('x', *_SUM)}")
+
+
+def running_max(values: Column) -> Column:
+    """For each number of an array of integers from 0 on the largest of those before it; -1 for the first."""
+    return _apply(values.cast("array<int>"), f"x -> {_scan('x', *_MAX)}")
+
+
+_FOUND = f"""filter(zip_with(pieces, {_scan('transform(pieces, z -> length(z))', *_SUM)}, (piece, at) -> named_struct('start', at, 'end', at + length(piece), 'match', piece)), (m, i) -> i % 2 = 1)"""
+_FIND_ALL = f"""x -> transform(array(split(regexp_replace(translate(x.t, '{_MARK}', '{_OTHER}'), x.p, '{_MARK}$0{_MARK}'), '{_MARK}', -1)), pieces ->
+  transform(array({_FOUND}), found -> if(contains(x.t, '{_MARK}'), transform(found, m -> named_struct('start', m.start, 'end', m.end, 'match', substring(x.t, m.start + 1, m.end - m.start))), found))[0])[0]"""
+_FIND_WORD = f"""x -> transform(array(split(replace(translate(x.t, '{_MARK}', '{_OTHER}'), x.w, '{_MARK}'), '{_MARK}', -1)), pieces ->
+  transform(array(transform(slice(pieces, 1, size(pieces) - 1), z -> length(z) + length(x.w))), gaps ->
+    zip_with(gaps, {_scan('gaps', *_SUM)}, (gap, at) -> at + gap - length(x.w)))[0])[0]"""
+
+
+def find_all(text: Column, pattern: str | Column) -> Column:
     """Positional search: array of (start, end, match), offsets from 0 in code points, end exclusive.
 
     One pass of the pattern marks the matches; parted at the marks, the text gives gaps and matches in
-    turn, whose lengths add up to the offsets.
+    turn, whose lengths add up to the offsets. The pattern may differ from row to row.
     """
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    here = lambda acc, x: F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end"), x.alias("match"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x)).alias("at"), (~acc["gap"]).alias("gap"), F.when(acc["gap"], acc["out"]).otherwise(F.array_append(acc["out"], here(acc, x))).alias("out")
-    )
-    pieces = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.lit(True).alias("gap"), empty.alias("out")), step, lambda acc: acc["out"])
+    return _apply(F.struct(text.alias("t"), (F.lit(pattern) if isinstance(pattern, str) else pattern).alias("p")), _FIND_ALL)
 
 
-def find_word(low: Column, word: str) -> Column:
+def find_word(low: Column, word: str | Column) -> Column:
     """Where a word stands in a lower-case text: array of offsets, without overlaps."""
-    gaps = lambda pieces: F.transform(F.slice(pieces, 1, F.size(pieces) - 1), F.length)
-    step = lambda acc, gap: F.struct((acc["at"] + gap + len(word)).alias("at"), F.array_append(acc["out"], acc["at"] + gap).alias("out"))
-    pieces = F.split(F.replace(low, F.lit(word), F.lit(_MARK)), _MARK, -1)
-    return F.aggregate(let(pieces, gaps), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+    return _apply(F.struct(low.alias("t"), (F.lit(word) if isinstance(word, str) else word).alias("w")), _FIND_WORD)
 
 
 def starts_of(text: Column, pattern: str) -> Column:
     """How much of the text stands before the first match; all of it if there is none."""
-    return F.length(F.substring_index(F.regexp_replace(text, pattern, _MARK), _MARK, 1))
+    return F.length(F.substring_index(F.regexp_replace(_unmarked(text), pattern, _MARK), _MARK, 1))
 
 
 def count_hits(text: Column, words: list[str]) -> Column:
     """Occurrences of all words in a lower-case text, each without overlaps."""
 
-    def count(text: Column) -> Column:
-        total = F.lit(0)
-        for word in words:
-            total = total + ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
-        return total
-
+    # One expression for all words: a copy for each would make plans as long as the word lists.
+    count = lambda t: F.aggregate(F.array(*[F.lit(word) for word in words]), F.lit(0), lambda n, word: n + ((F.length(t) - F.length(F.replace(t, word, F.lit("")))) / F.length(word)).cast("int"))
     return let(text, count)
 
 
@@ -110,6 +141,19 @@ def clip(text: Column, start: Column, end: Column, radius: int, most: int, mark:
     return let(strip(F.substring(text, left + 1, F.least(F.length(text), end + radius) - left)), lambda q: F.when(F.length(q) <= most, q).otherwise(cut(q)))
 
 
+def clip_centred(text: Column, start: Column, end: Column, radius: int = 180, most: int = 400) -> Column:
+    """As clip(), but what is too long is cut anew, of `most` code points around the span."""
+    near = lambda reach: strip(F.substring(text, F.greatest(F.lit(0), start - reach) + 1, F.least(F.length(text), end + reach) - F.greatest(F.lit(0), start - reach)))
+    half = F.greatest(F.lit(0), F.floor((most - F.greatest(F.lit(1), end - start)) / 2).cast("int"))
+    return let(near(F.lit(radius)), lambda q: F.when(F.length(q) <= most, q).otherwise(near(half)))
+
+
+def clip_flat(text: Column, most: int = 320) -> Column:
+    """White space collapsed, and with a mark at the end where it is cut."""
+    flat = strip(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
+    return let(flat, lambda q: F.when(F.length(q) <= most, q).otherwise(F.concat(F.regexp_replace(F.left(q, F.lit(most - 1)), r"(?U)\s+$", ""), F.lit("…"))))
+
+
 def cuts(text: Column, size: int, overlap: int) -> Column:
     """Overlapping chunks of fixed size; the one that reaches the end is the last."""
     step = size - overlap

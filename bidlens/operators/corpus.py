@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidlens.functions.text import any_of, count_hits, find_all, normalize_text, strip
+from bidlens.functions.text import any_of, count_hits, find_all, let, normalize_text, running_sum, strip
 from bidlens.rules import ROLE_ANCHORS, ROLE_FILE_NAMES
 
+#: Fixed value: the line that heads a package of files.
+PACKAGE_HEADER = "TENDER PACKAGE (MULTI-FILE) - STRUCTURED CORPUS\n"
 MARKERS = {"batch": r"(?md)^===== FILE\s+\d+/\d+:\s*(.+?)\s*=====$", "evidence": r"(?md)^===== FILE\s+(.+?)\s*=====$"}
 
 
@@ -23,14 +25,14 @@ def assemble(files: DataFrame, package: str, style: str = "batch", name: str = "
     parts = F.sort_array(F.collect_list(F.struct(nth, name, text)))
     extension = lambda n: F.concat(F.lit("."), F.lower(F.substring_index(n, ".", -1)))
     header = {
-        "batch": lambda p, n: F.concat(F.lit("\n===== FILE "), p[nth].cast("string"), F.lit("/"), n, F.lit(": "), p[name], F.lit(" ("), extension(p[name]), F.lit(") =====\n"), p[text]),
+        "batch": lambda p, n: F.concat(F.lit("\n===== FILE "), p[nth].cast("string"), F.lit("/"), n, F.lit(": "), p[name], F.lit(" ("), extension(p[name]), F.lit(") =====\n\n"), p[text]),
         "ranked": lambda p, n: F.concat(F.lit("===== FILE "), p[nth].cast("string"), F.lit("/"), n, F.lit(": "), p[name], F.lit(" =====\n"), p[text], F.lit("\n\n")),
         "evidence": lambda p, n: F.concat(F.lit("===== FILE "), p[name], F.lit(" =====\n"), p[text], F.lit("\n")),
     }[style]
     grouped = files.groupBy(package).agg(total.alias("_total"), parts.alias("_parts"), F.count(F.lit(1)).alias("n_files"))
     joined = F.array_join(F.transform("_parts", lambda p: header(p, F.col("_total"))), "\n" if style == "batch" else "")
     # The files' texts are normalised already; between them T6 and T7 keep their own line feeds.
-    return grouped.select(package, "n_files", (normalize_text(joined) if style == "batch" else joined).alias("corpus"))
+    return grouped.select(package, "n_files", (normalize_text(F.concat(F.lit(PACKAGE_HEADER + "\n"), joined)) if style == "batch" else joined).alias("corpus"))
 
 
 MANUAL_HEADERS = {"ranked": "===== MANUAL_TEXT =====\n", "evidence": "===== FILE MANUAL_TEXT =====\n"}
@@ -50,6 +52,24 @@ def markers(corpus: Column, style: str = "batch") -> Column:
     return F.transform(found, lambda m: F.struct(m["start"].alias("pos"), F.regexp_extract(m["match"], MARKERS[style], 1).alias("name")))
 
 
+def blocks(corpus: Column) -> Column:
+    """Array of (start, file, text): what stands under each header line of a package, from its first character that is no line end; without headers the whole corpus, of no file."""
+
+    def under(x: Column) -> Column:
+        part = lambda m, i: F.substring(x["text"], m["end"] + 1, F.coalesce(F.get(x["found"], i + 1)["start"], F.lit(2**31 - 1)) - m["end"])
+        name = lambda m: F.nullif(strip(F.regexp_extract(m["match"], MARKERS["batch"], 1)), F.lit(""))
+        cut = lambda raw, m: let(F.regexp_replace(raw, r"^[\r\n]+", ""), lambda t: F.struct((m["end"] + F.length(raw) - F.length(t)).alias("start"), name(m).alias("file"), t.alias("text")))
+        made = F.transform(x["found"], lambda m, i: let(part(m, i), lambda raw: cut(raw, m)))
+        return F.when(F.size(x["found"]) > 0, made).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.lit(None).cast("string").alias("file"), x["text"].alias("text"))))
+
+    return let(F.struct(corpus.alias("text"), find_all(corpus, MARKERS["batch"]).alias("found")), under)
+
+
+def block_file(parts: Column, offset: Column) -> Column:
+    """T10 over blocks(): the file of the last block that starts at or before the offset."""
+    return F.try_element_at(F.filter(parts, lambda b: b["start"] <= offset), F.lit(-1))["file"]
+
+
 def file_at(marks: Column, offset: Column) -> Column:
     """T10, as-of lookup: the name of the last marker at or before the offset."""
     return F.try_element_at(F.filter(marks, lambda m: m["pos"] <= offset), F.lit(-1))["name"]
@@ -57,9 +77,8 @@ def file_at(marks: Column, offset: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Array of (offset, line)."""
-    empty = F.array().cast("array<struct<offset:int,line:string>>")
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("offset"), x.alias("line"))).alias("out"))
-    return F.aggregate(F.split(text, "\n", -1), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    place = lambda rows: F.zip_with(rows, running_sum(F.transform(rows, lambda x: F.length(x) + 1)), lambda x, at: F.struct(at.alias("offset"), x.alias("line")))
+    return let(F.split(text, "\n", -1), place)
 
 
 def roles(text: Column, name: Column) -> dict[str, Column]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from bidlens import rules as R
 from bidlens.functions.numbers import calendar_days, days_of_match, first_days, key_rate_fraction, parse_date, parse_date_range, parse_money, parse_money_grouped, parse_percent, some, to_calendar
 from bidlens.functions.text import any_of, clip, find_all, let, starts_of
+from bidlens.operators.corpus import block_file
 
 _CALENDAR = "календар"
 #: Candidates of a field that are kept, by variant.
@@ -76,6 +77,12 @@ def _json_number(value: Column) -> Column:
     return F.when(value == F.floor(value), whole).otherwise(F.regexp_replace(F.format_string("%.6f", value), "0+$", ""))
 
 
+def _spaces(corpus: Column, snippets: Column) -> Column:
+    """Where the basic miners look: in a section's snippets, in the whole corpus if there is none."""
+    own = F.transform(snippets, lambda s: F.struct(s["offset"].alias("offset"), s["snippet"].alias("snippet")))
+    return F.when(F.size(snippets) > 0, own).otherwise(F.array(F.struct(F.lit(0).alias("offset"), corpus.alias("snippet"))))
+
+
 def _near_amounts(snippets: Column, amount: str, radius: int = 220) -> Column:
     """Band match in a row: each amount within `radius` of each price keyword; (start, end, raw, distance), offsets in the corpus."""
 
@@ -101,8 +108,8 @@ def _quoted(amounts: Column, corpus: Column, radius: int, mark: str) -> Column:
     return F.transform(amounts, read)
 
 
-def price_basic(corpus: Column, snippets: Column) -> Column:
-    """Of equal values to the kopeck the surest, eight at most; the fields are in the order of G1."""
+def price_basic(corpus: Column, snippets: Column, files: Column) -> Column:
+    """Of equal values (to the kopeck) of a file the surest, eight at most; the fields are in the order of G1. `files` are the blocks of the corpus."""
 
     def score(a: Column) -> Column:
         quote, low, strong, value = a["quote"], a["low"], a["strong"], a["value"]
@@ -115,10 +122,10 @@ def price_basic(corpus: Column, snippets: Column) -> Column:
             + _bonus(F.contains(low, F.lit("цена")), 0.05)
             + _bonus(~value.between(1e3, 1e11), -0.2)
         )
-        return F.struct((-_clamped(confidence)).alias("rank"), _json_number(value).alias("json"), a["start"].alias("offset"), value.alias("value"), a["raw"].alias("raw"), quote.alias("quote"))
+        return F.struct((-_clamped(confidence)).alias("rank"), _json_number(value).alias("json"), a["start"].alias("offset"), value.alias("value"), a["raw"].alias("raw"), quote.alias("quote"), block_file(files, a["start"]).alias("file"))
 
-    found = F.filter(F.transform(_quoted(_near_amounts(snippets, R.AMOUNT), corpus, 170, "…"), score), lambda c: c["value"].isNotNull())
-    return _listed(found, lambda c: [c["rank"]], lambda c: F.round(c["value"], 2), MOST_BASIC)
+    found = F.filter(F.transform(_quoted(_near_amounts(_spaces(corpus, snippets), R.AMOUNT), corpus, 170, "…"), score), lambda c: c["value"].isNotNull())
+    return _listed(found, lambda c: [c["rank"]], lambda c: F.struct(F.round(c["value"], 2), F.coalesce(c["file"], F.lit(""))), MOST_BASIC)
 
 
 def price_ranked(corpus: Column, snippets: Column) -> Column:
@@ -164,7 +171,7 @@ def price_evidence(snippets: Column) -> Column:
     return F.slice(F.array_sort(named), 1, MOST_EVIDENCE)
 
 
-def payment_basic(snippets: Column) -> Column:
+def payment_basic(corpus: Column, snippets: Column) -> Column:
     """One candidate a snippet, with the longest term of all found."""
 
     def mine(s: Column) -> Column:
@@ -192,7 +199,7 @@ def payment_basic(snippets: Column) -> Column:
             (-_clamped(confidence)).alias("rank"), json.alias("json"), s["offset"].alias("offset"), signals.alias("signals"), advance.alias("advance_percent"), final.alias("final_percent"), advance_days.alias("advance_days"), working.alias("final_working"), calendar.alias("final_calendar"), days.alias("days"), after_full.alias("after_full")
         )
 
-    return F.filter(F.transform(snippets, mine), lambda c: (c["signals"] > 0) & F.coalesce(c["days"].between(1, 3650), F.lit(True)))
+    return F.filter(F.transform(_spaces(corpus, snippets), mine), lambda c: (c["signals"] > 0) & F.coalesce(c["days"].between(1, 3650), F.lit(True)))
 
 
 def payment_ranked(snippets: Column) -> Column:
@@ -263,7 +270,7 @@ def _ranges_found(snippet: Column, offset: Column, plain: float) -> Column:
 
 def execution_basic(corpus: Column, snippets: Column) -> Column:
     """The eight surest, then of most keywords, then shortest; the fields are in the order of G1."""
-    found = F.flatten(F.transform(snippets, lambda s: F.concat(_days_found(s["snippet"], s["offset"], R.EXEC_DAYS, 0.35, 0.1), _days_found(s["snippet"], s["offset"], R.EXEC_DAYS_ALT, 0.28), _ranges_found(s["snippet"], s["offset"], 0.3))))
+    found = F.flatten(F.transform(_spaces(corpus, snippets), lambda s: F.concat(_days_found(s["snippet"], s["offset"], R.EXEC_DAYS, 0.35, 0.1), _days_found(s["snippet"], s["offset"], R.EXEC_DAYS_ALT, 0.28), _ranges_found(s["snippet"], s["offset"], 0.3))))
 
     def score(d: Column) -> Column:
         return let(clip(corpus, d["start"], d["end"], 170, 300, "…"), lambda quote: judge(d, quote, F.lower(quote)))
@@ -317,7 +324,7 @@ def execution_evidence(snippets: Column) -> Column:
     return F.transform(every, lambda c, i: F.struct(c["rank"].alias("rank"), c["offset"].alias("offset"), F.concat(F.lit("execution_days_"), (i + 1).cast("string")).alias("id"), c["days"].alias("value"), c["type"].alias("type"), c["quote"].alias("quote")))
 
 
-def penalty_basic(snippets: Column) -> Column:
+def penalty_basic(corpus: Column, snippets: Column) -> Column:
     """C4."""
 
     def mine(s: Column) -> Column:
@@ -340,7 +347,7 @@ def penalty_basic(snippets: Column) -> Column:
         return F.struct((-_clamped(confidence)).alias("rank"), json.alias("json"), s["offset"].alias("offset"), per_day.alias("per_day"), cap.alias("cap"), fine.alias("fine"))
 
     sane = lambda v, most: F.coalesce(v.between(0, most), F.lit(True))
-    return F.filter(F.transform(snippets, mine), lambda c: F.coalesce(c["per_day"], c["cap"], c["fine"]).isNotNull() & sane(c["per_day"], 10) & sane(c["fine"], 100))
+    return F.filter(F.transform(_spaces(corpus, snippets), mine), lambda c: F.coalesce(c["per_day"], c["cap"], c["fine"]).isNotNull() & sane(c["per_day"], 10) & sane(c["fine"], 100))
 
 
 def penalty_ranked(snippets: Column) -> Column:

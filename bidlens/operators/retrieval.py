@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bidlens.functions.text import count_hits, find_all, find_word, let, normalize_for_search, quoted, strip
+from bidlens.functions.text import count_hits, find_all, find_word, let, normalize_for_search, quoted, running_max, strip
 from bidlens.rules import SCORED_TWICE, SECTIONS_BASIC, SECTIONS_EVIDENCE, SECTIONS_RANKED, SECTIONS_SCORED
 
 _HIT = "array<struct<start:int,end:int,nth:int,keyword:string>>"
@@ -21,15 +21,15 @@ def keyword_hits(text: Column, keywords: list[str]) -> Column:
 
 
 def _hits(text: Column, low: Column, keywords: list[str]) -> Column:
-    none = F.array().cast(_HIT)
+    named = F.array(*[F.struct(F.lit(n).alias("nth"), F.lit(word).alias("keyword"), F.lit(quoted(word)).alias("pattern")) for n, word in enumerate(keywords)])
 
-    def of(n: int, word: str) -> Column:
+    def of(k: Column) -> Column:
         # A letter whose lower case is longer would shift what follows; then the text itself is searched.
-        starts = F.when(F.length(low) == F.length(text), find_word(low, word)).otherwise(F.transform(find_all(text, quoted(word)), lambda m: m["start"]))
-        placed = F.transform(starts, lambda at: F.struct(at.alias("start"), (at + len(word)).alias("end"), F.lit(n).alias("nth"), F.lit(word).alias("keyword")))
-        return F.when(F.contains(low, F.lit(word)), placed).otherwise(none)
+        starts = F.when(F.length(low) == F.length(text), find_word(low, k["keyword"])).otherwise(F.transform(find_all(text, k["pattern"]), lambda m: m["start"]))
+        placed = F.transform(starts, lambda at: F.struct(at.alias("start"), (at + F.length(k["keyword"])).alias("end"), k["nth"].alias("nth"), k["keyword"].alias("keyword")))
+        return F.when(F.contains(low, k["keyword"]), placed).otherwise(F.array().cast(_HIT))
 
-    return F.array_sort(F.concat(*[of(n, word) for n, word in enumerate(keywords)]))
+    return F.array_sort(F.flatten(F.transform(named, of)))
 
 
 def merge_windows(hits: Column, size: Column, window: int, order: str = "nth") -> Column:
@@ -37,16 +37,18 @@ def merge_windows(hits: Column, size: Column, window: int, order: str = "nth") -
 
     `keyword` is that of the first hit by start and then by `order` (nth: list order; keyword: alphabet).
     """
-    wide = F.transform(hits, lambda h: F.struct(F.greatest(F.lit(0), h["start"] - window).alias("lo"), h["start"].alias("start"), h["end"].alias("end"), h[order].alias("order"), F.least(size, h["end"] + window).alias("hi"), h["keyword"].alias("keyword")))
-    kind = "array<struct<lo:int,hi:int,keyword:string,found:array<string>>>"
-    fresh = lambda h: F.struct(h["lo"].alias("lo"), h["hi"].alias("hi"), h["keyword"].alias("keyword"), F.array(h["keyword"]).alias("found"))
+    # The length of the text takes a pass over it, so it is worked out once, not for each hit.
+    wide = lambda n: F.transform(hits, lambda h: F.struct(F.greatest(F.lit(0), h["start"] - window).alias("lo"), h["start"].alias("start"), h["end"].alias("end"), h[order].alias("order"), F.least(n, h["end"] + window).alias("hi"), h["keyword"].alias("keyword")))
 
-    def step(done: Column, h: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        grown = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], h["hi"]).alias("hi"), last["keyword"].alias("keyword"), F.array_append(last["found"], h["keyword"]).alias("found"))
-        return F.when((F.size(done) > 0) & (h["lo"] <= last["hi"]), F.array_append(F.slice(done, 1, F.size(done) - 1), grown)).otherwise(F.array_append(done, fresh(h)))
+    def islands(w: Column) -> Column:
+        far = running_max(F.transform(w, lambda h: h["hi"]))
+        fresh = F.filter(F.zip_with(F.transform(w, lambda h, i: F.struct(h["lo"].alias("lo"), i.alias("i"))), far, lambda h, reach: F.when(h["lo"] > reach, h["i"])), lambda i: i.isNotNull())
+        return let(fresh, lambda first: F.transform(first, lambda i, n: joined(F.slice(w, i + 1, F.coalesce(F.get(first, n + 1), F.size(w)) - i))))
 
-    return F.aggregate(F.array_sort(wide), F.array().cast(kind), step)
+    def joined(part: Column) -> Column:
+        return let(part, lambda p: F.struct(F.get(p, F.lit(0))["lo"].alias("lo"), F.array_max(F.transform(p, lambda h: h["hi"])).alias("hi"), F.get(p, F.lit(0))["keyword"].alias("keyword"), F.transform(p, lambda h: h["keyword"]).alias("found")))
+
+    return let(F.array_sort(let(size, wide)), islands)
 
 
 def cut_out(text: Column, windows: Column) -> Column:
@@ -104,8 +106,9 @@ def _scored(low: Column, words: list[str], window: int, most: int) -> Column:
     return F.transform(best, lambda s: F.struct(s["offset"].alias("offset"), s["snippet"].alias("snippet"), (-s["rank"]).alias("score"), s["keywords"].alias("keywords")))
 
 
-def context(text: Column, sections: tuple[str, ...] = ("price", "payment", "liability", "execution"), cap: int = 20_000) -> Column:
-    """Headers and numbered snippets of all sections while they fit; the first that doesn't is cut to the room left, and ends it."""
+def context(text: Column, sections: tuple[str, ...] = ("price", "payment", "liability", "execution"), cap: int = 20_000, window: int = 900, most: int = 10) -> Column:
+    """Headers and numbered snippets of all sections while they fit; the first that doesn't is cut to the room left, and ends it. The cap is 1000 at least."""
+    cap = max(1_000, cap)
     state = lambda text, full: F.struct(text.alias("text"), full.alias("full"))
     yes, no = F.lit(True), F.lit(False)
 
@@ -128,7 +131,7 @@ def context(text: Column, sections: tuple[str, ...] = ("price", "payment", "liab
             numbered = F.transform(snippets, lambda s, i: F.struct((i + 1).alias("n"), s["snippet"].alias("snippet"), s["score"].alias("score"), s["offset"].alias("offset")))
             return F.aggregate(numbered, begun, add)
 
-        return let(F.struct(total.alias("t"), scored_snippets(text, name).alias("s")), fill)
+        return let(F.struct(total.alias("t"), scored_snippets(text, name, window, most).alias("s")), fill)
 
     total = state(F.lit(""), no)
     for name in sections:

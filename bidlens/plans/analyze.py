@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from bidlens import rules as R
 from bidlens.functions.numbers import parse_money, safe_number, to_calendar
-from bidlens.functions.text import any_of, clip, count_hits, find_all, let, normalize_text
+from bidlens.functions.text import any_of, clip_centred, count_hits, find_all, let, normalize_text
 from bidlens.operators import mining as M
+from bidlens.operators.corpus import blocks
 from bidlens.operators.retrieval import basic_snippets, evidence_snippets, ranked_snippets
 from bidlens.operators.risk import danger_phrases, financials, risk, safe_cost, verdict
 
@@ -32,7 +33,7 @@ def _core_price(text: Column) -> Column:
     def score(m: Column) -> Column:
         value = F.bround(parse_money(F.regexp_extract(m["match"], pattern, 1)), 0)
         points = lambda quote: F.when(F.contains(quote, F.lit("нмцк")), 5).otherwise(0) + F.when(F.contains(quote, F.lit("цена")), 2).otherwise(0) + F.when(F.contains(quote, F.lit("руб")), 1).otherwise(0)
-        return F.struct(let(F.lower(clip(text, m["start"], m["end"], 180, 400, "")), points).alias("points"), value.alias("value"))
+        return F.struct(let(F.lower(clip_centred(text, m["start"], m["end"])), points).alias("points"), value.alias("value"))
 
     return F.array_max(F.filter(F.transform(find_all(text, pattern), score), lambda c: c["value"].isNotNull()))["value"]
 
@@ -42,7 +43,7 @@ def _core_fine(text: Column) -> Column:
     pattern = r"(?iuU)штраф\w*[^\d%]{0,80}(\d+(?:[.,]\d+)?)\s*%"
 
     def read(m: Column) -> Column:
-        said = any_of(F.lower(clip(text, m["start"], m["end"], 180, 400, "")), ["день", "дн", "сутк", "ежедневн"])
+        said = any_of(F.lower(clip_centred(text, m["start"], m["end"])), ["день", "дн", "сутк", "ежедневн"])
         return F.when(~said, safe_number(F.regexp_extract(m["match"], pattern, 1)))
 
     return F.array_max(F.transform(find_all(text, pattern), read))
@@ -51,48 +52,53 @@ def _core_fine(text: Column) -> Column:
 def _basic(df: DataFrame) -> DataFrame:
     """R1, C1-C4, C15, G1, G5, G6."""
     text = F.col("corpus")
-    for section in R.SECTIONS_BASIC:
-        df = df.withColumn(f"s_{section}", basic_snippets(text, section))
-    df = (
-        df.withColumn("c_price", M.price_basic(text, F.col("s_price")))
-        .withColumn("price", M.best(F.filter("c_price", lambda c: c["value"].between(1e3, 1e11))))
-        .withColumn("payment", M.best(M.payment_basic(F.col("s_payment"))))
-        .withColumn("execution", M.best(M.execution_basic(text, F.col("s_execution"))))
-        .withColumn("penalty", M.best(M.penalty_basic(F.col("s_penalties"))))
-    )
+    df = df.withColumns({f"s_{section}": basic_snippets(text, section) for section in R.SECTIONS_BASIC} | {"files": blocks(text)})
+    df = df.withColumns(
+        {
+            "c_price": M.price_basic(text, F.col("s_price"), F.col("files")),
+            "payment": M.best(M.payment_basic(text, F.col("s_payment"))),
+            "execution": M.best(M.execution_basic(text, F.col("s_execution"))),
+            "penalty": M.best(M.penalty_basic(text, F.col("s_penalties"))),
+        }
+    ).withColumn("price", M.best(F.filter("c_price", lambda c: c["value"].between(1e3, 1e11))))
     pay = F.col("payment")
-    return (
-        df.withColumn("nmck", F.coalesce(_core_price(text), F.col("price.value")))
-        .withColumn("payment_terms_days", F.coalesce(pay["final_calendar"], to_calendar(pay["final_working"]), pay["advance_days"], pay["days"]))
-        .withColumn("execution_days", F.col("execution.value"))
-        .withColumn("penalty_percent_per_day", F.col("penalty.per_day"))
-        .withColumn("fine_percent", F.coalesce(F.col("penalty.fine"), _core_fine(text)))
-        .withColumn("advance_percent", _null())
-        .withColumn("vague", F.lit(False))
-        .withColumn("quote", F.col("price.quote"))
+    return df.withColumns(
+        {
+            "nmck": F.coalesce(_core_price(text), F.col("price.value")),
+            "payment_terms_days": F.coalesce(pay["final_calendar"], to_calendar(pay["final_working"]), pay["advance_days"], pay["days"]),
+            "execution_days": F.col("execution.value"),
+            "penalty_percent_per_day": F.col("penalty.per_day"),
+            "fine_percent": F.coalesce(F.col("penalty.fine"), _core_fine(text)),
+            "advance_percent": _null(),
+            "vague": F.lit(False),
+            "quote": F.col("price.quote"),
+        }
     )
 
 
 def _ranked(df: DataFrame) -> DataFrame:
     """R3, C6-C9, G2, G3, G7."""
     text = F.col("corpus")
-    for section in ("price", "payment", "execution", "liability"):
-        df = df.withColumn(f"s_{section}", ranked_snippets(text, section))
-    df = (
-        df.withColumn("price", M.best(M.price_ranked(text, F.col("s_price"))))
-        .withColumn("payment", M.best(M.payment_ranked(F.col("s_payment"))))
-        .withColumn("execution", M.best(M.execution_ranked(text, F.col("s_execution"))))
-        .withColumn("penalty", M.best(M.penalty_ranked(F.col("s_liability"))))
+    df = df.withColumns({f"s_{section}": ranked_snippets(text, section) for section in ("price", "payment", "execution", "liability")})
+    df = df.withColumns(
+        {
+            "price": M.best(M.price_ranked(text, F.col("s_price"))),
+            "payment": M.best(M.payment_ranked(F.col("s_payment"))),
+            "execution": M.best(M.execution_ranked(text, F.col("s_execution"))),
+            "penalty": M.best(M.penalty_ranked(F.col("s_liability"))),
+        }
     )
-    return (
-        df.withColumn("nmck", F.col("price.value"))
-        .withColumn("payment_terms_days", F.col("payment.days"))
-        .withColumn("execution_days", F.col("execution.value"))
-        .withColumn("penalty_percent_per_day", F.col("penalty.per_day"))
-        .withColumn("fine_percent", F.col("penalty.fine"))
-        .withColumn("advance_percent", _null())
-        .withColumn("vague", F.lower(text).rlike(R.TRAPS_RANKED["has_vague_acceptance_terms"]))
-        .withColumn("quote", F.col("price.quote"))
+    return df.withColumns(
+        {
+            "nmck": F.col("price.value"),
+            "payment_terms_days": F.col("payment.days"),
+            "execution_days": F.col("execution.value"),
+            "penalty_percent_per_day": F.col("penalty.per_day"),
+            "fine_percent": F.col("penalty.fine"),
+            "advance_percent": _null(),
+            "vague": F.lower(text).rlike(R.TRAPS_RANKED["has_vague_acceptance_terms"]),
+            "quote": F.col("price.quote"),
+        }
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidlens.sources.tables import table
+from bidlens.sources.tables import spread, table
 
 TENDER_SQL = """
 SELECT k, mode, nmck, execution_days, payment_terms_days, contract_security_percent, bid_security_percent,
@@ -51,12 +51,44 @@ CASE k % 3 WHEN 0 THEN CASE (k * 7) % 4 WHEN 0 THEN '0.02' WHEN 1 THEN '0.03' WH
             FROM (SELECT o_orderkey AS k FROM orders) a) b) c
 """
 
+#: Ten kinds of corpora by k % 10: files with equal and with different prices, texts without section words, values on
+#: lines of their own, date spans, shares, values out of range, nothing, words without values, a long one.
+_FILLER = "repeat('Общие положения и определения. ', 12)"
+_PARTS = ", ".join(f"chr(10), 'Раздел {j}. Оплата этапа. ', {_FILLER}" for j in range(1, 9))
+MIXED_SQL = f"""
+SELECT k, kind, n, d, w, m, CASE kind
+ WHEN 0 THEN concat('===== FILE 1/2: a.txt (.txt) =====', chr(10), 'НМЦК: ', n, ' 000 000 руб.', chr(10), 'Срок поставки ', d, ' рабочих дней.', chr(10), chr(10),
+  '===== FILE 2/2: b.txt (.txt) =====', chr(10), 'Цена контракта: ', n, ' 000 000 руб.', chr(10), 'Оплата в течение ', w, ' рабочих дней.')
+ WHEN 1 THEN concat('===== FILE 1/2: a.txt (.txt) =====', chr(10), 'НМЦК: ', n, ' 000 000 руб.', chr(10), chr(10),
+  '===== FILE 2/2: b.txt (.txt) =====', chr(10), 'НМЦК: ', n + 1, ' 000 000 руб. Неустойка 0,', w, '% за каждый день просрочки.')
+ WHEN 2 THEN concat('По извещению: ', n, ' 000 000 руб. Работы выполнить в течение ', d, ' дней с даты договора.')
+ WHEN 3 THEN concat('НМЦК ', m, ' млн руб.', chr(10), {_FILLER}, chr(10), 'Оплата', chr(10), 'срок ', m, ' рабочих дней.', chr(10), {_FILLER}, chr(10), 'Поставка', chr(10), 'в срок до ', m, ' суток.', chr(10), {_FILLER}, chr(10), 'Пеня', chr(10), '0,', m, '% в сутки.')
+ WHEN 4 THEN concat('НМЦК: ', n, ' 000 000 руб. Срок исполнения контракта: с 01.02.2024 по ', lpad(CAST(1 + w % 28 AS STRING), 2, '0'), '.03.2024.', chr(10), 'Оплата до ', w, ' календарных дней.')
+ WHEN 5 THEN concat('Аванс 30% в течение 5 рабочих дней.', chr(10), 'Окончательный расчет 70% в течение ', w, ' рабочих дней после приемки.', chr(10), 'НМЦК: ', n, ' 000 000 руб.')
+ WHEN 6 THEN 'НМЦК: 50 руб. Срок исполнения 9000 дней. Оплата в течение 400 дней. Пеня 15% за каждый день.'
+ WHEN 7 THEN CASE WHEN k % 20 = 7 THEN ' ' END
+ WHEN 8 THEN 'НМЦК указана в приложении. Оплата по счету. Поставка по графику. Пеня по закону.'
+ ELSE concat('Штраф 7%. Аванс не предусмотрен. Оплата в течение ', w, ' рабочих дней после поставки.', {_PARTS}) END AS text
+FROM (SELECT o_orderkey AS k, o_orderkey % 10 AS kind, 5 + (o_orderkey * 7919) % 76 AS n, 1 + (o_orderkey * 31) % 60 AS d, 1 + (o_orderkey * 17) % 30 AS w, 1 + o_orderkey % 9 AS m FROM orders) a
+"""
+
+
+def _of_orders(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    # Keys are dealt out before texts are made of them: work a row is much, bytes a row are few.
+    keys = spread(table(spark, sf_dir, "orders").select("o_orderkey"))
+    return spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=keys)
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus of one of ten kinds for each order, with the numbers in it."""
+    return _of_orders(spark, sf_dir, MIXED_SQL)
+
 
 def tenders(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     """A tender for each order; with `only`, which has a column k, for those orders alone."""
-    # Keys are dealt out before texts are made of them: work a row is much, bytes a row are few.
+    if only is None:
+        return _of_orders(spark, sf_dir, TENDER_SQL)
     keys = table(spark, sf_dir, "orders").select("o_orderkey")
-    if only is not None:
-        keys = keys.join(only, keys["o_orderkey"] == only["k"], "left_semi")
+    keys = keys.join(only, keys["o_orderkey"] == only["k"], "left_semi")
     keys = keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     return spark.sql(TENDER_SQL.replace("FROM orders", "FROM {orders}"), orders=keys)

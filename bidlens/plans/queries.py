@@ -15,6 +15,7 @@ from bidlens.operators import history as H
 from bidlens.operators import layout as L
 from bidlens.operators import mining as M
 from bidlens.operators import retrieval as V
+from bidlens.options import int_option
 from bidlens.operators.risk import danger_phrases, financials, level, risk, safe_cost, verdict
 from bidlens.plans.analyze import analyze, facts, gate, section_hits, traps
 from bidlens.plans.fixtures import TENDER_SQL, tenders
@@ -298,8 +299,9 @@ def snippet_score_topk(spark, sf_dir):
 
 @query()
 def context_budget(spark, sf_dir):
-    """R7."""
-    return clause_documents(spark, sf_dir).select("doc_id", V.context(F.col("text")).alias("t")).select("doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("text_sha256"))
+    """Caps as the session sets them."""
+    limits = {name: int_option(spark, f"bidlens.context.{name}", default) for name, default in (("cap", 20_000), ("window", 900), ("most", 10))}
+    return clause_documents(spark, sf_dir).select("doc_id", V.context(F.col("text"), **limits).alias("t")).select("doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("text_sha256"))
 
 
 def _packages(spark, sf_dir) -> DataFrame:
@@ -310,7 +312,7 @@ def _packages(spark, sf_dir) -> DataFrame:
 
 
 _PACKED = rf"""p AS (SELECT doc_id // 5 AS package, doc_id % 5 + 1 AS nth, 'doc_' || doc_id || '.txt' AS name, {_NORM.format("coalesce(text, '')")} AS text, count(*) OVER (PARTITION BY doc_id // 5) AS n FROM documents),
-c AS (SELECT package, count(*) AS n_files, {_NORM.format("string_agg(chr(10) || '===== FILE ' || nth || '/' || n || ': ' || name || ' (.txt) =====' || chr(10) || text, chr(10) ORDER BY nth)")} AS corpus FROM p GROUP BY package)"""
+c AS (SELECT package, count(*) AS n_files, {_NORM.format("'TENDER PACKAGE (MULTI-FILE) - STRUCTURED CORPUS' || chr(10) || chr(10) || string_agg(chr(10) || '===== FILE ' || nth || '/' || n || ': ' || name || ' (.txt) =====' || chr(10) || chr(10) || text, chr(10) ORDER BY nth)")} AS corpus FROM p GROUP BY package)"""
 
 
 @query(f"WITH {_PACKED} SELECT package, n_files, length(corpus)::BIGINT AS n_chars, sha256(corpus) AS corpus_sha256 FROM c")
@@ -403,7 +405,7 @@ SQL["analyze_evidence"] = _analyze_sql("NULL::DOUBLE", "false", "NULL::DOUBLE",
 @query(f"""WITH {_TENDERS}, x AS (SELECT k, CASE k % 4 WHEN 0 THEN text WHEN 1 THEN 'Оплата в течение 20 дней. Неустойка 0.1%.' WHEN 2 THEN 'НМЦК по извещению: 7 752 436,93 руб. Цена договора фиксированная.' ELSE text || repeat(' Дополнение.', 400) END AS text, k % 4 AS c FROM t)
 SELECT k, c <> 1 AS has_price, c IN (0, 1, 3) AS has_payment, c IN (0, 3) AS has_execution, c IN (0, 1, 3) AS has_liability,
   CASE c WHEN 0 THEN 'corpus_too_short' WHEN 1 THEN 'corpus_too_short|manual_text_without_price|missing_price_section' WHEN 2 THEN 'corpus_too_short|only_contract_excerpt' ELSE '' END AS partial_reasons, c <> 1 AS can_compute,
-  CASE WHEN c = 1 THEN 'not_provided_in_text' END AS reason_price, CASE WHEN c IN (1, 2) THEN 'not_provided_in_text' END AS reason_execution FROM x""")
+  CASE WHEN c = 1 THEN 'not_provided_in_text' END AS reason_price, CASE WHEN c = 2 THEN 'not_provided_in_text' END AS reason_execution FROM x""")
 def quality_gate(spark, sf_dir):
     """G11-G15 on whole packages, contracts alone, prices alone, long texts."""
     text = (
@@ -424,7 +426,7 @@ def _candidates(variant: str) -> Query:
         liability = "penalties" if variant == "basic" else "liability"
         source = source.select("k", "corpus", *[sections(text, s).alias(s) for s in ("price", "payment", "execution", liability)])
         mined = {
-            "basic": lambda: (M.price_basic(text, F.col("price")), M.payment_basic(F.col("payment")), M.execution_basic(text, F.col("execution")), M.penalty_basic(F.col(liability))),
+            "basic": lambda: (M.price_basic(text, F.col("price"), C.blocks(text)), M.payment_basic(text, F.col("payment")), M.execution_basic(text, F.col("execution")), M.penalty_basic(text, F.col(liability))),
             "ranked": lambda: (M.price_ranked(text, F.col("price")), M.payment_ranked(F.col("payment")), M.execution_ranked(text, F.col("execution")), M.penalty_ranked(F.col(liability))),
             "evidence": lambda: (M.price_evidence(F.col("price")), M.payment_evidence(F.col("payment")), M.execution_evidence(F.col("execution")), M.penalty_evidence(F.col(liability))),
         }[variant]()

@@ -1,6 +1,6 @@
 """Keyword lists, patterns and labels of the tender analysis.
 
-Fixed values: everything in this file is given by the task and must stay as it is for right results.
+Fixed values: everything in this file belongs to the subject and must stay as it is for right results.
 Patterns are in Java's dialect; with (?iuU) letters, words and case follow Unicode.
 """
 
@@ -123,6 +123,14 @@ DANGER_RULES = [
     (r"(?iuU)\bобеспечени[ея]\s+исполнени[яе]\s+контракт[аы]\s+в\s+размере\s+(?:\d+(?:[.,]\d+)?)\s*%", "medium", "Высокое обеспечение контракта", "Заморозка средств/стоимость гарантии."),
 ]
 
+# Words near which a value must stand to be proven by the text; they are sought in lower case as they are spelled here.
+VALUE_WORDS = {
+    "nmck": ["НМЦК", "начальн", "цена договора", "цена контракта"],
+    "payment_terms_days": ["оплат", "расчет", "платеж", "аванс", "предоплат", "окончательн"],
+    "execution_days": ["срок", "постав", "отгруз", "исполн", "заверш", "оказан"],
+    "penalty_percent_per_day": ["пеня", "неустойк", "штраф"],
+}
+
 # Plans and their monthly limits.
 PLAN_LIMITS = {"free": 30, "pro": 500, "business": 5000}
 DEFAULT_LIMIT = 30

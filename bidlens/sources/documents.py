@@ -24,23 +24,31 @@ MOST_FILES, MOST_BYTES = 25, 15 * 1024 * 1024
 MOST_ROWS, MOST_COLUMNS, MOST_CSV_ROWS = 300, 30, 1000
 
 
-def scan_folder(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Path, name, ext, content of all files under a folder."""
+def scan_folder(spark: SparkSession, path: str, pattern: str = "*", folder: str | None = None) -> DataFrame:
+    """Path, name, ext, size, content of all files under a folder. With `folder`, a file's name is the value of its folder <folder>=<name>, as Spark's writers leave it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    name = F.element_at(F.split("path", "/"), -1)
+    name = F.element_at(F.split("path", "/"), -1) if folder is None else F.regexp_extract("path", f"/{folder}=([^/]+)/", 1)
     return files.select("path", name.alias("name"), F.lower(F.when(F.contains(name, F.lit(".")), F.substring_index(name, ".", -1)).otherwise("")).alias("ext"), F.col("length").alias("size"), "content")
 
 
-def check_packages(files: DataFrame, package: str) -> DataFrame:
-    """One row a package with the reasons it is refused, if any."""
+def check_packages(files: DataFrame, package: str, text: str | None = None) -> DataFrame:
+    """One row a package: n_files, and in refused the reasons why it is refused, if any; with the column `text`, a package without any text is one."""
     refused = F.array_compact(
         F.array(
             F.when(F.count(F.lit(1)) > MOST_FILES, "too_many_files"),
             F.when(F.max("size") > MOST_BYTES, "file_too_large"),
             F.when(F.count_if(~F.col("ext").isin(*SUPPORTED, "pdf")) > 0, "unsupported_type"),
+            *([F.when(F.coalesce(F.max(F.length(text)), F.lit(0)) == 0, "no_text")] if text else []),
         )
     )
-    return files.groupBy(package).agg(F.count(F.lit(1)).alias("n_files"), refused.alias("refused"))
+    counted = [F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n_chars")] if text else []
+    return files.groupBy(package).agg(F.count(F.lit(1)).alias("n_files"), refused.alias("refused"), *counted)
+
+
+def read_packages(files: DataFrame, package: str) -> DataFrame:
+    """Package, n_files, refused, n_chars of files as scan_folder() gives them, with a column of their package; texts are joined back by path."""
+    texts = document_texts(files).select("path", "text")
+    return check_packages(files.drop("content").join(texts, "path", "left"), package, "text")
 
 
 def strip_markup(xml: Column) -> Column:

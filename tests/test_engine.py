@@ -175,7 +175,7 @@ def test_candidates_are_deduped_and_capped(spark):
     amounts = [f"{n} 000 000 руб." for n in range(11, 25)]
     text = "НМЦК: 11 000 000 руб. " + "; ".join(amounts) + ". Цена контракта " + "; ".join(amounts)
     df = spark.createDataFrame([(text,)], "text string").withColumn("s", F.array(F.struct(F.lit(0).alias("offset"), F.col("text").alias("snippet"))))
-    basic, ranked, evidence = df.select(M.price_basic(F.col("text"), F.col("s")), M.price_ranked(F.col("text"), F.col("s")), M.price_evidence(F.col("s"))).first()
+    basic, ranked, evidence = df.select(M.price_basic(F.col("text"), F.col("s"), F.array(F.struct(F.lit(0).alias("start"), F.lit(None).cast("string").alias("file")))), M.price_ranked(F.col("text"), F.col("s")), M.price_evidence(F.col("s"))).first()
     assert len(basic) == M.MOST_BASIC == len({c["value"] for c in basic})
     assert len(ranked) == M.MOST_RANKED == len({(c["value"], c["offset"]) for c in ranked})
     assert len(evidence) == M.MOST_EVIDENCE

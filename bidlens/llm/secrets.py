@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import tempfile
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
@@ -28,6 +29,8 @@ KINDS = ("assign", "access", "hex")
 PIECE = 1 << 20
 #: Where there is no such place in this many bytes, pieces overlap instead.
 LONGEST_RUN, OVERLAP = 1 << 26, 1 << 16
+#: So many compressed layers unfold one through the other at a time.
+CHAINED = 50
 
 
 def _either_case(word: str) -> str:
@@ -48,7 +51,7 @@ _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}[\x20\t]*\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]+={0,2}")
 _BLANK = re.compile(r"\s+")
 _URL_SAFE = str.maketrans("-_", "+/")
-_PACKED = re.compile(rb"\x1f\x8b\x08|\A\x78[\x01\x5e\x9c\xda]")
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 _WIDE = re.compile(r"(?:[\t\n\r\x20-\x7e]\x00){8,}[\t\n\r\x20-\x7e]?")
 _RUN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-.=:%\\\"' \t\r\n\x00"
 
@@ -180,12 +183,37 @@ def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
                 data, unpack = unpack.unused_data, zlib.decompressobj(47)
 
 
+def _spooled(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The same data from a file of its own (in memory up to PIECE bytes), free of what it came through."""
+    with tempfile.SpooledTemporaryFile(PIECE) as held:
+        for chunk in chunks:
+            held.write(chunk)
+        held.seek(0)
+        while chunk := held.read(PIECE):
+            yield chunk
+
+
 def _unpacked(chunks: Iterator[bytes], name: str) -> tuple[Iterator[bytes], str]:
-    """The chunks with every compression that they begin with taken off."""
-    first = next((chunk for chunk in chunks if chunk), b"")
-    whole = chain([first], chunks)
-    found = _PACKED.match(first)
-    return _unpacked(_inflated(whole), f"{name}.deflate") if found else (whole, name)
+    """The chunks with every compression that they begin with taken off.
+
+    Layers that unfold one through the other are kept apart by a file every so many. A layer whose head, size
+    and all, came up before is the last: archives that hold themselves never end otherwise.
+    """
+    seen: set[bytes] = set()
+    depth = 0
+    while True:
+        first = next((chunk for chunk in chunks if chunk), b"")
+        head = hashlib.blake2b(first, digest_size=16).digest()
+        chunks = chain([first], chunks)
+        if not _PACKED.match(first) or head in seen:
+            return chunks, f"{name}{'.deflate' * depth if depth < 4 else f'.deflate*{depth}'}"
+        seen.add(head)
+        depth += 1
+        chunks = _inflated(chunks)
+        if depth % CHAINED == 0:
+            chunks = _spooled(chunks)
+            # What the file is read from must be unfolded now, not below the next layers.
+            chunks = chain([next(chunks, b"")], chunks)
 
 
 def _in_pieces(chunks: Iterator[bytes]) -> Iterator[bytes]:

@@ -626,3 +626,42 @@ def test_empty_tables_with_parameters(spark):
     assert decontamination.contamination(none, bench).count() == 0
     assert not any(r.contaminated for r in decontamination.contamination(docs(spark, AWKWARD), bench).collect())
     assert tokens.token_counts(none, public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
+
+
+def test_secrets_under_thousands_of_layers():
+    data = b"password=hunter22hunter"
+    for _ in range(5000):
+        data = zlib.compress(data, 0)[:2] + zlib.compress(data, 9)[2:] if len(data) < 200 else zlib.compress(data, 1)
+    text = "x " + base64.b64encode(data).decode() + " y"
+    base, added = secrets.scan(text)
+    assert base == [] and ("assign@base64.deflate*5000", 2, len(text) - 2) in added
+
+
+def test_secrets_in_an_archive_that_holds_itself(monkeypatch):
+    head = b"\x1f\x8b\x08 token=abcdef123 "
+    monkeypatch.setattr(secrets, "_inflated", lambda chunks: iter([head]))
+    chunks, name = secrets._unpacked(iter([head]), "base64")
+    assert b"".join(chunks) == head and name == "base64.deflate"
+
+
+def test_secrets_in_zlib_behind_a_header():
+    packed = base64.b64encode(b"hdr:" + zlib.compress(b"api_key=0123456789abcdef " * 3)).decode()
+    assert {s[0] for s in secrets.scan(f"a {packed} b")[1]} == {"assign@base64.deflate"}
+
+
+def test_scratch_of_two_threads_stays_apart(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from bidlens.llm.common import last_stored, materialize, scope
+
+    def work(n):
+        def make():
+            first = materialize(spark.range(n), "one")
+            return materialize(first.selectExpr("id + 1 as id"), "two")
+
+        with scope() as paths:
+            out = [last_stored(spark, make) for _ in range(3)]
+        return len(paths), [df.count() for df in out]
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(work, (5, 7))) == [(3, [5] * 3), (3, [7] * 3)]

@@ -424,9 +424,9 @@ def _candidates(variant: str) -> Query:
         text = F.col("corpus")
         sections = {"basic": V.basic_snippets, "ranked": V.ranked_snippets, "evidence": V.evidence_snippets}[variant]
         liability = "penalties" if variant == "basic" else "liability"
-        source = source.select("k", "corpus", *[sections(text, s).alias(s) for s in ("price", "payment", "execution", liability)])
+        source = source.select("k", "corpus", C.blocks(text).alias("files"), *[sections(text, s).alias(s) for s in ("price", "payment", "execution", liability)])
         mined = {
-            "basic": lambda: (M.price_basic(text, F.col("price"), C.blocks(text)), M.payment_basic(text, F.col("payment")), M.execution_basic(text, F.col("execution")), M.penalty_basic(text, F.col(liability))),
+            "basic": lambda: (M.price_basic(text, F.col("price"), F.col("files")), M.payment_basic(text, F.col("payment")), M.execution_basic(text, F.col("execution")), M.penalty_basic(text, F.col(liability))),
             "ranked": lambda: (M.price_ranked(text, F.col("price")), M.payment_ranked(F.col("payment")), M.execution_ranked(text, F.col("execution")), M.penalty_ranked(F.col(liability))),
             "evidence": lambda: (M.price_evidence(F.col("price")), M.payment_evidence(F.col("payment")), M.execution_evidence(F.col("execution")), M.penalty_evidence(F.col(liability))),
         }[variant]()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ HOT_SHARE = 1 / 1000
 #: Rows of a hot key are dealt out over so many parts.
 SALTS = 32
 
-_written: list[str] = []
+_scopes = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +38,8 @@ def shared_path(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="bidlens-")
         sc.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/bidlens-{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if open_scopes := getattr(_scopes, "open", None):
+        open_scopes[-1].append(path)
     return path
 
 
@@ -47,9 +50,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written() -> list[str]:
-    """Paths of all intermediate data written so far and not discarded."""
-    return list(_written)
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Gathers the paths that this thread hands out until the scope ends, those of scopes within left out; nothing is deleted by it."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    _scopes.open.append([])
+    try:
+        yield _scopes.open[-1]
+    finally:
+        _scopes.open.pop()
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
@@ -57,14 +67,19 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-        _written.remove(path)
 
 
 def last_stored(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """What make() returns, which is what it stored last; what it stored on its way is deleted."""
-    before = written()
-    out = make()
-    discard(spark, [path for path in written() if path not in before][:-1])
+    """What make() returns, which is what it stored last; what it stored on its way is deleted, and so is all of it if make() fails."""
+    with scope() as paths:
+        try:
+            out = make()
+        except BaseException:
+            discard(spark, paths)
+            raise
+    discard(spark, paths[:-1])
+    if open_scopes := getattr(_scopes, "open", None):
+        open_scopes[-1].extend(paths[-1:])
     return out
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidlens.llm.common import NON_WORD, broadcast_if_small, free_name, lower_ascii, materialize, numbered, salted_join, small_enough
+from bidlens.llm.common import NON_WORD, broadcast_if_small, free_name, last_stored, lower_ascii, materialize, numbered, salted_join, small_enough
 
 #: A vocabulary (8 bytes a term) and its alignments are broadcast up to so many rows, shuffled beyond.
 VOCABULARY_ROWS = 1_000_000
@@ -199,8 +199,12 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, id_co
     """The rows without any benchmark window, with all their columns; rows are judged one by one, whatever their ids."""
     number = free_name(docs, "row")
     every = numbered(docs, number, "numbered")
-    known = benchmark_words(items)
-    terms = benchmark_terms(known)
-    runs = phrase_runs(positional_index(every, terms, number, id_col, text_col), terms, benchmark_windows(known, window), window)
-    bad = runs.select(F.col("row").alias(number)).distinct()
+
+    def hit() -> DataFrame:
+        known = benchmark_words(items)
+        terms = benchmark_terms(known)
+        runs = phrase_runs(positional_index(every, terms, number, id_col, text_col), terms, benchmark_windows(known, window), window)
+        return materialize(runs.select(F.col("row").alias(number)).distinct(), "contaminated")
+
+    bad = last_stored(docs.sparkSession, hit)
     return every.join(broadcast_if_small(bad, VOCABULARY_ROWS), number, "left_anti").drop(number)

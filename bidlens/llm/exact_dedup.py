@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidlens.llm.common import broadcast_if_small, free_name, materialize, numbered, salted_join, shared_path
+from bidlens.llm.common import broadcast_if_small, free_name, last_stored, materialize, numbered, salted_join, shared_path
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -24,6 +24,7 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition reserves 4 MB for its manifest
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # else each partition's store stays in its executor's memory
 }
 
 
@@ -142,5 +143,6 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     number = free_name(docs, "row")
     every = numbered(docs, number, "numbered")
     rows = every.select(F.col(number).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    gone = _verdicts(rows, sha256_text, state_path, 1000, 400_000).filter("not stays").select(F.col("row").alias(number))
-    return every.join(broadcast_if_small(materialize(gone, "dedup-gone"), 1_000_000), number, "left_anti").drop(number)
+    # A state of this call alone goes once the rows to drop are stored.
+    gone = last_stored(docs.sparkSession, lambda: materialize(_verdicts(rows, sha256_text, state_path, 1000, 400_000).filter("not stays").select(F.col("row").alias(number)), "dedup-gone"))
+    return every.join(broadcast_if_small(gone, 1_000_000), number, "left_anti").drop(number)

@@ -248,5 +248,5 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8
     number = free_name(docs, "row")
     every = numbered(docs, number, "numbered")
     rows = every.select(F.col(number).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    gone = materialize(classes(rows, words, threshold).filter("not stays").select(F.col("row").alias(number)), "near-gone")
+    gone = last_stored(docs.sparkSession, lambda: materialize(classes(rows, words, threshold).filter("not stays").select(F.col("row").alias(number)), "near-gone"))
     return every.join(broadcast_if_small(gone, WANTED_ROWS), number, "left_anti").drop(number)

@@ -35,7 +35,7 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def slices(column: pa.Array, most_bytes: int = 1_000_000) -> Iterator[pa.Array]:
+def slices(column: pa.Array, most_bytes: int = 400_000) -> Iterator[pa.Array]:
     """Consecutive parts of a string column, each of about so many bytes, so that temporary arrays stay small."""
     column = column.fill_null("")
     sizes = np.diff(_offsets(column))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import threading
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bidlens.llm.common import discard, materialize, table, written
+from bidlens.llm.common import discard, materialize, scope, table
 from bidlens.llm.decontamination import drop_contaminated
 from bidlens.llm.exact_dedup import drop_exact_duplicates
 from bidlens.llm.near_dedup import drop_near_duplicates
@@ -38,18 +42,35 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
+_left = threading.local()
+
+
+def _staged(nth: int, make: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage; as it begins, what the stage before it stored on its way in this thread goes, for its result has been written by then."""
+
+    @functools.wraps(make)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if nth and getattr(_left, "nth", None) == nth - 1:
+            discard(spark, _left.paths)
+        with scope() as paths:
+            out = make(spark, docs, sf_dir)
+        _left.nth, _left.paths = nth, paths
+        return out
+
+    return run_stage
+
+
+STAGES = [(make.__name__, _staged(nth, make)) for nth, make in enumerate((toxicity, exact_dedup, near_dedup, decontamination, packing))]
 #: SQL can express neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, kept = table(spark, sf_dir, "documents"), []
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        before = written()
-        docs = materialize(stage(spark, docs, sf_dir), name)
-        # Once a stage's result is stored, nothing reads what led to it any more.
-        *used, result = [path for path in written() if path not in before]
-        discard(spark, used + kept)
-        kept = [result]
+        with scope() as result:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        # Once a stage's result is stored, nothing reads that of the stage before it any more.
+        discard(spark, before)
+        before = result
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,8 +22,11 @@ QUOTE_WORDS = {
 
 def json_object(text: Column) -> Column:
     """The object that a text is, else the one between its first and its last brace, as a variant; null if there is none."""
-    whole = lambda t: F.when(F.startswith(t, F.lit("{")) & F.endswith(t, F.lit("}")), F.try_parse_json(t))
-    inner = lambda t: F.try_parse_json(F.nullif(F.regexp_extract(t, r"(?s)\{.*\}", 0), F.lit("")))
+    # In brackets, as the parser stops after a first value, whatever follows it.
+    alone = lambda v: F.when(F.variant_get(v, "$[1]", "variant").isNull(), F.variant_get(v, "$[0]", "variant"))
+    parse = lambda t: let(F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))), alone)
+    whole = lambda t: F.when(F.startswith(t, F.lit("{")) & F.endswith(t, F.lit("}")), parse(t))
+    inner = lambda t: parse(F.nullif(F.regexp_extract(t, r"(?s)\{.*\}", 0), F.lit("")))
     return let(strip(text), lambda t: F.coalesce(whole(t), inner(t)))
 
 

@@ -60,7 +60,7 @@ _MARK, _OTHER = "\uffff", "\ufffe"
 
 def _unmarked(text: Column) -> Column:
     """The text with another character of the same length where it holds the mark itself, so that offsets stay."""
-    return F.translate(text, _MARK, _OTHER)
+    return F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, _OTHER)).otherwise(text)
 
 
 def _apply(value: Column, body: str) -> Column:
@@ -78,7 +78,8 @@ def _scan(values: str, combine: str, zero: str) -> str:
     size = "cast(greatest(1, ceil(sqrt(size(v)))) AS int)"
     blocks = f"transform(sequence(0, cast(greatest(0, floor((size(v) - 1) / {size})) AS int)), b -> {before(f'slice(v, b * {size} + 1, {size})')})"
     joined = f"flatten(zip_with(done, {before('transform(done, d -> d.last)')}.out, (d, head) -> transform(d.out, y -> {combine.format('head', 'y')})))"
-    return f"transform(array({values}), v -> transform(array({blocks}), done -> {joined})[0])[0]"
+    # One block will do for a short array, as most are.
+    return f"transform(array({values}), v -> if(size(v) <= 32, {before('v')}.out, transform(array({blocks}), done -> {joined})[0]))[0]"
 
 
 _SUM, _MAX = ("{} + {}", "0"), ("greatest({}, {})", "-1")
@@ -95,9 +96,9 @@ def running_max(values: Column) -> Column:
 
 
 _FOUND = f"""filter(zip_with(pieces, {_scan('transform(pieces, z -> length(z))', *_SUM)}, (piece, at) -> named_struct('start', at, 'end', at + length(piece), 'match', piece)), (m, i) -> i % 2 = 1)"""
-_FIND_ALL = f"""x -> transform(array(split(regexp_replace(translate(x.t, '{_MARK}', '{_OTHER}'), x.p, '{_MARK}$0{_MARK}'), '{_MARK}', -1)), pieces ->
-  transform(array({_FOUND}), found -> if(contains(x.t, '{_MARK}'), transform(found, m -> named_struct('start', m.start, 'end', m.end, 'match', substring(x.t, m.start + 1, m.end - m.start))), found))[0])[0]"""
-_FIND_WORD = f"""x -> transform(array(split(replace(translate(x.t, '{_MARK}', '{_OTHER}'), x.w, '{_MARK}'), '{_MARK}', -1)), pieces ->
+_FIND_ALL = f"""x -> transform(array(split(x.m, '{_MARK}', -1)), pieces ->
+  if(size(pieces) = 1, cast(array() AS array<struct<start:int,end:int,match:string>>), transform(array({_FOUND}), found -> if(contains(x.t, '{_MARK}'), transform(found, m -> named_struct('start', m.start, 'end', m.end, 'match', substring(x.t, m.start + 1, m.end - m.start))), found))[0]))[0]"""
+_FIND_WORD = f"""x -> transform(array(split(replace(if(contains(x.t, '{_MARK}'), translate(x.t, '{_MARK}', '{_OTHER}'), x.t), x.w, '{_MARK}'), '{_MARK}', -1)), pieces ->
   transform(array(transform(slice(pieces, 1, size(pieces) - 1), z -> length(z) + length(x.w))), gaps ->
     zip_with(gaps, {_scan('gaps', *_SUM)}, (gap, at) -> at + gap - length(x.w)))[0])[0]"""
 
@@ -108,7 +109,8 @@ def find_all(text: Column, pattern: str | Column) -> Column:
     One pass of the pattern marks the matches; parted at the marks, the text gives gaps and matches in
     turn, whose lengths add up to the offsets. The pattern may differ from row to row.
     """
-    return _apply(F.struct(text.alias("t"), (F.lit(pattern) if isinstance(pattern, str) else pattern).alias("p")), _FIND_ALL)
+    marked = F.regexp_replace(_unmarked(text), pattern, F.lit(f"{_MARK}$0{_MARK}") if isinstance(pattern, Column) else f"{_MARK}$0{_MARK}")
+    return _apply(F.struct(text.alias("t"), marked.alias("m")), _FIND_ALL)
 
 
 def find_word(low: Column, word: str | Column) -> Column:

@@ -350,7 +350,8 @@ def doc_role(spark, sf_dir):
 @query(f"""WITH {_TENDERS} SELECT k, 'dp_1' AS id, 'high' AS severity, 'Поставка по заявкам' AS title, 1::BIGINT AS n_matches, (instr(text, 'по заявкам') - 1)::BIGINT AS first_start FROM t WHERE is_trap""")
 def danger_phrases_query(spark, sf_dir):
     """DP1."""
-    rows = tenders(spark, sf_dir).select("k", F.explode(danger_phrases(F.col("text"))).alias("d"))
+    # The inner form would have Spark filter on the array's size first, and so make it twice.
+    rows = tenders(spark, sf_dir).select("k", F.explode_outer(danger_phrases(F.col("text"))).alias("d")).filter("d is not null")
     return rows.select("k", "d.id", "d.severity", "d.title", F.size("d.matches").cast("long").alias("n_matches"), F.element_at("d.matches", 1)["start"].cast("long").alias("first_start"))
 
 

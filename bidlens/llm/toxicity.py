@@ -1,11 +1,13 @@
 """Toxicity: logistic regression over hashed words, regularised by counterfactuals.
 
-In labelled texts that name an identity group the term is swapped for the others of its kind, and
-the squared change of the score is part of the loss, so that naming a group moves no score.
+Each labelled text that names an identity group is written anew with other groups of the same kind, and
+its features are taken again. The squared change of its score (as log-odds, which bounds that of the
+probability) is part of the loss, so that naming a group moves no score.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ from bidlens.llm.shingles import mix, shingle_counts, slices, word_hashes
 BUCKETS = 1 << 18
 #: 0 stands for whole words; inflected and compound forms share their beginnings.
 PREFIXES = (0, 5, 7)
-#: Identity terms by kind; within a kind any term can stand for any other.
+#: Identity terms in lower case by kind and language; within a kind any term can stand for any other.
 IDENTITY_TERMS = {
     "religion": ["atheist", "buddhist", "catholic", "christian", "hindu", "jewish", "muslim", "protestant", "sikh"],
     "religion_plural": ["atheists", "buddhists", "catholics", "christians", "hindus", "jews", "muslims", "protestants", "sikhs"],
@@ -28,7 +30,25 @@ IDENTITY_TERMS = {
     "orientation": ["bisexual", "gay", "heterosexual", "lesbian", "straight"],
     "origin": ["african", "american", "arab", "asian", "black", "chinese", "european", "indian", "latino", "mexican", "white"],
     "status": ["citizens", "foreigners", "immigrants", "migrants", "refugees", "residents"],
+    "de_religion": ["atheisten", "buddhisten", "christen", "juden", "katholiken", "muslime", "protestanten"],
+    "de_gender": ["frauen", "männer", "mädchen", "jungen"],
+    "de_orientation": ["bisexuelle", "heterosexuelle", "homosexuelle", "lesben", "schwule"],
+    "de_origin": ["afrikaner", "amerikaner", "araber", "asiaten", "chinesen", "deutsche", "europäer", "inder", "türken"],
+    "de_status": ["ausländer", "bürger", "einwanderer", "flüchtlinge", "migranten"],
+    "fr_religion": ["athées", "bouddhistes", "catholiques", "chrétiens", "hindous", "juifs", "musulmans"],
+    "fr_gender": ["femmes", "filles", "garçons", "hommes"],
+    "fr_orientation": ["bisexuels", "gays", "hétérosexuels", "homosexuels", "lesbiennes"],
+    "fr_origin": ["africains", "américains", "arabes", "asiatiques", "chinois", "européens", "français", "indiens"],
+    "fr_status": ["citoyens", "étrangers", "immigrés", "migrants", "réfugiés"],
+    "es_religion": ["ateos", "budistas", "católicos", "cristianos", "hindúes", "judíos", "musulmanes"],
+    "es_gender": ["chicas", "chicos", "hombres", "mujeres"],
+    "es_orientation": ["bisexuales", "gays", "heterosexuales", "homosexuales", "lesbianas"],
+    "es_origin": ["africanos", "americanos", "árabes", "asiáticos", "chinos", "españoles", "europeos", "indios"],
+    "es_status": ["ciudadanos", "extranjeros", "inmigrantes", "migrantes", "refugiados"],
 }
+#: A word as the features see it: bytes from 0x80 up belong to words.
+_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+_SCHEMA = "label int, buckets array<int>, swaps int, swap array<int>, changed array<int>"
 _MODEL = tuple[np.ndarray, float]
 
 
@@ -41,13 +61,47 @@ def features(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text[order], key[order].astype(np.int64)
 
 
-def _identity_buckets() -> list[list[list[int]]]:
-    """By kind and term all buckets a term brings into a text, that of the whole word first."""
-    return [[[int(bucket) for bucket in features(pa.array([term]))[1]] for term in terms] for terms in IDENTITY_TERMS.values()]
+def swapped(text: str) -> Iterator[str]:
+    """The text with its identity terms of one kind replaced by others, for each kind it names and each turn of that kind's list.
+
+    All terms of the kind turn together, so that what the text says of two groups stays said of two. There
+    are at most as many results as there are terms in the lists, however long the text.
+    """
+    words = {word.lower() for word in _WORD.findall(text)}
+    for terms in IDENTITY_TERMS.values():
+        place = {term: k for k, term in enumerate(terms)}
+        if words.isdisjoint(place):
+            continue
+        for turn in range(1, len(terms)):
+            yield _WORD.sub(lambda m: terms[(k + turn) % len(terms)] if (k := place.get(m[0].lower())) is not None else m[0], text)  # noqa: B023
+
+
+def learnable(labels: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """What is learned from labelled texts: label, buckets, number of swaps, and for each bucket that a swap changes
+    which swap it is and the bucket, as it is if the swap brings it and inverted (~) if the swap takes it away."""
+    text, bucket = features(texts)
+    ends = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
+    swaps, swap, changed, sizes = [], [], [], [0]
+    for row, value in enumerate(texts.to_pylist()):
+        own, n = bucket[ends[row] : ends[row + 1]], 0
+        for other in swapped(value or ""):
+            new = features(pa.array([other]))[1]
+            changes = np.concatenate([np.setdiff1d(new, own), ~np.setdiff1d(own, new)])
+            swap.append(np.full(len(changes), n, np.int32))
+            changed.append(changes.astype(np.int32))
+            n += 1
+        swaps.append(n)
+        sizes.append(sizes[-1] + sum(map(len, changed[len(changed) - n :])))
+    flat = lambda parts: pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
+    buckets = pa.ListArray.from_arrays(ends, pa.array(bucket.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([labels, buckets, pa.array(swaps, pa.int32()), flat(swap), flat(changed)], ["label", "buckets", "swaps", "swap", "changed"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, id_col: str, text_col: str, label_col: str, label_id_col: str) -> pa.Table:
-    """Label and buckets of at most `most_rows` labelled texts, those of smallest hashed id, so that the choice is even and repeatable."""
+    """learnable() of at most `most_rows` labelled texts, those of smallest hashed id, so that the choice is even and repeatable.
+
+    The driver gets at most so many lists, each of distinct buckets, of which there are BUCKETS.
+    """
     known = labels.filter(F.col(label_id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(label_id_col).alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(most_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
@@ -56,19 +110,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, id_col: st
         for batch in batches:
             at = 0
             for part in slices(batch.column(1)):
-                text, bucket = features(part)
-                ends = np.searchsorted(text, np.arange(len(part) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.ListArray.from_arrays(ends, pa.array(bucket.astype(np.int32)))], ["label", "buckets"])
+                yield learnable(batch.column(0).slice(at, len(part)), part)
                 at += len(part)
 
-    return texts.mapInArrow(extract, "label int, buckets array<int>").toArrow()
+    return texts.mapInArrow(extract, _SCHEMA).toArrow()
 
 
 def fit(rows: pa.Table, ridge: float = 0.01, fairness: float = 1.0, least_texts: int = 4, least_chi_square: float = 3.0, rounds: int = 200) -> _MODEL:
     """Weights by bucket and an intercept, by accelerated gradient descent on the mean loss.
 
     `ridge` is the penalty on squared weights per 1000 texts; `fairness` that on squared changes of the
-    score under a swap, averaged over the swaps of each text. Words in fewer than `least_texts` texts,
+    score of a text when its terms are swapped, averaged over the swaps of each text. Words in fewer than `least_texts` texts,
     or whose chi-square against the label is below `least_chi_square`, get no weight. Without rows, or with one label only, the intercept alone is fitted.
     """
     label = rows["label"].to_numpy().astype(float)
@@ -86,10 +138,11 @@ def fit(rows: pa.Table, ridge: float = 0.01, fairness: float = 1.0, least_texts:
     rate = label.mean()
     value = np.abs(joint - spread * rate) / np.sqrt(np.maximum(spread * (1 - spread), 1e-9) * rate * (1 - rate))
     telling = (value**2 * len(label) >= least_chi_square) & (spread * len(label) >= least_texts)
-    kinds = _identity_buckets()
-    for group in kinds:
-        every = [bucket for term in group for bucket in term]
-        telling[every] |= spread[every] > 0
+    # What a swap changes is always fitted; a bucket in none of the texts has no weight, before a swap or after.
+    changed = rows["changed"].combine_chunks().flatten().to_numpy()
+    gained = changed >= 0
+    touched = np.where(gained, changed, ~changed)
+    telling[touched] |= spread[touched] > 0
     names = np.flatnonzero(telling)
     number = np.zeros(BUCKETS, np.int32)
     number[names] = np.arange(len(names))
@@ -98,22 +151,13 @@ def fit(rows: pa.Table, ridge: float = 0.01, fairness: float = 1.0, least_texts:
     del bucket, kept, lists
     spread, value = spread[names], value[names]
     cell = value[column].astype(np.float32)
-    # Swaps: for a text that holds term a, each other term b of the kind changes the score by all buckets of b less all those of a.
-    place = {int(name): k for k, name in enumerate(names)}
-    often, swap, part, sign = [], [], [], []
-    for group in kinds:
-        for a in group:
-            for b in group:
-                if a is b or a[0] not in place:
-                    continue
-                for side, buckets in ((-1.0, set(a) - set(b)), (1.0, set(b) - set(a))):
-                    for k in sorted(place[bucket] for bucket in buckets if bucket in place):
-                        swap.append(len(often))
-                        part.append(k)
-                        sign.append(side)
-                often.append(spread[place[a[0]]] / (len(group) - 1))
-    often, swap, part = np.array(often), np.array(swap, int), np.array(part, int)
-    shift = np.array(sign) * value[part]
+    swaps = rows["swaps"].to_numpy()
+    first = np.cumsum(swaps) - swaps
+    swap = np.repeat(first, rows["changed"].combine_chunks().value_lengths().to_numpy()) + rows["swap"].combine_chunks().flatten().to_numpy()
+    often = np.repeat(1 / np.maximum(swaps, 1), swaps) / len(label)
+    known = telling[touched]
+    swap, part = swap[known], number[touched[known]]
+    shift = np.where(gained[known], 1.0, -1.0) * value[part]
     w, ahead, momentum = np.zeros(len(names) + 1), np.zeros(len(names) + 1), 1.0
     w[-1] = ahead[-1] = bias
     size = np.sqrt((np.bincount(row, weights=cell**2, minlength=len(label)) + 1).mean())
@@ -125,7 +169,7 @@ def fit(rows: pa.Table, ridge: float = 0.01, fairness: float = 1.0, least_texts:
         slope[:-1] += ridge / 1000 * ahead[:-1]
         if len(often):
             change = 2 * fairness * often * np.bincount(swap, weights=shift * ahead[part], minlength=len(often))
-            np.add.at(slope, part, change[swap] * shift)
+            slope[:-1] += np.bincount(part, weights=change[swap] * shift, minlength=len(names))
         after = ahead - step * slope
         faster = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         ahead = after + (momentum - 1) / faster * (after - w)

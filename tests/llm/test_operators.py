@@ -493,9 +493,7 @@ def test_counterfactual_penalty_evens_out_identity_terms():
 
     texts = ["muslim vile"] * 40 + ["christian fine"] * 60 + ["muslim fine"] * 8 + ["christian vile"] * 4
     label = [int("vile" in t) for t in texts]
-    text, bucket = toxicity.features(pa.array(texts))
-    ends = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
-    rows = pa.table({"label": pa.array(label, pa.int32()), "buckets": pa.ListArray.from_arrays(ends, pa.array(bucket.astype(np.int32)))})
+    rows = pa.Table.from_batches([toxicity.learnable(pa.array(label, pa.int32()), pa.array(texts))])
     gap = []
     for fairness in (0.0, 50.0):
         weights, _ = toxicity.fit(rows, fairness=fairness, rounds=2000)
@@ -510,9 +508,7 @@ def test_counterfactual_penalty_covers_all_features_of_a_term():
     for one, other in (("muslim", "christian"), ("gay", "lesbian")):
         texts = [f"{one} vile"] * 40 + [f"{other} fine"] * 60 + [f"{one} fine"] * 8 + [f"{other} vile"] * 4
         label = [int("vile" in t) for t in texts]
-        text, bucket = toxicity.features(pa.array(texts))
-        ends = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
-        rows = pa.table({"label": pa.array(label, pa.int32()), "buckets": pa.ListArray.from_arrays(ends, pa.array(bucket.astype(np.int32)))})
+        rows = pa.Table.from_batches([toxicity.learnable(pa.array(label, pa.int32()), pa.array(texts))])
         gap = []
         for fairness in (0.0, 50.0):
             logits = toxicity._logits(pa.array([f"the {one} neighbours", f"the {other} neighbours"]), toxicity.fit(rows, fairness=fairness, rounds=2000))
@@ -520,6 +516,56 @@ def test_counterfactual_penalty_covers_all_features_of_a_term():
         assert gap[1] < 0.1 * gap[0], gap
 
 
+def test_swaps_turn_all_terms_of_a_kind():
+    import pyarrow as pa
+
+    terms = toxicity.IDENTITY_TERMS["de_status"]
+    got = list(toxicity.swapped("Die Flüchtlinge, Flüchtlingen nicht: und FLÜCHTLINGE; bürger"))
+    assert len(got) == len(terms) - 1 and got[0] == "Die migranten, Flüchtlingen nicht: und migranten; einwanderer"
+    assert list(toxicity.swapped("")) == list(toxicity.swapped("nobody here")) == []
+    assert all(term == term.lower() and toxicity._WORD.fullmatch(term) for kind in toxicity.IDENTITY_TERMS.values() for term in kind)
+    assert all(len(kind) == len(set(kind)) > 1 for kind in toxicity.IDENTITY_TERMS.values())
+    # A word that the text holds anyhow is neither gained nor lost.
+    row = toxicity.learnable(pa.array([1, 0], pa.int32()), pa.array(["les juifs et les musulmans", None])).to_pylist()
+    assert row[0]["swaps"] == 6 and row[1]["swaps"] == 0 and row[1]["changed"] == []
+    own = set(row[0]["buckets"])
+    for nth, other in enumerate(toxicity.swapped("les juifs et les musulmans")):
+        new = {int(b) for b in toxicity.features(pa.array([other]))[1]}
+        changes = [c for s, c in zip(row[0]["swap"], row[0]["changed"], strict=True) if s == nth]
+        assert {c for c in changes if c >= 0} == new - own and {~c for c in changes if c < 0} == own - new
+
+
+def test_neutral_mentions_are_left_alone_in_four_languages():
+    """Texts in which one group is mostly named in toxic sentences: the penalty spares neutral mentions and still finds toxic ones."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    said = {
+        "en": ("the {} are vile scum", "the {} live near the market", "migrants", "residents"),
+        "de": ("die {} sind widerlicher abschaum", "die {} wohnen am markt", "ausländer", "bürger"),
+        "fr": ("les {} sont une ordure infecte", "les {} habitent en ville", "musulmans", "catholiques"),
+        "es": ("los {} son basura asquerosa", "los {} viven en la ciudad", "judíos", "cristianos"),
+    }
+    filler = [f"word{i}" for i in range(60)]
+    texts, label, neutral, toxic = [], [], [], []
+    for bad, fine, target, other in said.values():
+        for i in range(300):
+            vile = i % 3 == 0
+            group = (target if rng.random() < 0.97 else other) if vile else (target if rng.random() < 0.04 else other)
+            texts.append(" ".join(rng.sample(filler, 6) + [(bad if vile and rng.random() < 0.5 else fine).format(group)]))
+            label.append(int(vile))
+        neutral += [" ".join(rng.sample(filler, 6) + [fine.format(target)]) for _ in range(50)]
+        toxic += [" ".join(rng.sample(filler, 6) + [bad.format(group)]) for group in (target, other) for _ in range(25)]
+    rows = pa.Table.from_batches([toxicity.learnable(pa.array(label, pa.int32()), pa.array(texts))])
+    wrong, caught = [], []
+    for fairness in (0.0, 1.0):
+        model = toxicity.fit(rows, fairness=fairness, rounds=2000)
+        wrong.append(int((toxicity._logits(pa.array(neutral), model) >= 0).sum()))
+        caught.append(int((toxicity._logits(pa.array(toxic), model) >= 0).sum()))
+    print("neutral mentions marked toxic, toxic ones caught (of 200), without and with the penalty:", wrong, caught)
+    assert wrong[0] >= 100 and wrong[1] <= 10 and caught[1] >= 190
+
+
 def test_pii(spark):
     card = "4539 1488 0343 6467"
     rows = AWKWARD + [

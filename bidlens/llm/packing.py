@@ -8,6 +8,7 @@ their length.
 
 from __future__ import annotations
 
+import random
 import re
 import struct
 import unicodedata
@@ -252,7 +253,8 @@ def plan_bins(histogram: dict[int, int], capacity: int, branchings: int = 2000)
     best-fit one first, and so on; the first plan found is the incumbent. If it needs more sequences than
     the lower bound, closed ones are opened again, the last first, and other fillings tried. A branch
     ends where its waste so far leaves no plan with fewer sequences than the incumbent. At the bound, or
-    after `branchings` sequences closed anew, the incumbent stands.
+    after `branchings` sequences closed anew, the incumbent stands; where it needs more than the bound,
+    even_plan() and refilled() may still better it.
     """
     pieces = _Pieces(histogram)
     if not pieces.lengths:
@@ -289,7 +291,71 @@ def plan_bins(histogram: dict[int, int], capacity: int, branchings: int = 2000)
         pattern, times = plan.pop()
         pieces.put_back(pattern, times)
         closed -= times
-    return best
+    if least <= bound:
+        return best
+    return refilled(min(best, even_plan(histogram, capacity), key=_sequences), bound, capacity)
+
+
+def _sequences(plan: list[tuple[tuple[int, ...], int]]) -> int:
+    return sum(times for _, times in plan)
+
+
+def even_plan(histogram: dict[int, int], capacity: int, visits: int = 4000) -> list[tuple[tuple[int, ...], int]]:
+    """Bin completion that keeps what is left even: of the fillings of least waste around the largest piece, that whose
+    scarcest length is most plentiful, half as often as it goes. Where most sequences can be full, as with lengths that
+    pair or triple, taking the best fit as often as it goes uses up the lengths that others need."""
+    pieces = _Pieces(histogram)
+    plan: Counter[tuple[int, ...]] = Counter()
+    while pieces.lengths:
+        top, left = pieces.beside_largest()
+        best, most, limit = [], -1, Limit(capacity, visits)
+        for filling, waste in fillings(capacity - top, pieces.lengths, left, limit):
+            plenty = min((left[size] // count for size, count in filling), default=left[top] + 1)
+            if waste < limit.most_waste or plenty > most:
+                best, most, limit.most_waste = filling, plenty, waste
+        pattern = (top, *(size for size, count in best for _ in range(count)))
+        times = max(1, pieces.most_times(pattern) // 2)
+        pieces.take(pattern, times)
+        plan[pattern] += times
+    return list(plan.items())
+
+
+def refilled(plan: list[tuple[tuple[int, ...], int]], bound: int, capacity: int, wasteful: int = 100, rounds: int = 60, most_failures: int = 6) -> list[tuple[tuple[int, ...], int]]:
+    """The plan after sequences with waste were opened together with twice as many others and closed anew, where that saves some.
+
+    So early choices are revised as well as late ones. About `wasteful` sequences of waste are opened a
+    round, or as many equal multiples of them as their patterns stand for, so a round's work doesn't grow
+    with the number of documents. Ends at the bound, after `rounds`, or after `most_failures` rounds in a row that saved none.
+    """
+    rng = random.Random(0)
+    kept, failures = Counter(dict(plan)), 0
+    for _ in range(rounds):
+        if kept.total() <= bound or failures >= most_failures:
+            break
+        loose = {pattern: times for pattern, times in kept.items() if sum(pattern) < capacity}
+        unit = 1
+        while sum(times // (2 * unit) for times in loose.values()) >= wasteful:
+            unit *= 2
+        opened: Counter[tuple[int, ...]] = Counter()
+        for patterns, wanted in ((list(loose), wasteful), ([p for p in kept if p not in loose], 2 * wasteful)):
+            rng.shuffle(patterns)
+            for pattern in patterns:
+                if wanted > 0 and (times := min(wanted, kept[pattern] // unit)):
+                    opened[pattern] = times
+                    wanted -= times
+        sizes: Counter[int] = Counter()
+        for pattern, times in opened.items():
+            for size in pattern:
+                sizes[size] += times
+        closed = even_plan(sizes, capacity)
+        if _sequences(closed) >= opened.total():
+            failures += 1
+            continue
+        failures = 0
+        kept.subtract({pattern: times * unit for pattern, times in opened.items()})
+        kept.update({pattern: times * unit for pattern, times in closed})
+        kept = +kept
+    return list(kept.items())
 
 
 def _slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

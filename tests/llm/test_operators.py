@@ -204,6 +204,25 @@ def test_packing_plans_are_the_best_possible():
         assert packing.lower_bound(histogram, capacity) <= sequences == fewest_bins(items, capacity)
 
 
+@pytest.mark.parametrize(("sequences", "times"), [(300, 1), (3000, 1), (300, 100_000)])
+def test_packing_plans_of_triples_are_near_the_known_least(sequences, times):
+    """Lengths made as triples that fill a sequence each, so the least number is known."""
+    rng, histogram = random.Random(1), {}
+    for _ in range(sequences):
+        while not 500 <= 2048 - sum(pair := (rng.randint(500, 900), rng.randint(500, 900))) <= 900:
+            pass
+        for size in (*pair, 2048 - sum(pair)):
+            histogram[size] = histogram.get(size, 0) + times
+    plan = packing.plan_bins(histogram, 2048)
+    placed = {}
+    for pattern, n in plan:
+        assert sum(pattern) <= 2048 and n > 0
+        for size in pattern:
+            placed[size] = placed.get(size, 0) + n
+    assert placed == histogram and plan == packing.plan_bins(histogram, 2048)
+    assert sequences * times <= sum(n for _, n in plan) <= 1.005 * sequences * times
+
+
 def test_packing_plans_of_many_pieces_meet_the_lower_bound():
     rng = random.Random(8)
     mixed = {}

@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidlens.functions.text import let
 from bidlens.llm.common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -52,17 +53,21 @@ CUES = {
     "iban": "iban|bank|account|compte|konto|cuenta",
 }
 DENIALS = "version|isbn|issn|doi|serial|build|figure|page|chapter|invoice|order no"
-GAZETTEER = {
-    "email": r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|it|eu)$",
-    "ip": r"^(?:10|127|172|192|8)\.",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6)",
-    "phone": r"^\+(?:1|33|34|39|4[1-9]|7)",
-    "phone_local": r"^\(?[2-9]",
-    "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
-    "iban": r"^(?:DE|FR|ES|IT|GB|NL|BE|AT|CH|PT|IE)",
-}
+#: Gazetteers, fixed values: ends of mail domains, calling codes, issuers of cards, lengths of IBANs by country, given names.
+MAIL_ENDS = "com org net edu gov info io de fr es uk it eu ch at be nl pt ie pl ru us ca au br jp in"
+CALLING_ONE, CALLING_TWO = "1 7", "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+#: Three-digit calling codes by their first two digits.
+CALLING_ZONES = "21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99"
+#: First and last four digits of issuers' ranges.
+ISSUERS = ((3000, 3059), (3400, 3499), (3528, 3589), (3600, 3699), (3700, 3799), (3800, 3899), (4000, 4999), (5100, 5599), (2221, 2720), (6011, 6011), (6200, 6299), (6440, 6599))
+IBAN_LENGTHS = {"AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24}
+GIVEN_NAMES = "alice anna anne ben carlos carmen charles claire daniel david elena emily emma eva hans ines isabel jack james jane jean john jose juan julia julie karl laura lea lena louis lucas lucia luis maria marie mark martin mary max michael miguel nina olivia paul pedro peter pierre robert sarah sofia sophie stefan susan thomas tom"
 LABELERS = ("regex", "gazetteer", "cue", "denial", "shape")
 _END = "end"
+#: So many code points before a match, and so many matches of its kind, are looked at for its context.
+REACH, PASSED = 40, 20
+#: Words before a span are features as numbers of so many buckets.
+WORD_BUCKETS = 256
 
 
 def _digits(match: Column) -> Column:
@@ -90,13 +95,51 @@ def _holds(kind: Column, match: Column) -> Column:
     )
 
 
+def _listed(words: str, value: Column) -> Column:
+    return value.isin(*words.split())
+
+
+def in_gazetteer(kind: Column, match: Column) -> Column:
+    """Whether the kind's list holds the match's domain, private network, issuer, calling code, area or country."""
+    digits = _digits(match)
+    four, area = F.left(digits, F.lit(4)), F.left(digits, F.lit(3))
+    issued = F.greatest(*[four.between(str(low), str(high)) for low, high in ISSUERS])
+    country = F.coalesce(*[F.when(F.left(match, F.lit(2)) == code, F.length(match) == size) for code, size in IBAN_LENGTHS.items()], F.lit(False))
+    private = match.rlike(r"^(?:0*10|0*127|0*192\.0*168|0*172\.0*(?:1[6-9]|2[0-9]|3[01]))\.")
+    return (
+        F.when(kind == "email", _listed(MAIL_ENDS, F.lower(F.substring_index(match, ".", -1))))
+        .when(kind == "ip", private)
+        .when(kind == "card", issued)
+        .when(kind == "phone", _listed(CALLING_ONE, F.left(digits, F.lit(1))) | _listed(f"{CALLING_TWO} {CALLING_ZONES}", F.left(digits, F.lit(2))))
+        .when(kind == "phone_local", area.rlike("^[2-9]"))
+        .when(kind == "national_id", ~area.isin("000", "666") & (area < "900") & ~match.rlike("-00-|-0000$"))
+        .when(kind == "iban", country)
+    )
+
+
+def _named(before: Column) -> Column:
+    """Whether a given name, with a capital, is among the words."""
+    return F.arrays_overlap(F.split(before, r"[^\p{L}]+"), F.array(*[F.lit(name.capitalize()) for name in GIVEN_NAMES.split()]))
+
+
+def _before(tails: Column, i: Column) -> Column:
+    """What stands before match i: `REACH` code points, in which up to `PASSED` earlier matches of the kind count as one # each."""
+    own = F.get(tails, i)
+    past = F.array_join(F.slice(tails, F.greatest(i - PASSED, F.lit(0)) + 1, F.least(i, F.lit(PASSED)) + 1), "#")
+    return F.when(F.length(own) >= REACH, own).otherwise(F.right(past, F.lit(REACH)))
+
+
 def _proposals(text: Column, kind: str, pattern: str) -> Column:
-    """Per match in order: kind, match, length of the text before it since the last match, its last 40 code points, the one after."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    made = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(F.lit(kind).alias("kind"), m.alias("match"), F.length(g).alias("gap"), F.right(g, F.lit(40)).alias("before")))
+    """Per match in order: kind, match, length of the text since the last match, what stands before it."""
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).alias("gap"), F.right(g, F.lit(REACH)).alias("tail")))
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), gaps.alias("g"))
+
+    def placed(x: Column) -> Column:
+        sized = F.struct(x["m"].alias("m"), x["g"]["gap"].alias("gap"), x["g"]["tail"].alias("tail"))
+        return let(sized, lambda y: F.transform(y["m"], lambda m, i: F.struct(F.lit(kind).alias("kind"), m.alias("match"), F.get(y["gap"], i).alias("gap"), _before(y["tail"], i).alias("before"))))
+
     there = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(_NEEDS[kind])
-    return F.when(there, made).otherwise(F.array().cast("array<struct<kind:string,match:string,gap:int,before:string>>"))
+    return F.when(there, let(found, placed)).otherwise(F.array().cast("array<struct<kind:string,match:string,gap:int,before:string>>"))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,8 +163,8 @@ def votes(found: DataFrame) -> DataFrame:
     return (
         found.filter(F.col("kind") != _END)
         .withColumn("regex", F.when(F.col("base"), 1))
-        .withColumn("gazetteer", by_kind(GAZETTEER, F.col("match")).cast("int"))
-        .withColumn("cue", F.when(by_kind({k: rf"(?:{v})[^.\n]*$" for k, v in CUES.items()}, low), 1))
+        .withColumn("gazetteer", in_gazetteer(F.col("kind"), F.col("match")).cast("int"))
+        .withColumn("cue", F.when(by_kind({k: rf"(?:{v})[^.\n]*$" for k, v in CUES.items()}, low) | _named(F.col("before")), 1))
         .withColumn("denial", F.when(low.rlike(rf"(?:{DENIALS})[^.\n]*$"), 0))
         .withColumn("shape", F.when((F.length(digits) > 5) & digits.rlike(r"^([0-9])\1*$"), 0))
     )
@@ -163,13 +206,18 @@ def posterior(row: dict, prior: dict, trust: dict[str, tuple[float, float]]) ->
 
 
 def _features(found: DataFrame) -> DataFrame:
-    """One array column of a span's features: its shape, its surroundings and what its labelers looked at; a bounded set of values."""
+    """One array column of a span's features: its shape, the words before it and what its labelers looked at; a bounded set of values."""
+    words = F.filter(F.split(F.lower("before"), r"[^\p{L}]+"), lambda w: F.length(w) > 1)
+    bucket = lambda back: F.coalesce(F.pmod(F.crc32(F.get(words, F.size(words) - back)), F.lit(WORD_BUCKETS)).cast("string"), F.lit("-"))
     shape = F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace("match", "[A-Za-z]+", "a"), "[0-9]+", "0"), r"\s", "_"), 1, 12)
     known = F.when(shape.rlike(r"^[a0._()@+-]{1,8}$"), shape).otherwise("long")
     parts = {
         "kind": F.col("kind"),
         "size": F.least(F.length("match"), F.lit(40)).cast("string"),
         "shape": known,
+        "named": _named(F.col("before")).cast("string"),
+        "word": bucket(1),
+        "word_before": bucket(2),
         "left": F.when(F.col("before") == "", "start").when(F.col("before").rlike(r"\s$"), "blank").when(F.col("before").rlike(r"[:=]$"), "colon").otherwise("other"),
         **{name: F.coalesce(F.col(name).cast("string"), F.lit("-")) for name in LABELERS[1:]},
     }

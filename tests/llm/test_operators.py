@@ -663,6 +663,22 @@ def test_pii_added_spans_need_evidence(spark):
     assert got[200].spans == "phone:0:15" and got[200].n_added == 0
 
 
+def test_pii_context_and_gazetteers(spark):
+    rows = [(i, f"phone {300 + i}-555-01{i:02d}, {301 + i}-555-02{i:02d}, {302 + i}-555-03{i:02d} end") for i in range(30)] + [(50, "Anna 305-555-0199"), (51, "serial 305-555-0142, 306-555-0142")]
+    found = pii.votes(pii.candidates(docs(spark, rows)))
+    got = {(r.doc_id, r.start): r for r in found.collect()}
+    # Earlier matches of the kind count as one #, so the cue before the first is the third's as well.
+    third = got[0, 34]
+    assert third.before == "phone #, #, " and third.cue == 1 and third.end == 46
+    assert got[50, 5].cue == 1 and got[51, 7].denial == 0 and got[51, 21].denial == 0 and got[51, 21].cue is None
+    spans = {r.doc_id: r.spans for r in pii.find_personal_data(docs(spark, rows)).collect()}
+    assert all(spans[i] == "phone_local:6:18,phone_local:20:32,phone_local:34:46" for i in range(30)) and spans[51] == ""
+    known = {("email", "a@b.DE"): True, ("email", "a@b.zzz"): False, ("ip", "172.31.0.1"): True, ("ip", "172.32.0.1"): False, ("card", "2720 0000 0000 0000"): True, ("card", "2721 0000 0000 0000"): False}
+    known |= {("phone", "+353 1 234 5678"): True, ("phone", "+999 1 234 5678"): True, ("phone", "+89 1 234 5678"): False, ("iban", "DE" + "1" * 20): True, ("iban", "DE" + "1" * 19): False, ("national_id", "666-12-3456"): False}
+    frame = spark.createDataFrame([(*key, want) for key, want in known.items()], "kind string, match string, want boolean")
+    assert [r for r in frame.withColumn("got", pii.in_gazetteer(F.col("kind"), F.col("match"))).collect() if r.got != r.want] == []
+
+
 def test_token_counts(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = AWKWARD + [(40, "one\n\n\ntwo\n"), (41, "a\r\nb")]

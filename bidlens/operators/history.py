@@ -214,18 +214,21 @@ def missing_reasons(df: DataFrame, most: int) -> DataFrame:
     return top.join(F.broadcast(total)).select("reason", "n", F.round(F.col("n") * 100.0 / F.col("total"), 4).cast("double").alias("percent"))
 
 
-def vote(answers: DataFrame, key: str, field: str) -> DataFrame:
-    """One value a key of several answers key, nth, value, near.
+def vote(answers: DataFrame, key: str, *fields: str) -> DataFrame:
+    """One value a key and field of several answers key, nth, value, near; all fields in one grouping.
 
     A value scores 0.2 for each answer up to 0.6, 0.2 within the field's range, 0.2 if it stands near the
     field's words; values out of range take part. Of equal scores the field's rule decides, else the first.
     """
-    low, high = R.VOTE_RANGES[field]
     counted = answers.filter("value is not null").groupBy(key, "value").agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("near", F.lit(False))).alias("near"), F.min("nth").alias("first"))
     plus = lambda condition: F.when(condition, 0.2).otherwise(0.0)
-    score = F.least(F.lit(0.6), F.lit(0.2) * F.col("n")) + plus(F.col("value").between(low, high)) + plus(F.col("near"))
-    order = {"largest": F.col("value"), "smallest": -F.col("value")}.get(VOTE_TIES.get(field, ""), -F.col("first"))
-    return counted.groupBy(key).agg(F.max_by("value", F.struct(score.alias("score"), order.alias("order"))).alias(field))
+
+    def best(field: str) -> Column:
+        score = F.least(F.lit(0.6), F.lit(0.2) * F.col("n")) + plus(F.col("value").between(*R.VOTE_RANGES[field])) + plus(F.col("near"))
+        order = {"largest": F.col("value"), "smallest": -F.col("value")}.get(VOTE_TIES.get(field, ""), -F.col("first"))
+        return F.max_by("value", F.struct(score.alias("score"), order.alias("order"))).alias(field)
+
+    return counted.groupBy(key).agg(*[best(field) for field in fields])
 
 
 def vote_currency(answers: DataFrame, key: str) -> DataFrame:

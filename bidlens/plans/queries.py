@@ -283,13 +283,18 @@ def snippet_merge_ranked(spark, sf_dir):
     return _snippet_rows(clause_documents(spark, sf_dir), V.ranked_snippets(F.col("text"), "security"))
 
 
-_WEIGHTS = " ".join(f"WHEN '{w}' THEN {V.keyword_weight(w) * (2 if w in R.SCORED_TWICE else 1)}" for w in R.SECTIONS_SCORED["payment"])
+#: Documents as the scored search reads them.
+_SEARCHED = f"""cd AS (SELECT doc_id, trim(regexp_replace(replace(lower({_NORM.format("coalesce(t.text, '') || chr(10) || coalesce(documents.text, '')")}), 'ё', 'е'), '\\s+', ' ', 'g'), ' ') AS text FROM documents LEFT JOIN t ON t.k = documents.doc_id)"""
 
 
-@query(f"""WITH {_TENDERS},
-cd AS (SELECT doc_id, trim(regexp_replace(replace(lower({_NORM.format("coalesce(t.text, '') || chr(10) || coalesce(documents.text, '')")}), 'ё', 'е'), '\\s+', ' ', 'g'), ' ') AS text FROM documents LEFT JOIN t ON t.k = documents.doc_id),
-{_sql_windows(R.SECTIONS_SCORED['payment'], 900, 1000000, 'start, stop, kw')},
-score AS (SELECT doc_id, island, sum(CASE kw {_WEIGHTS} END) + least(6.0, 1.5 * count(DISTINCT kw) FILTER (kw LIKE '% %' OR kw LIKE '%/%' OR length(kw) >= 10)) + CASE WHEN count(DISTINCT kw) >= 3 THEN 1 ELSE 0 END AS score FROM marked GROUP BY doc_id, island)
+def _sql_scores(section: str) -> str:
+    """Windows around a section's words, and their scores."""
+    weights = " ".join(f"WHEN '{w}' THEN {V.keyword_weight(w) * (2 if w in R.SCORED_TWICE else 1)}" for w in R.SECTIONS_SCORED[section])
+    return f"""{_sql_windows(R.SECTIONS_SCORED[section], 900, 1000000, 'start, stop, kw')},
+score AS (SELECT doc_id, island, sum(CASE kw {weights} END) + least(6.0, 1.5 * count(DISTINCT kw) FILTER (kw LIKE '% %' OR kw LIKE '%/%' OR length(kw) >= 10)) + CASE WHEN count(DISTINCT kw) >= 3 THEN 1 ELSE 0 END AS score FROM marked GROUP BY doc_id, island)"""
+
+
+@query(f"""WITH {_TENDERS}, {_SEARCHED}, {_sql_scores("payment")}
 SELECT * FROM (SELECT merged.doc_id, row_number() OVER (PARTITION BY merged.doc_id ORDER BY score.score DESC, lo) AS nth, lo::BIGINT AS start, round(score.score, 4)::DOUBLE AS score FROM merged JOIN score USING (doc_id, island)) WHERE nth <= 10""")
 def snippet_score_topk(spark, sf_dir):
     """R2, R5, R6."""
@@ -297,7 +302,22 @@ def snippet_score_topk(spark, sf_dir):
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("nth"), F.col("s.offset").cast("long").alias("start"), F.col("s.score").alias("score"))
 
 
-@query()
+def _sql_best(sec: int, section: str) -> str:
+    """The ten best windows of a section as numbered blocks, after its header (number 0)."""
+    return f"""(WITH {_sql_scores(section)},
+best AS (SELECT cut.doc_id, lo, trim(raw, ' ' || chr(10)) AS snippet, score.score AS score, row_number() OVER (PARTITION BY cut.doc_id ORDER BY score.score DESC, lo) AS n FROM cut JOIN score ON cut.doc_id = score.doc_id AND cut.island = score.island WHERE trim(raw, ' ' || chr(10)) <> '')
+SELECT doc_id, {sec} AS sec, n, snippet, '[SNIPPET ' || n || ' | score=' || printf('%.2f', score::DOUBLE) || ' | offset=' || lo || ']' || chr(10) || snippet || chr(10) || chr(10) AS block FROM best WHERE n <= 10
+UNION ALL SELECT doc_id, {sec}, 0, NULL, '### SECTION: {section.upper()}' || chr(10) FROM best WHERE n = 1)"""
+
+
+# All blocks before the first that goes over the cap are whole; that one, if it isn't a header, is cut to the room left.
+@query(f"""WITH {_TENDERS}, {_SEARCHED}, every AS ({" UNION ALL ".join(f"SELECT * FROM {_sql_best(i, name)}" for i, name in enumerate(("price", "payment", "liability", "execution")))}),
+filled AS (SELECT *, sum(length(block)) OVER (PARTITION BY doc_id ORDER BY sec, n) AS total FROM every),
+placed AS (SELECT *, 20000 - total + length(block) AS room, count(*) FILTER (total > 20000) OVER (PARTITION BY doc_id ORDER BY sec, n) AS over FROM filled),
+kept AS (SELECT doc_id, sec, n, CASE WHEN over = 0 THEN block WHEN n = 0 OR room <= length('[SNIPPET ' || n || ']') + 1 THEN ''
+  ELSE '[SNIPPET ' || n || ']' || chr(10) || rtrim(left(snippet, (room - length('[SNIPPET ' || n || ']') - 2)::BIGINT), ' ' || chr(10)) || chr(10) END AS part FROM placed WHERE over <= 1),
+joined AS (SELECT doc_id, trim(string_agg(part, '' ORDER BY sec, n), ' ' || chr(10)) AS t FROM kept GROUP BY doc_id)
+SELECT cd.doc_id, length(coalesce(t, ''))::BIGINT AS n_chars, sha256(coalesce(t, '')) AS text_sha256 FROM cd LEFT JOIN joined ON joined.doc_id = cd.doc_id""")
 def context_budget(spark, sf_dir):
     """Caps as the session sets them."""
     limits = {name: int_option(spark, f"bidlens.context.{name}", default) for name, default in (("cap", 20_000), ("window", 900), ("most", 10))}
@@ -612,7 +632,16 @@ def html_strip(spark, sf_dir):
     return spread(table(spark, sf_dir, "pages")).select("page_id", F.sha2(T.normalize_text(strip_markup(F.col("html"))), 256).alias("text_sha256"))
 
 
-@query()
+# From the formula of the layout: a line is a row, and columns are wide apart, so a row has as many as words.
+@query(r"""WITH w AS (SELECT doc_id, unnest(l) AS word, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '[\t\n\x0B\f\r ]+') AS l FROM documents)),
+p AS (SELECT doc_id, i // 400 AS page, i % 400 // 8 AS line, i % 8 AS spot, word, i % 8 * CASE WHEN doc_id % 5 = 0 THEN 75 ELSE 60 END AS x0, least(58, length(word) * 6) AS wide FROM w),
+c AS (SELECT *, x0 - lag(x0 + wide) OVER (PARTITION BY doc_id, page, line ORDER BY spot) AS gap FROM p WHERE word <> ''),
+r AS (SELECT doc_id, page, line, count(*) AS n, string_agg(CASE WHEN gap IS NULL THEN '' WHEN gap > 11.9 THEN chr(9) ELSE ' ' END || word, '' ORDER BY spot) AS t FROM c GROUP BY ALL),
+b AS (SELECT doc_id, page, count(*) AS n_rows, count(*) FILTER (n >= 3) >= 3 AS is_table, string_agg(t, chr(10) ORDER BY line) AS by_rows FROM r GROUP BY ALL),
+q AS (SELECT doc_id, page, string_agg(word, ' ' ORDER BY line, spot % 2, spot) AS plain FROM p GROUP BY ALL),
+j AS (SELECT q.doc_id, q.page, coalesce(n_rows, 0) AS n_rows, coalesce(is_table, false) AS is_table, plain, coalesce(by_rows, '') AS by_rows FROM q LEFT JOIN b ON b.doc_id = q.doc_id AND b.page = q.page)
+SELECT doc_id, page, n_rows, is_table, sha256(CASE WHEN trim(plain) = '' THEN by_rows WHEN by_rows = '' THEN plain
+  WHEN is_table OR length(by_rows) - length(replace(by_rows, chr(9), '')) >= 5 OR length(by_rows) > length(plain) * 1.1 THEN by_rows ELSE plain END) AS text_sha256 FROM j""")
 def pdf_rows_text(spark, sf_dir):
     """S13-S16 on words laid out from documents: rows, tabs, tables, choice of text."""
     return L.page_texts(L.layout_words(spread(table(spark, sf_dir, "documents"))))
@@ -641,9 +670,7 @@ def merge_vote(spark, sf_dir):
     """The lines of an order as several answers: numbers by score, currency by count, a flag by its words."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber").cast("long") * 10**9 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("nth"), (F.col("l_quantity") % 5 * 100).cast("long").alias("value"), (F.col("l_returnflag") == "N").alias("near"), "l_partkey", (F.col("l_linestatus") == "O").alias("flag"))
     currency = F.element_at(F.array(F.lit("USD"), F.lit("EUR"), F.lit("RUB"), F.lit("GBP")), (F.col("l_partkey") % 4 + 1).cast("int"))
-    out = H.vote(lines, "l_orderkey", "payment_terms_days")
-    for field in ("execution_days", "advance_percent"):
-        out = out.join(H.vote(lines, "l_orderkey", field), "l_orderkey")
+    out = H.vote(lines, "l_orderkey", "payment_terms_days", "execution_days", "advance_percent")
     return out.join(H.vote_currency(lines.withColumn("value", currency), "l_orderkey"), "l_orderkey", "left").join(H.vote_flag(lines.withColumn("value", F.col("flag")), "l_orderkey", "vague"), "l_orderkey")
 
 

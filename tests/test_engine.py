@@ -181,3 +181,17 @@ def test_candidates_are_deduped_and_capped(spark):
     assert len(evidence) == M.MOST_EVIDENCE
     assert [c["rank"] for c in basic] == sorted(c["rank"] for c in basic)
     assert [(c["rank"], c["offset"], c["id"]) for c in ranked] == sorted((c["rank"], c["offset"], c["id"]) for c in ranked)
+
+
+def test_context_under_a_small_cap(spark):
+    """The piece that goes over the cap is cut and ends the context."""
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    spark.conf.set("bidlens.context.cap", "1700")
+    try:
+        got = sorted(map(tuple, Q.QUERIES["context_budget"](spark, SF).select("doc_id", "n_chars", "text_sha256").collect()))
+    finally:
+        spark.conf.unset("bidlens.context.cap")
+    want = con.execute(f"select doc_id, n_chars, text_sha256 from ({Q.SQL['context_budget'].replace('20000', '1700')}) order by 1").fetchall()
+    assert got == want and max(n for _, n, _ in got) > 1600

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,3 +16,17 @@ def spread(df: DataFrame) -> DataFrame:
     """For much work on each row: rows are dealt out anew only where they come in fewer partitions than there are cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
+
+
+def once(rows: DataFrame, key: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """make() of rows by key, worked out once for all rows that differ in their key alone, as copies of a text do.
+
+    make() gets the distinct rows without the key, and a column `of` instead that it must keep: their
+    SHA-256, by which the results are joined back. It gives one row for each of its own.
+    """
+    said = [c for c in rows.columns if c != key]
+    # A fixed list of columns as JSON is another text for every other row; nulls are left out of it.
+    mark = F.unhex(F.sha2(F.to_json(F.struct(*said)), 256))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = rows.select(*said).distinct().withColumn("of", mark).repartition(parts, "of")
+    return rows.select(key, mark.alias("of")).join(make(each), "of").drop("of")

@@ -73,9 +73,14 @@ FROM (SELECT o_orderkey AS k, o_orderkey % 10 AS kind, 5 + (o_orderkey * 7919) %
 """
 
 
-def _of_orders(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def _of_orders(spark: SparkSession, sf_dir: str, sql: str, kept: dict[str, str] | None = None) -> DataFrame:
+    """The SQL over the orders; columns of the orders can be kept beside their key under new names, so that none is joined back."""
+    kept = kept or {}
     # Keys are dealt out before texts are made of them: work a row is much, bytes a row are few.
-    keys = spread(table(spark, sf_dir, "orders").select("o_orderkey"))
+    keys = spread(table(spark, sf_dir, "orders").select("o_orderkey", *kept.values()))
+    beside = "".join(f", {name}" for name in kept)
+    inner = "".join(f", {column} AS {name}" for name, column in kept.items())
+    sql = sql.replace("SELECT k,", f"SELECT k{beside},").replace("SELECT o_orderkey AS k FROM", f"SELECT o_orderkey AS k{inner} FROM")
     return spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=keys)
 
 
@@ -84,10 +89,10 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _of_orders(spark, sf_dir, MIXED_SQL)
 
 
-def tenders(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
-    """A tender for each order; with `only`, which has a column k, for those orders alone."""
+def tenders(spark: SparkSession, sf_dir: str, only: DataFrame | None = None, kept: dict[str, str] | None = None) -> DataFrame:
+    """A tender for each order, with columns of the order by new name; with `only`, which has a column k, for those orders alone."""
     if only is None:
-        return _of_orders(spark, sf_dir, TENDER_SQL)
+        return _of_orders(spark, sf_dir, TENDER_SQL, kept)
     keys = table(spark, sf_dir, "orders").select("o_orderkey")
     keys = keys.join(only, keys["o_orderkey"] == only["k"], "left_semi")
     keys = keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")

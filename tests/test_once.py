@@ -47,3 +47,9 @@ def test_queries_take_each_text_once(spark, name, monkeypatch):
     with pytest.raises(Given) as given:
         __spark_entry__.queries()[name](spark, SF)
     assert "text" in given.value.args[0]
+
+
+@pytest.mark.parametrize("name", ["reason_severity", "report_lines"])
+def test_columns_of_an_order_need_no_join(spark, name):
+    plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan

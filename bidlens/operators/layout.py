@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidlens.functions.text import strip
+from bidlens.functions.text import let, strip
 
 
 def column_index(letters: Column) -> Column:
@@ -17,16 +17,18 @@ def column_index(letters: Column) -> Column:
 def rows_of(words: Column, height: Column) -> Column:
     """Rows of (x0, x1, word); a word starts a row if its middle is off that of the row's first word."""
     tolerance = F.greatest(F.lit(2.0), height * 0.005)
-    items = F.array_sort(F.transform(F.filter(words, lambda w: w["word"] != ""), lambda w: F.struct(((w["y0"] + w["y1"]) / 2).alias("y"), w["x0"].alias("x0"), w["x1"].alias("x1"), w["word"].alias("word"))))
-    kind = "array<struct<y:double,cells:array<struct<x0:double,x1:double,word:string>>>>"
+    items = F.sort_array(F.transform(F.filter(words, lambda w: w["word"] != ""), lambda w: F.struct(((w["y0"] + w["y1"]) / 2).alias("y"), w["x0"].alias("x0"), w["x1"].alias("x1"), w["word"].alias("word"))))
+    state = lambda y, starts, nth: F.struct(y.alias("y"), starts.alias("starts"), nth.alias("nth"))
 
-    def step(done: Column, w: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        cell = F.struct(w["x0"].alias("x0"), w["x1"].alias("x1"), w["word"].alias("word"))
-        grown = F.array_append(F.slice(done, 1, F.size(done) - 1), F.struct(last["y"].alias("y"), F.array_append(last["cells"], cell).alias("cells")))
-        return F.when((F.size(done) > 0) & (F.abs(w["y"] - last["y"]) <= tolerance), grown).otherwise(F.array_append(done, F.struct(w["y"].alias("y"), F.array(cell).alias("cells"))))
+    def step(acc: Column, w: Column) -> Column:
+        same = (F.size(acc["starts"]) > 0) & (F.abs(w["y"] - acc["y"]) <= tolerance)
+        return F.when(same, state(acc["y"], acc["starts"], acc["nth"] + 1)).otherwise(state(w["y"], F.array_append(acc["starts"], acc["nth"]), acc["nth"] + 1))
 
-    return F.transform(F.aggregate(items, F.array().cast(kind), step), lambda r: F.array_sort(r["cells"]))
+    # An accumulator is copied with all it holds at each word, so it holds where rows start, not their words.
+    begun = state(F.lit(None).cast("double"), F.array().cast("array<int>"), F.lit(0))
+    cells = lambda part: F.sort_array(F.transform(part, lambda w: F.struct(w["x0"].alias("x0"), w["x1"].alias("x1"), w["word"].alias("word"))))
+    cut = lambda all_, starts: F.transform(starts, lambda at, n: cells(F.slice(all_, at + 1, F.coalesce(F.get(starts, n + 1), F.size(all_)) - at)))
+    return let(items, lambda all_: let(F.aggregate(all_, begun, step, lambda acc: acc["starts"]), lambda starts: cut(all_, starts)))
 
 
 def text_of(rows: Column, width: Column) -> Column:
@@ -51,7 +53,7 @@ def is_table(rows: Column, width: Column) -> Column:
         return F.when(near > 0, moved).otherwise(F.array_append(centres, cell["x0"]))
 
     counts = F.transform(F.filter(rows, lambda r: F.size(r) >= 3), lambda r: F.size(F.aggregate(r, F.array().cast("array<double>"), add)))
-    kept = F.array_sort(F.filter(counts, lambda n: n >= 2))
+    kept = F.sort_array(F.filter(counts, lambda n: n >= 2))
     median = F.get(kept, (F.size(kept) / 2).cast("int"))
     return F.coalesce((F.size(rows) >= 3) & (F.size(kept) >= 3) & ((median >= 3) | ((median == 2) & (F.size(kept) >= 6))), F.lit(False))
 
@@ -73,10 +75,29 @@ def layout_words(docs: DataFrame, per_line: int = 8, lines: int = 50) -> DataFra
     return placed.withColumn("x1", F.col("x0") + F.least(F.lit(58.0), F.length("word") * 6.0)).withColumn("y1", F.col("y0") + 10.0)
 
 
+def layout_pages(docs: DataFrame, per_line: int = 8, lines: int = 50) -> DataFrame:
+    """The words of layout_words() as one row a page, cut from each document's array: no word is a row of its own, and none is shuffled."""
+    per_page = per_line * lines
+    split = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), r"\s+").alias("all"))
+    numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("all") - 1) / per_page).cast("int")))
+    pages = split.select("doc_id", F.posexplode(F.transform(numbers, lambda n: F.slice("all", n * per_page + 1, per_page))).alias("page", "words"))
+    step = F.when(F.col("doc_id") % 5 == 0, 75.0).otherwise(60.0)
+
+    def place(word: Column, i: Column) -> Column:
+        x0, y0 = i % per_line * step, F.floor(i / per_line) * 14.0 + i % per_line % 2
+        return F.struct(x0.alias("x0"), y0.alias("y0"), (x0 + F.least(F.lit(58.0), F.length(word) * 6.0)).alias("x1"), (y0 + 10.0).alias("y1"), word.alias("word"))
+
+    return pages.select("doc_id", F.col("page").cast("long").alias("page"), F.transform("words", place).alias("words"))
+
+
 def page_texts(words: DataFrame, width: float = 595.0, height: float = 842.0) -> DataFrame:
     """One row a page: its row and table counts and the text chosen. A page's words are bounded by the page."""
-    pages = words.groupBy("doc_id", "page").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1", "word")).alias("words"))
+    return texts_of_pages(words.groupBy("doc_id", "page").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1", "word")).alias("words")), width, height)
+
+
+def texts_of_pages(pages: DataFrame, width: float = 595.0, height: float = 842.0) -> DataFrame:
+    """page_texts() of pages whose words are an array."""
     rows = pages.withColumn("rows", rows_of(F.col("words"), F.lit(height)))
-    plain = F.array_join(F.transform(F.array_sort(F.transform("words", lambda w: F.struct(w["y0"].alias("y"), w["x0"].alias("x"), w["word"].alias("w")))), lambda w: w["w"]), " ")
+    plain = F.array_join(F.transform(F.sort_array(F.transform("words", lambda w: F.struct(w["y0"].alias("y"), w["x0"].alias("x"), w["word"].alias("w")))), lambda w: w["w"]), " ")
     made = rows.withColumn("plain", plain).withColumn("by_rows", text_of(F.col("rows"), F.lit(width))).withColumn("is_table", is_table(F.col("rows"), F.lit(width)))
     return made.select("doc_id", F.col("page").cast("long").alias("page"), F.size("rows").cast("long").alias("n_rows"), "is_table", F.sha2(choose_text(F.col("plain"), F.col("by_rows"), F.col("is_table")), 256).alias("text_sha256"))

@@ -24,11 +24,51 @@ MOST_FILES, MOST_BYTES = 25, 15 * 1024 * 1024
 MOST_ROWS, MOST_COLUMNS, MOST_CSV_ROWS = 300, 30, 1000
 
 
-def scan_folder(spark: SparkSession, path: str, pattern: str = "*", folder: str | None = None) -> DataFrame:
-    """Path, name, ext, size, content of all files under a folder. With `folder`, a file's name is the value of its folder <folder>=<name>, as Spark's writers leave it."""
+def _extension(name: Column) -> Column:
+    return F.lower(F.when(F.contains(name, F.lit(".")), F.substring_index(name, ".", -1)).otherwise(""))
+
+
+def scan_folder(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Path, name, ext, size, content of all files under a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    name = F.element_at(F.split("path", "/"), -1) if folder is None else F.regexp_extract("path", f"/{folder}=([^/]+)/", 1)
-    return files.select("path", name.alias("name"), F.lower(F.when(F.contains(name, F.lit(".")), F.substring_index(name, ".", -1)).otherwise("")).alias("ext"), F.col("length").alias("size"), "content")
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select("path", name.alias("name"), _extension(name).alias("ext"), F.col("length").alias("size"), "content")
+
+
+#: Members of a bundle by the code points that each may have, so that no bundle is much more than 64 MB.
+BUNDLES = ((1 << 14, 1024), (1 << 18, 64), (None, 1))
+#: Ends a member; parts its name from its text; stands before the digit that either, or itself, is spelled as.
+_END, _PART, _ESCAPE = "\x1e", "\x1f", "\x1b"
+
+
+def _spelled(text: Column) -> Column:
+    odd = F.replace(F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + "0")), F.lit(_END), F.lit(_ESCAPE + "1")), F.lit(_PART), F.lit(_ESCAPE + "2"))
+    return F.when(text.rlike("[\x1b\x1e\x1f]"), odd).otherwise(text)
+
+
+def _read_back(text: Column) -> Column:
+    plain = F.replace(F.replace(F.replace(text, F.lit(_ESCAPE + "2"), F.lit(_PART)), F.lit(_ESCAPE + "1"), F.lit(_END)), F.lit(_ESCAPE + "0"), F.lit(_ESCAPE))
+    return F.when(F.contains(text, F.lit(_ESCAPE)), plain).otherwise(text)
+
+
+def write_bundles(rows: DataFrame, path: str, member: str = "member", body: str = "body") -> None:
+    """Small files as members of few large ones: a file each would cost more to open than to read. `member` is a file's path in the bundle, `body` its text; null is empty."""
+    rows = rows.select(member, F.coalesce(body, F.lit("")).alias(body))
+    floor = -1
+    for most, members in BUNDLES:
+        here = rows.filter((F.length(body) > floor) & (F.length(body) <= most if most else F.lit(True)))
+        lines = here.select(F.concat(_spelled(F.col(member)), F.lit(_PART), _spelled(F.col(body))).alias("value"))
+        lines.write.mode("append").option("lineSep", _END).option("maxRecordsPerFile", members).text(path)
+        floor = most
+
+
+def scan_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """As scan_folder(), for the members of the bundles under a folder; a member's path stands after that of its bundle."""
+    found = scan_folder(spark, path).select("path", F.explode(F.split(F.col("content").cast("string"), _END, -1)).alias("said")).filter("said <> ''")
+    parts = found.select(F.col("path").alias("bundle"), F.split("said", _PART, -1).alias("p"))
+    files = parts.select(F.concat("bundle", F.lit("/"), _read_back(F.col("p")[0])).alias("path"), _read_back(F.col("p")[1]).cast("binary").alias("content"))
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select("path", name.alias("name"), _extension(name).alias("ext"), F.length("content").cast("long").alias("size"), "content")
 
 
 def check_packages(files: DataFrame, package: str, text: str | None = None) -> DataFrame:
@@ -46,9 +86,8 @@ def check_packages(files: DataFrame, package: str, text: str | None = None) -> D
 
 
 def read_packages(files: DataFrame, package: str) -> DataFrame:
-    """Package, n_files, refused, n_chars of files as scan_folder() gives them, with a column of their package; texts are joined back by path."""
-    texts = document_texts(files).select("path", "text")
-    return check_packages(files.drop("content").join(texts, "path", "left"), package, "text")
+    """Package, n_files, refused, n_chars of files as scan_folder() gives them, with a column of their package."""
+    return check_packages(document_texts(files, package, "size"), package, "text")
 
 
 def strip_markup(xml: Column) -> Column:
@@ -179,19 +218,19 @@ def xlsx_texts(files: DataFrame) -> DataFrame:
     return sheets.groupBy("path").agg(F.array_join(F.sort_array(F.collect_list(F.struct("sheet", body.alias("body"))))["body"], "\n").alias("text"))
 
 
-def document_texts(files: DataFrame) -> DataFrame:
-    """Path, name, ext, text, error; old spreadsheets and unknown types have an error and no text."""
+def document_texts(files: DataFrame, *kept: str) -> DataFrame:
+    """Path, name, ext, text, error, and the columns to be kept; old spreadsheets and unknown types have an error and no text."""
     ext, content = F.col("ext"), F.col("content")
     # Python sees every row, whatever the branch; so it gets only the contents that are for it.
     of = lambda kind: F.when(ext == kind, content)
     simple = files.filter(ext != "xlsx").select(
-        "path", "name", "ext",
+        "path", "name", "ext", *kept,
         F.when(ext == "docx", docx_text(of("docx"))).when(ext == "doc", doc_text(content)).when(ext == "txt", plain_text(content)).when(ext == "csv", csv_text(of("csv"))).alias("raw"),
     )
     books = files.filter(ext == "xlsx")
-    sheets = books.select("path", "name", "ext").join(xlsx_texts(books).withColumnRenamed("text", "raw"), "path", "left").select("path", "name", "ext", F.coalesce("raw", F.lit("")).alias("raw"))
+    sheets = books.select("path", "name", "ext", *kept).join(xlsx_texts(books).withColumnRenamed("text", "raw"), "path", "left").select("path", "name", "ext", *kept, F.coalesce("raw", F.lit("")).alias("raw"))
     error = F.when(ext == "xls", "Legacy XLS is not supported").when(~ext.isin(*SUPPORTED), F.concat(F.lit("Unsupported type: "), ext))
-    return simple.unionByName(sheets).select("path", "name", "ext", cap_text(F.col("raw")).alias("text"), error.alias("error"))
+    return simple.unionByName(sheets).select("path", "name", "ext", cap_text(F.col("raw")).alias("text"), error.alias("error"), *kept)
 
 
 def valid_input(text: Column, cost: Column, margin: Column, provider: Column) -> Column:

@@ -12,24 +12,23 @@ from pyspark.sql import functions as F
 from bidlens.functions.text import count_hits, find_all, find_word, let, normalize_for_search, quoted, running_max, strip
 from bidlens.rules import SCORED_TWICE, SECTIONS_BASIC, SECTIONS_EVIDENCE, SECTIONS_RANKED, SECTIONS_SCORED
 
-_HIT = "array<struct<start:int,end:int,nth:int,keyword:string>>"
-
 
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
     """Array of (start, end, nth, keyword): all occurrences of all keywords in any case, by start, then list order."""
-    return let(F.lower(text), lambda low: _hits(text, low, keywords))
+    # A letter whose lower case is longer would shift what follows; then the text itself is searched.
+    told = lambda low: F.struct(text.alias("text"), low.alias("low"), (F.length(low) == F.length(text)).alias("same"))
+    return let(let(F.lower(text), told), lambda x: _hits(x["text"], x["low"], x["same"], keywords))
 
 
-def _hits(text: Column, low: Column, keywords: list[str]) -> Column:
+def _hits(text: Column, low: Column, same: Column, keywords: list[str]) -> Column:
     named = F.array(*[F.struct(F.lit(n).alias("nth"), F.lit(word).alias("keyword"), F.lit(quoted(word)).alias("pattern")) for n, word in enumerate(keywords)])
 
     def of(k: Column) -> Column:
-        # A letter whose lower case is longer would shift what follows; then the text itself is searched.
-        starts = F.when(F.length(low) == F.length(text), find_word(low, k["keyword"])).otherwise(F.transform(find_all(text, k["pattern"]), lambda m: m["start"]))
-        placed = F.transform(starts, lambda at: F.struct(at.alias("start"), (at + F.length(k["keyword"])).alias("end"), k["nth"].alias("nth"), k["keyword"].alias("keyword")))
-        return F.when(F.contains(low, k["keyword"]), placed).otherwise(F.array().cast(_HIT))
+        starts = F.when(same, find_word(low, k["keyword"])).otherwise(F.transform(find_all(text, k["pattern"]), lambda m: m["start"]))
+        return F.transform(starts, lambda at: F.struct(at.alias("start"), (at + F.length(k["keyword"])).alias("end"), k["nth"].alias("nth"), k["keyword"].alias("keyword")))
 
-    return F.array_sort(F.flatten(F.transform(named, of)))
+    there = F.filter(named, lambda k: F.contains(low, k["keyword"]))
+    return F.array_sort(F.flatten(F.transform(there, of)))
 
 
 def merge_windows(hits: Column, size: Column, window: int, order: str = "nth") -> Column:
@@ -108,7 +107,10 @@ def _scored(low: Column, words: list[str], window: int, most: int) -> Column:
 
 def context(text: Column, sections: tuple[str, ...] = ("price", "payment", "liability", "execution"), cap: int = 20_000, window: int = 900, most: int = 10) -> Column:
     """Headers and numbered snippets of all sections while they fit; the first that doesn't is cut to the room left, and ends it. The cap is 1000 at least."""
-    cap = max(1_000, cap)
+    return let(normalize_for_search(text), lambda low: _context(low, sections, max(1_000, cap), window, most))
+
+
+def _context(low: Column, sections: tuple[str, ...], cap: int, window: int, most: int) -> Column:
     state = lambda text, full: F.struct(text.alias("text"), full.alias("full"))
     yes, no = F.lit(True), F.lit(False)
 
@@ -131,7 +133,7 @@ def context(text: Column, sections: tuple[str, ...] = ("price", "payment", "liab
             numbered = F.transform(snippets, lambda s, i: F.struct((i + 1).alias("n"), s["snippet"].alias("snippet"), s["score"].alias("score"), s["offset"].alias("offset")))
             return F.aggregate(numbered, begun, add)
 
-        return let(F.struct(total.alias("t"), scored_snippets(text, name, window, most).alias("s")), fill)
+        return let(F.struct(total.alias("t"), _scored(low, SECTIONS_SCORED[name], window, most).alias("s")), fill)
 
     total = state(F.lit(""), no)
     for name in sections:

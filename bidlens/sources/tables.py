@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
 
 
+def _sha256(rows: DataFrame) -> Column:
+    """SHA-256 of a row: equal for rows that distinct() takes as equal, and never null, as a join would work out a null's filter besides."""
+
+    def said(field: Y.StructField) -> Column:
+        value, kind = F.col(field.name), field.dataType
+        if isinstance(kind, (Y.StructType, Y.ArrayType, Y.MapType)):
+            value = F.to_json(F.struct(value))
+        elif isinstance(kind, (Y.FloatType, Y.DoubleType)):
+            value = F.when(value == 0, F.lit(0).cast(kind)).otherwise(value)  # there is a zero below zero, too
+        text = value.cast("string")
+        return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.coalesce(F.unhex(F.sha2(F.concat(*[said(field) for field in rows.schema]), 256)), F.lit(bytearray()))
+
+
 def once(rows: DataFrame, key: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """make() of rows by key, worked out once for all rows that differ in their key alone, as copies of a text do.
 
@@ -25,8 +41,7 @@ def once(rows: DataFrame, key: str, make: Callable[[DataFrame], DataFrame]) -> D
     SHA-256, by which the results are joined back. It gives one row for each of its own.
     """
     said = [c for c in rows.columns if c != key]
-    # A fixed list of columns as JSON is another text for every other row; nulls are left out of it.
-    mark = F.unhex(F.sha2(F.to_json(F.struct(*said)), 256))
+    mark = _sha256(rows.select(*said))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = rows.select(*said).distinct().withColumn("of", mark).repartition(parts, "of")
     return rows.select(key, mark.alias("of")).join(make(each), "of").drop("of")

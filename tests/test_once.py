@@ -53,3 +53,17 @@ def test_queries_take_each_text_once(spark, name, monkeypatch):
 def test_columns_of_an_order_need_no_join(spark, name):
     plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_rows_equal_to_distinct_are_joined_back(spark):
+    """A zero below zero is the same to distinct(), so it must be to the mark; what lies on either side of a column's end is not."""
+    rows = spark.createDataFrame([(1, "а", 0.0, None), (2, "а", -0.0, None), (3, "а1:б", 1.0, ""), (4, "а", 1.0, "1:б"), (5, None, float("nan"), "а"), (6, None, float("nan"), "а")], "k long, text string, x double, other string")
+    got = once(rows, "k", lambda texts: texts.select("of", "text", F.col("x").cast("string").alias("x"), "other")).collect()
+    assert sorted((r.k, r.text, r.x, r.other) for r in got) == [(1, "а", "0.0", None), (2, "а", "0.0", None), (3, "а1:б", "1.0", ""), (4, "а", "1.0", "1:б"), (5, None, "NaN", "а"), (6, None, "NaN", "а")]
+
+
+def test_a_row_is_marked_once_a_side(spark):
+    """The join would add a filter on null marks, which works the mark out again for every row."""
+    rows = spark.range(0, 90).select(F.col("id").alias("k"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("text"))
+    plan = once(rows, "k", lambda texts: texts.select("of", F.length("text").alias("n")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 2 and "to_json" not in plan

@@ -38,10 +38,13 @@ def once(rows: DataFrame, key: str, make: Callable[[DataFrame], DataFrame]) -> D
     """make() of rows by key, worked out once for all rows that differ in their key alone, as copies of a text do.
 
     make() gets the distinct rows without the key, and a column `of` instead that it must keep: their
-    SHA-256, by which the results are joined back. It gives one row for each of its own.
+    SHA-256, by which the results are joined back. It gives any number of rows for each of its own; what unfolds
+    lists belongs there, too, where it is done once a text and not once a row.
     """
     said = [c for c in rows.columns if c != key]
     mark = _sha256(rows.select(*said))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A task takes up to a second to get make()'s long expressions ready, so there are no more tasks than keep all cores busy.
+    session = rows.sparkSession
+    parts = min(int(session.conf.get("spark.sql.shuffle.partitions")), max(24, 3 * session.sparkContext.defaultParallelism))
     each = rows.select(*said).distinct().withColumn("of", mark).repartition(parts, "of")
     return rows.select(key, mark.alias("of")).join(make(each), "of").drop("of")

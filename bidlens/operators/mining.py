@@ -48,7 +48,7 @@ def _count(*signals: Column) -> Column:
 
 
 def _hits(text: Column, words: list[str]) -> Column:
-    return _count(*[F.contains(text, F.lit(word)) for word in words])
+    return let(text, lambda t: _count(*[F.contains(t, F.lit(word)) for word in words]))
 
 
 def _best(candidates: Column) -> Column:
@@ -150,21 +150,22 @@ def price_evidence(snippets: Column) -> Column:
     """C11: numbers on a line with a price keyword and on the two lines after it; the twelve first by confidence, offset and id."""
 
     def of_snippet(s: Column) -> Column:
-        rows = F.split(s["snippet"], "\n", -1)
-        excluded = _hits(F.lower(s["snippet"]), R.NMCK_EXCLUSIONS)
+        seen = F.struct(F.split(s["snippet"], "\n", -1).alias("rows"), _hits(F.lower(s["snippet"]), R.NMCK_EXCLUSIONS).alias("excluded"))
+        return let(seen, lambda x: of_rows(s, x["rows"], x["excluded"]))
 
-        def of_line(line: Column, i: Column) -> Column:
-            low = F.lower(line)
+    def of_rows(s: Column, rows: Column, excluded: Column) -> Column:
+        def of_line(low: Column, i: Column) -> Column:
             zone = F.array_join(F.slice(rows, i + 1, 3), "\n")
             anchors = _hits(low, R.NMCK_ANCHORS_EVIDENCE)
             others = _hits(low, R.NMCK_KEYWORDS_EVIDENCE) - anchors
             confidence = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(0.45) + anchors * F.lit(0.28) + others * F.lit(0.04) - excluded * F.lit(0.2)))
             before = F.coalesce(F.aggregate(F.slice(rows, 1, i), F.lit(0), lambda n, x: n + F.length(x) + 1), F.lit(0))
-            amounts = F.regexp_extract_all(zone, F.lit(R.AMOUNT_EVIDENCE), F.lit(0))
-            made = F.transform(amounts, lambda raw: F.struct(F.round(-confidence, 6).alias("rank"), (s["offset"] + before).alias("offset"), raw.alias("raw"), parse_money_grouped(raw).cast("double").alias("value"), zone.alias("quote")))
+            amounts = lambda z: F.regexp_extract_all(z["zone"], F.lit(R.AMOUNT_EVIDENCE), F.lit(0))
+            read = lambda z: F.transform(amounts(z), lambda raw: F.struct(z["rank"].alias("rank"), z["offset"].alias("offset"), raw.alias("raw"), parse_money_grouped(raw).cast("double").alias("value"), z["zone"].alias("quote")))
+            made = let(F.struct(zone.alias("zone"), F.round(-confidence, 6).alias("rank"), (s["offset"] + before).alias("offset")), read)
             return F.when(any_of(low, R.NMCK_KEYWORDS_EVIDENCE), made).otherwise(F.array().cast("array<struct<rank:double,offset:int,raw:string,value:double,quote:string>>"))
 
-        return F.flatten(F.transform(rows, of_line))
+        return F.flatten(F.transform(rows, lambda line, i: let(F.lower(line), lambda low: of_line(low, i))))
 
     every = F.flatten(F.transform(snippets, of_snippet))
     named = F.transform(every, lambda c, i: F.struct(c["rank"].alias("rank"), c["offset"].alias("offset"), F.concat(F.lit("nmck_"), (i + 1).cast("string")).alias("id"), c["value"].alias("value"), c["raw"].alias("raw"), c["quote"].alias("quote")))
@@ -231,14 +232,17 @@ def payment_evidence(snippets: Column) -> Column:
     """Up to three candidates a snippet: no advance, an advance, a term."""
 
     def mine(s: Column) -> Column:
-        text, low = s["snippet"], F.lower(s["snippet"])
+        return let(F.struct(F.lower(s["snippet"]).alias("low"), first_days(s["snippet"], R.PAY_DAYS_EVIDENCE).alias("explicit")), lambda x: told(s["snippet"], s, x["low"], x["explicit"]))
+
+    def told(text: Column, s: Column, low: Column, explicit: Column) -> Column:
+        loose = first_days(text, r"(?iuU)(\d{1,4})\s*(рабоч\w*|календар\w*)?\s*дн(?:я|ей|ь)?")
+        strict = explicit["days"].isNotNull()
+        return let(F.when(strict, explicit).when(any_of(low, ["оплат", "расчет", "платеж"]), loose), lambda pair: judge(text, s, low, strict, pair))
+
+    def judge(text: Column, s: Column, low: Column, strict: Column, pair: Column) -> Column:
         denied = low.rlike(R.NO_ADVANCE)
         percent = F.replace(some(F.regexp_extract(text, r"(?iuU)(\d{1,3}(?:[.,]\d+)?)\s*(?:%|процент\w*)", 1)), F.lit(","), F.lit(".")).try_cast("double")
         given = low.rlike(r"(?iuU)\bаванс\w*\b") & ~low.rlike(r"(?iuU)не\s+предусмотрен")
-        explicit = first_days(text, R.PAY_DAYS_EVIDENCE)
-        loose = first_days(text, r"(?iuU)(\d{1,4})\s*(рабоч\w*|календар\w*)?\s*дн(?:я|ей|ь)?")
-        strict = explicit["days"].isNotNull()
-        pair = F.when(strict, explicit).when(any_of(low, ["оплат", "расчет", "платеж"]), loose)
         trigger = F.coalesce(*[F.when(any_of(low, words), name) for name, words in R.PAY_TRIGGERS.items()], F.lit("after_acceptance"))
         shape = "struct<rank:double,offset:int,allowed:boolean,advance_percent:double,days:int,type:string,trigger:string,quote:string>"
         start = starts_of(text, R.PAY_DAYS_EVIDENCE)
@@ -304,12 +308,15 @@ def execution_evidence(snippets: Column) -> Column:
     """An explicit term, else any days near the words; and the span of all dates."""
 
     def mine(s: Column) -> Column:
-        text, low = s["snippet"], F.lower(s["snippet"])
-        explicit = first_days(text, R.EXEC_DAYS_EVIDENCE)
+        dates = F.transform(F.regexp_extract_all(s["snippet"], F.lit(r"(?U)\b(\d{2}\.\d{2}\.\d{4})\b"), F.lit(1)), parse_date)
+        return let(F.struct(first_days(s["snippet"], R.EXEC_DAYS_EVIDENCE).alias("explicit"), dates.alias("dates")), lambda x: told(s["snippet"], s, x["explicit"], x["dates"]))
+
+    def told(text: Column, s: Column, explicit: Column, dates: Column) -> Column:
         loose = first_days(text, r"(?iuU)(\d{1,4})\s*(рабоч\w*|календар\w*)?\s*дн(?:я|ей|ь)?")
         strict = explicit["days"].isNotNull()
-        pair = F.when(strict, explicit).when(any_of(low, ["срок", "поставк", "исполн", "оказани"]), loose)
-        dates = F.transform(F.regexp_extract_all(text, F.lit(r"(?U)\b(\d{2}\.\d{2}\.\d{4})\b"), F.lit(1)), parse_date)
+        return let(F.when(strict, explicit).when(any_of(F.lower(text), ["срок", "поставк", "исполн", "оказани"]), loose), lambda pair: judge(text, s, strict, pair, dates))
+
+    def judge(text: Column, s: Column, strict: Column, pair: Column, dates: Column) -> Column:
         span = F.datediff(F.array_max(dates), F.array_min(dates))
         start = starts_of(text, R.EXEC_DAYS_EVIDENCE)
         shape = "struct<rank:double,offset:int,days:int,type:string,quote:string>"
@@ -381,7 +388,11 @@ def penalty_evidence(snippets: Column) -> Column:
         named = text.rlike("(?iuU)штраф")
         percent = F.when(named, F.replace(some(F.regexp_extract(text, r"(?iuU)(\d{1,3}(?:[.,]\d+)?)\s*(?:%|процент\w*)", 1)), F.lit(","), F.lit(".")).try_cast("double"))
         bound = lambda words: F.when(named, parse_money_grouped(some(F.regexp_extract(text, rf"(?iuU)не\s+{words}\s+([0-9\s  .,]+)", 1))).cast("double"))
-        least, most = bound("менее"), bound("более")
+        found = F.struct(fraction.alias("fraction"), percent.alias("percent"), bound("менее").alias("least"), bound("более").alias("most"))
+        return let(found, lambda x: judge(s, nth, text, x))
+
+    def judge(s: Column, nth: Column, text: Column, x: Column) -> Column:
+        fraction, percent, least, most = x["fraction"], x["percent"], x["least"], x["most"]
         decree = F.contains(text, F.lit("1042"))
         fined = F.coalesce(percent, least, most).isNotNull()
         confidence = F.lit(0.62) + _bonus(fraction.isNotNull(), 0.2) + _bonus(fined, 0.12) + _bonus(decree, 0.05)

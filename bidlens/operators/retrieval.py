@@ -13,11 +13,16 @@ from bidlens.functions.text import count_hits, find_all, find_word, let, normali
 from bidlens.rules import SCORED_TWICE, SECTIONS_BASIC, SECTIONS_EVIDENCE, SECTIONS_RANKED, SECTIONS_SCORED
 
 
-def keyword_hits(text: Column, keywords: list[str]) -> Column:
-    """Array of (start, end, nth, keyword): all occurrences of all keywords in any case, by start, then list order."""
+def cased(text: Column) -> Column:
+    """(low, same): the text in lower case, which takes as long as all else in a search, and whether it is as long as the text."""
+    return let(F.lower(text), lambda low: F.struct(low.alias("low"), (F.length(low) == F.length(text)).alias("same")))
+
+
+def keyword_hits(text: Column, keywords: list[str], lower: Column | None = None) -> Column:
+    """Array of (start, end, nth, keyword): all occurrences of all keywords in any case, by start, then list order. `lower` is cased() of the text where a row has it already."""
     # A letter whose lower case is longer would shift what follows; then the text itself is searched.
-    told = lambda low: F.struct(text.alias("text"), low.alias("low"), (F.length(low) == F.length(text)).alias("same"))
-    return let(let(F.lower(text), told), lambda x: _hits(x["text"], x["low"], x["same"], keywords))
+    hits = lambda x: _hits(text, x["low"], x["same"], keywords)
+    return let(cased(text), hits) if lower is None else hits(lower)
 
 
 def _hits(text: Column, low: Column, same: Column, keywords: list[str]) -> Column:
@@ -58,24 +63,24 @@ def cut_out(text: Column, windows: Column) -> Column:
     return F.filter(pieces, lambda p: p["snippet"] != "")
 
 
-def basic_snippets(text: Column, section: str, window: int = 700, most: int = 6) -> Column:
+def basic_snippets(text: Column, section: str, window: int = 700, most: int = 6, lower: Column | None = None) -> Column:
     """The first `most` merged windows of normalised text."""
-    hits = keyword_hits(text, SECTIONS_BASIC[section])
+    hits = keyword_hits(text, SECTIONS_BASIC[section], lower)
     return cut_out(text, F.slice(merge_windows(hits, F.length(text), window), 1, most))
 
 
-def ranked_snippets(text: Column, section: str, window: int = 350, most: int = 8) -> Column:
+def ranked_snippets(text: Column, section: str, window: int = 350, most: int = 8, lower: Column | None = None) -> Column:
     """The windows with most keyword hits, by offset again."""
     words = SECTIONS_RANKED[section]
-    pieces = cut_out(text, merge_windows(keyword_hits(text, words), F.length(text), window, "keyword"))
+    pieces = cut_out(text, merge_windows(keyword_hits(text, words, lower), F.length(text), window, "keyword"))
     scored = F.transform(pieces, lambda p: F.struct((-count_hits(F.lower(p["snippet"]), words)).alias("rank"), p["offset"].alias("offset"), p["snippet"].alias("snippet"), p["keyword"].alias("keyword"), p["found"].alias("found")))
     best = F.slice(F.array_sort(scored), 1, most)
     return F.array_sort(F.transform(best, lambda p: F.struct(p["offset"].alias("offset"), p["snippet"].alias("snippet"), p["keyword"].alias("keyword"), p["found"].alias("found"))))
 
 
-def evidence_snippets(text: Column, section: str, window: int = 800, most: int = 10) -> Column:
+def evidence_snippets(text: Column, section: str, window: int = 800, most: int = 10, lower: Column | None = None) -> Column:
     """The first `most` merged windows, hits by offset, then keyword."""
-    hits = keyword_hits(text, SECTIONS_EVIDENCE[section])
+    hits = keyword_hits(text, SECTIONS_EVIDENCE[section], lower)
     return cut_out(text, F.slice(merge_windows(hits, F.length(text), window, "keyword"), 1, most))
 
 

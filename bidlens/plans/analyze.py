@@ -14,7 +14,7 @@ from bidlens.functions.numbers import parse_money, safe_number, to_calendar
 from bidlens.functions.text import any_of, clip_centred, count_hits, find_all, let, normalize_text
 from bidlens.operators import mining as M
 from bidlens.operators.corpus import blocks
-from bidlens.operators.retrieval import basic_snippets, evidence_snippets, ranked_snippets
+from bidlens.operators.retrieval import basic_snippets, cased, evidence_snippets, ranked_snippets
 from bidlens.operators.risk import danger_phrases, financials, risk, safe_cost, verdict
 
 VARIANTS = ("basic", "ranked", "evidence")
@@ -52,7 +52,7 @@ def _core_fine(text: Column) -> Column:
 def _basic(df: DataFrame) -> DataFrame:
     """R1, C1-C4, C15, G1, G5, G6."""
     text = F.col("corpus")
-    df = df.withColumns({f"s_{section}": basic_snippets(text, section) for section in R.SECTIONS_BASIC} | {"files": blocks(text)})
+    df = df.withColumns({f"s_{section}": basic_snippets(text, section, lower=F.col("cased")) for section in R.SECTIONS_BASIC} | {"files": blocks(text)})
     df = df.withColumns(
         {
             "c_price": M.price_basic(text, F.col("s_price"), F.col("files")),
@@ -79,7 +79,7 @@ def _basic(df: DataFrame) -> DataFrame:
 def _ranked(df: DataFrame) -> DataFrame:
     """R3, C6-C9, G2, G3, G7."""
     text = F.col("corpus")
-    df = df.withColumns({f"s_{section}": ranked_snippets(text, section) for section in ("price", "payment", "execution", "liability")})
+    df = df.withColumns({f"s_{section}": ranked_snippets(text, section, lower=F.col("cased")) for section in ("price", "payment", "execution", "liability")})
     df = df.withColumns(
         {
             "price": M.best(M.price_ranked(text, F.col("s_price"))),
@@ -96,7 +96,7 @@ def _ranked(df: DataFrame) -> DataFrame:
             "penalty_percent_per_day": F.col("penalty.per_day"),
             "fine_percent": F.col("penalty.fine"),
             "advance_percent": _null(),
-            "vague": F.lower(text).rlike(R.TRAPS_RANKED["has_vague_acceptance_terms"]),
+            "vague": F.col("cased.low").rlike(R.TRAPS_RANKED["has_vague_acceptance_terms"]),
             "quote": F.col("price.quote"),
         }
     )
@@ -105,13 +105,12 @@ def _ranked(df: DataFrame) -> DataFrame:
 def _evidence(df: DataFrame) -> DataFrame:
     """Conservative terms over all payment candidates, no advance if any candidate says so."""
     text = F.col("corpus")
-    for section in R.SECTIONS_EVIDENCE:
-        df = df.withColumn(f"s_{section}", evidence_snippets(text, section))
+    df = df.withColumns({f"s_{section}": evidence_snippets(text, section, lower=F.col("cased")) for section in R.SECTIONS_EVIDENCE})
     anchors = {"price": ["начальная (максимальная) цена", "нмцк", "цена контракта"], "payment": ["оплат", "расчет", "аванс", "счет"], "execution": ["срок", "поставк", "исполн", "оказани"], "penalty": ["пеня", "неустой", "штраф", "1042"]}
 
     def choose(candidates: Column, words: list[str]) -> Column:
         ordered = F.array_sort(candidates)
-        anchored = F.filter(ordered, lambda c: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(c["quote"]), w)))
+        anchored = F.filter(ordered, lambda c: any_of(F.lower(c["quote"]), words))
         return F.coalesce(F.try_element_at(anchored, F.lit(1)), F.try_element_at(ordered, F.lit(1)))
 
     df = (
@@ -142,20 +141,20 @@ def _evidence(df: DataFrame) -> DataFrame:
 
 def facts(df: DataFrame, variant: str, text_col: str = "text") -> DataFrame:
     """The input's columns and the variant's facts, with its snippets and candidates."""
-    df = df.withColumn("corpus", normalize_text(F.coalesce(F.col(text_col), F.lit(""))))
+    df = df.withColumn("corpus", normalize_text(F.coalesce(F.col(text_col), F.lit("")))).withColumn("cased", cased(F.col("corpus")))
     return {"basic": _basic, "ranked": _ranked, "evidence": _evidence}[variant](df)
 
 
-def traps(text: Column, variant: str) -> dict[str, Column]:
-    """G19."""
+def traps(text: Column, variant: str, low: Column | None = None) -> dict[str, Column]:
+    """G19. `low` is the text in lower case where a row has it already."""
     table = R.TRAPS_RANKED if variant == "ranked" else R.TRAPS_BASIC
-    low = F.lower(text) if variant == "ranked" else text
+    low = text if variant != "ranked" else F.lower(text) if low is None else low
     return {name: F.coalesce(low.rlike(pattern), F.lit(False)) for name, pattern in table.items() if name != "has_vague_acceptance_terms"}
 
 
-def section_hits(text: Column) -> dict[str, Column]:
-    """Keyword hits of each counted section."""
-    low = F.lower(text)
+def section_hits(text: Column, low: Column | None = None) -> dict[str, Column]:
+    """Keyword hits of each counted section. `low` is the text in lower case where a row has it already."""
+    low = F.lower(text) if low is None else low
     return {section: count_hits(low, words) for section, words in R.SECTIONS_COUNTED.items()}
 
 
@@ -167,8 +166,8 @@ def valid(field: str, value: Column) -> Column:
 def gate(df: DataFrame, mode: str = "manual_text") -> DataFrame:
     """G12-G15 over columns corpus and the facts: has_*_section, sections, is_partial, partial_reasons, reason_*, completeness, can_compute."""
     text, manual = F.col("corpus"), mode.startswith("manual_text")
-    for section, hits in section_hits(text).items():
-        df = df.withColumn(f"has_{section}_section", hits > 0)
+    low = F.col("cased.low") if "cased" in df.columns else None
+    df = df.withColumns({f"has_{section}_section": hits > 0 for section, hits in section_hits(text, low).items()})
     present = sum((F.col(f"has_{s}_section").cast("int") for s in R.SECTIONS_COUNTED), F.lit(0))
     priced = valid("nmck", F.col("nmck"))
     has_price = F.col("has_price_section")
@@ -230,7 +229,7 @@ def analyze(df: DataFrame, variant: str = "basic", mode: str = "manual_text", te
     A null text is empty; a null cost or margin leaves the money columns null or 0 as the rules say.
     """
     known = facts(df, variant, text_col)
-    for name, flag in traps(F.col("corpus"), variant).items():
+    for name, flag in traps(F.col("corpus"), variant, F.col("cased.low")).items():
         known = known.withColumn(name, flag)
     known = {"basic": gate, "ranked": gate_ranked, "evidence": gate_evidence}[variant](known, mode)
     unknown = F.lit(None).cast("string")

@@ -1,5 +1,7 @@
 """Texts that several rows share are worked on once, and every row gets their result."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,39 @@ def test_a_row_is_marked_once_a_side(spark):
     rows = spark.range(0, 90).select(F.col("id").alias("k"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("text"))
     plan = once(rows, "k", lambda texts: texts.select("of", F.length("text").alias("n")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sha2(") == 2 and "to_json" not in plan
+
+
+def test_no_more_tasks_than_keep_the_cores_busy(spark):
+    """Each task gets make()'s long expressions ready anew, so many partitions of a shuffle would cost more than the texts."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        rows = spark.range(0, 90).select(F.col("id").alias("k"), F.col("id").cast("string").alias("text"))
+        plan = once(rows, "k", lambda texts: texts.select("of", F.length("text").alias("n")))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert f"], {max(24, 3 * spark.sparkContext.defaultParallelism)}" in plan and "], 1000" not in plan
+
+
+@pytest.mark.parametrize("name", ["candidates_basic", "candidates_ranked", "candidates_evidence", "danger_phrases_query", "evidence_passages", "missing_reasons", "price_candidates", "quality_warnings", "repaired_fields", "value_places"])
+def test_lists_are_unfolded_once_a_text(spark, name, monkeypatch):
+    """What once() gives is the result; nothing is left to do for each row."""
+    given = spark.range(1)
+    for module in ("queries", "review"):
+        monkeypatch.setattr(f"bidlens.plans.{module}.once", lambda rows, key, make: given)
+    assert __spark_entry__.queries()[name](spark, SF) is given
+
+
+def test_a_corpus_is_lowered_once(spark):
+    """The sections and the gate share one lower case; before, each worked it out anew."""
+    from bidlens.plans.analyze import facts, gate
+
+    texts = spark.createDataFrame([("НМЦК: 5 000 000 руб.",)], "text string")
+    plan = gate(facts(texts, "basic"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"lower\(corpus#\d+", plan)) == 1
+
+
+@pytest.mark.parametrize("name", ["candidates_basic", "candidates_ranked", "candidates_evidence"])
+def test_candidates_come_with_their_fields(spark, name):
+    """The name of the unfolded struct was that of a subquery of the tenders, so that k stood there twice and the fields were missing."""
+    assert __spark_entry__.queries()[name](spark, SF).columns == ["k", "field", "start", "confidence"]
